@@ -211,10 +211,8 @@ def member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 
 def covered(starts: np.ndarray, lengths: np.ndarray | int, n: int) -> np.ndarray:
     """Which of n places lie in any of the spans."""
-    d = np.zeros(n + 1, np.int32)
-    np.add.at(d, starts, 1)
-    np.add.at(d, starts + lengths, -1)
-    return np.cumsum(d[:-1]) > 0
+    d = np.bincount(starts, minlength=n + 1) - np.bincount(starts + lengths, minlength=n + 1)
+    return np.cumsum(d[:n]) > 0
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
