@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranklode.llm import decontam, langid, mixing, quality, secrets, substring_dedup
+from ranklode.llm import decontam, langid, mixing, quality, secrets, substring_dedup, warc
 from ranklode.session import table
 
 
@@ -19,6 +19,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,4 +44,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.SQL.replace("$DOCS", "documents")}
+    return {"op4_warc": warc.SQL, "op10_mixing": mixing.SQL.replace("$DOCS", "documents")}
