@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranklode.llm import decontam, langid, mixing, ngram_join, quality, secrets, substring_dedup, warc
+from ranklode.llm import chat, decontam, langid, mixing, ngram_join, quality, secrets, substring_dedup, token_counts, warc
 from ranklode.session import table
 
 
@@ -27,10 +27,18 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).select("doc_id", *quality.BASE, "base_failed", "kept", "distance")
 
@@ -48,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.SQL, "op10_mixing": mixing.SQL.replace("$DOCS", "documents")}
+    return {"op4_warc": warc.SQL, "op7_chat_format": chat.SQL, "op10_mixing": mixing.SQL.replace("$DOCS", "documents")}
