@@ -1,0 +1,6 @@
+"""All queries of the library's own operators."""
+
+from ranklode.plans import retrieval
+from ranklode.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "retrieval"]
