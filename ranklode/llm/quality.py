@@ -32,6 +32,8 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 LEAST, STEPS, KEEP, BINS = 60, 3, 0.75, 32
 #: The median of chi-square with five degrees of freedom, and the cut-off for squared distances.
 CHI2_MEDIAN, CUT_OFF = 4.351, 120.0
+#: Tables of groups with at most so many rows (some 30 MB) are broadcast.
+BROADCAST_GROUPS = 50_000
 P = 5
 #: No transformed statistic counts as less spread than this.
 FLOOR = (0.15, 0.08, 0.08, 0.1, 0.08)
@@ -131,12 +133,19 @@ def _distance(mean: str, inv: str) -> F.Column:
     return F.greatest(total, F.lit(0.0))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A table of a row for each group (or statistic of one): written, and broadcast while it
+    is small, so that a group which holds a third of all rows isn't shuffled to one task."""
+    df = cut(df, "groups")
+    return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
+
+
 def _at_distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
     return rows.join(fit, F.col("g") == F.col("_g")).withColumn("d2", _distance("mean", "inv")).drop("_g", "mean", "inv")
 
 
 def _nearest(rows: DataFrame) -> DataFrame:
-    limit = _quantile(rows, ["g"], _bin(F.col("d2")), KEEP).select(F.col("g").alias("_g"), "_at")
+    limit = _few(_quantile(rows, ["g"], _bin(F.col("d2")), KEEP).select(F.col("g").alias("_g"), "_at"))
     return rows.join(limit, F.col("g") == F.col("_g")).filter(_bin(F.col("d2")) <= F.col("_at")).drop("_g", "_at")
 
 
@@ -150,7 +159,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     """_g, mean, inv (of the covariance), scale: from rows (g, x0..x4)."""
     long = rows.select("g", F.posexplode(F.array(*(F.col(f"x{i}") for i in range(P)))).alias("f", "x"))
     fine = 256.0
-    mid = _quantile(long, ["g", "f"], F.floor(F.col("x") * fine).cast("long"), 0.5)
+    mid = _few(_quantile(long, ["g", "f"], F.floor(F.col("x") * fine).cast("long"), 0.5))
     off = long.join(mid.withColumnRenamed("g", "_g").withColumnRenamed("f", "_f"), (F.col("g") == F.col("_g")) & (F.col("f") == F.col("_f")))
     off = off.withColumn("dev", F.abs(F.col("x") - F.col("_at") / fine))
     mad = _quantile(off.drop("_at"), ["g", "f"], F.floor(F.col("dev") * fine).cast("long"), 0.5).withColumnRenamed("_at", "_dev")
@@ -158,12 +167,12 @@ def estimates(rows: DataFrame) -> DataFrame:
     start = mid.join(mad, ["g", "f"]).withColumn("spread", F.greatest(F.lit(1.4826) * (F.col("_dev") + 1) / fine, floor))
     start = start.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("f", (F.col("_at") / fine).alias("m"), "spread"))).alias("s"))  # five a group
     unit = [F.when(F.lit(i == j), 1.0 / (F.col("s")[i]["spread"] * F.col("s")[i]["spread"])).otherwise(F.lit(0.0)) for i in range(P) for j in range(P)]
-    fit = start.select(F.col("g").alias("_g"), F.col("s")["m"].alias("mean"), F.array(*unit).alias("inv"))
+    fit = _few(start.select(F.col("g").alias("_g"), F.col("s")["m"].alias("mean"), F.array(*unit).alias("inv")))
     for _ in range(STEPS):
-        fit = cut(_fit(_nearest(_at_distance(rows, fit))), "mcd")
+        fit = _few(_fit(_nearest(_at_distance(rows, fit))))
     mid = _quantile(_at_distance(rows, fit), ["g"], _bin(F.col("d2")), 0.5)
     scale = F.greatest(F.exp((F.col("_at") + 1) / BINS) / CHI2_MEDIAN, F.lit(1.0)).alias("scale")
-    return fit.join(mid.select("g", scale), F.col("_g") == F.col("g")).drop("g")
+    return _few(fit.join(mid.select("g", scale), F.col("_g") == F.col("g")).drop("g"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -174,12 +183,12 @@ def judged(docs: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
     pair, lang = F.concat(text(F.col("lang")), F.lit("\t"), text(F.col("source"))), text(F.col("lang"))
     fitted = stats.filter("not base_failed")
-    many = fitted.groupBy(pair.alias("_pair")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST)
+    many = _few(fitted.groupBy(pair.alias("_pair")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST))
     rows = fitted.select("*", pair.alias("pair")).join(many, F.col("pair") == F.col("_pair"), "left")
     rows = rows.withColumn("g", F.when(F.col("_n").isNotNull(), F.col("pair")).otherwise(lang))
     rows = rows.select("doc_id", *STATS.names[3:], "lang", "source", "g", *(v.alias(f"x{i}") for i, v in enumerate(_vector())))
     rows = cut(rows, "vectors")
-    big = rows.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST).select("_g")
+    big = _few(rows.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST).select("_g"))
     fit = estimates(rows.join(big, F.col("g") == F.col("_g"), "left_semi"))
     seen = rows.join(fit, F.col("g") == F.col("_g"), "left").withColumn("distance", _distance("mean", "inv") / F.col("scale"))
     out = [F.col(k) for k in ("doc_id", "lang", "source", *STATS.names[3:])]
