@@ -1,6 +1,6 @@
 """All queries of the library's own operators."""
 
-from ranklode.plans import preparation, retrieval
+from ranklode.plans import learning, preparation, retrieval
 from ranklode.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "preparation", "retrieval"]
+__all__ = ["QUERIES", "SQL", "learning", "preparation", "retrieval"]

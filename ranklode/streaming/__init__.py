@@ -1,0 +1 @@
+"""Structured Streaming entry points: the stateless transforms over unbounded input."""
