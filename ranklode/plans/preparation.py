@@ -48,9 +48,9 @@ def t7_non_ascii(t):
     return t.documents.select("doc_id", T.has_non_ascii("text").alias("non_ascii"), F.length(T.remove_bad_unicode("text")).alias("n"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter({W('upper(text)')}, lambda x: x NOT IN ('OR', 'AND', 'NOT', 'TO')), ' ') AS text FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, array_to_string(list_filter({W("translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')")}, lambda x: x NOT IN ('OR', 'AND', 'NOT', 'TO')), ' ') AS text FROM documents WHERE lang = 'en'")
 def t8_no_operators(t):
-    return t.documents.filter("lang = 'en'").select("doc_id", T.remove_operators(F.upper("text")).alias("text"))
+    return t.documents.filter("lang = 'en'").select("doc_id", T.remove_operators(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("text"))
 
 
 @query(r"SELECT page_id, regexp_replace(html, '</?[a-zA-Z]+/?>', ' ', 'g') AS text FROM pages")
