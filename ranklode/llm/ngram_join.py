@@ -39,10 +39,12 @@ from pyspark.sql import functions as F
 from ranklode.llm import components as C
 from ranklode.llm import kernels as K
 from ranklode.llm.chunks import by_bucket, chunked, ddl, packed, rows, shared_hashes
-from ranklode.session import cut, ship
+from ranklode.session import cut, n_shuffle, ship
 
 RUN = 5
-UNIT, UNIT_BYTES, BIN_BYTES = 4096, 32 << 20, 8 << 20
+UNIT, UNIT_BYTES, BIN_BYTES = 4096, 16 << 20, 8 << 20
+#: Lists of members of at most so many rows (some 20 MB) are broadcast.
+BROADCAST_MEMBERS = 200_000
 LEAF, FAN = 32, 8
 
 
@@ -333,47 +335,61 @@ def _unpacked(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=EDGES)
 
 
+def _of(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Members (doc, ...) with their sets x. A bounded list of members goes to the sets, which
+    then stay where they are; a longer one is joined by a shuffle."""
+    sets = found.filter("kind = 0").select(F.col("doc").alias("_doc"), "x")
+    if members.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS:
+        members = F.broadcast(members)
+    return sets.join(members, F.col("_doc") == F.col("doc")).drop("_doc")
+
+
 def _links(found: DataFrame) -> DataFrame:
     """Edges (u, v) that connect what links connect."""
+    spark = found.sparkSession
     edges = found.filter("kind = 1").select("b", "x", "y").groupBy("b").applyInArrow(_bucket_edges, "u long, v long")
     edges = edges.unionByName(found.filter("kind = 2").select("x", "y").mapInArrow(_unpacked, "u long, v long"))
-    group = C.components(edges).select(F.col("node"), "comp")
-    sets = found.filter("kind = 0").select("doc", "n", "x")
-    sized = sets.select("doc", "n").join(group, F.col("doc") == F.col("node")).groupBy(F.col("comp").alias("_comp")).agg(F.count("*").alias("_n"), F.sum(8 * F.col("n")).alias("_bytes"))
+    group = C.components(edges)
+    member = found.filter("kind = 0").select("doc", "n").join(group, F.col("doc") == F.col("node")).select("doc", "n", "comp")
+    sized = member.groupBy(F.col("comp").alias("_comp")).agg(F.count("*").alias("_n"), F.sum(8 * F.col("n")).alias("_bytes"))
     blocks = F.greatest(F.ceil(F.col("_n") / UNIT), F.ceil(F.col("_bytes") / UNIT_BYTES)).cast("int")
     sized = cut(sized.select("_comp", blocks.alias("blocks"), "_bytes"), "groups")
     most, total = sized.agg(F.max("blocks"), F.sum("_bytes")).first()
     if not total:
-        return found.sparkSession.createDataFrame([], "u long, v long")
+        return spark.createDataFrame([], "u long, v long")
     bins = max(1, -(-total // BIN_BYTES))
-    sets = sets.join(group, F.col("doc") == F.col("node")).drop("node").join(sized.drop("_bytes"), F.col("comp") == F.col("_comp")).drop("_comp")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    member = member.join(sized.drop("_bytes"), F.col("comp") == F.col("_comp")).select("doc", "comp", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"))
+    member = cut(member, "members")
 
     def units(x: DataFrame) -> DataFrame:
         x = x.withColumn("bin", F.pmod(F.xxhash64("comp", "block"), F.lit(bins)).cast("int"))
-        return x.select("bin", "comp", "block", "doc", "x").groupBy("bin").applyInArrow(_bin_of_units, "u long, v long")
+        x = x.select("bin", "comp", "block", "doc", "x").repartition(max(n_shuffle(spark), bins), "bin")
+        return x.groupBy("bin").applyInArrow(_bin_of_units, "u long, v long")
 
-    links = cut(units(sets), "links")
+    sets = found.filter("kind = 0").select(F.col("doc").alias("_doc"), "x")
+    links = cut(units(sets.join(member, F.col("_doc") == F.col("doc")).drop("_doc")), "links")
     if most <= 1:
         return links
     # groups of several blocks
-    large = sets.filter("blocks > 1")
+    large = member.filter("blocks > 1").select("doc", "comp", "block")
 
     def labelled(links):
         now = C.components(links).select(F.col("node").alias("_node"), F.col("comp").alias("_label"))
-        return large.join(now, F.col("doc") == F.col("_node"), "left").withColumn("label", F.coalesce("_label", "doc")).drop("_node", "_label")
+        return cut(large.join(now, F.col("doc") == F.col("_node"), "left").select("doc", "comp", "block", F.coalesce("_label", "doc").alias("label")), "labels")
 
-    firsts = labelled(links).filter("doc = label")
-    links = cut(links.unionByName(units(firsts)), "links")
-    marked = cut(labelled(links), "marked")
+    links = cut(links.unionByName(units(_of(found, labelled(links).filter("doc = label")))), "links")
+    marked = labelled(links)
     kinds = marked.groupBy("comp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     mixed = kinds.groupBy("comp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select(F.col("comp").alias("_c"))
     kinds = cut(kinds.join(mixed, F.col("comp") == F.col("_c"), "left_semi"), "blocks")
     a, b = (kinds.select(*(F.col(k).alias(f"{k}_{s}") for k in kinds.columns)) for s in "ab")
     pairs = a.join(b, (F.col("comp_a") == F.col("comp_b")) & (F.col("block_a") < F.col("block_b"))).filter("least(lo_a, lo_b) < greatest(hi_a, hi_b)")
     sides = pairs.select(F.col("comp_a").alias("_c"), F.col("block_a").alias("pa"), F.col("block_b").alias("pb"), F.explode(F.array(F.struct(F.col("block_a").alias("at"), F.lit(0).alias("side")), F.struct(F.col("block_b").alias("at"), F.lit(1).alias("side")))).alias("s"))
-    both = marked.join(sides, (F.col("comp") == F.col("_c")) & (F.col("block") == F.col("s.at"))).select("comp", "pa", "pb", F.col("s.side").alias("side"), "doc", "label", "x")
-    rest = both.groupBy("comp", "pa", "pb").applyInArrow(_pair_of_blocks, "u long, v long")
+    both = marked.join(sides, (F.col("comp") == F.col("_c")) & (F.col("block") == F.col("s.at"))).select("comp", "pa", "pb", F.col("s.side").alias("side"), "doc", "label")
+    both = cut(both, "sides")
+    if not both.limit(1).count():
+        return links
+    rest = _of(found, both).groupBy("comp", "pa", "pb").applyInArrow(_pair_of_blocks, "u long, v long")
     return links.unionByName(cut(rest, "links"))
 
 
@@ -383,13 +399,15 @@ def classes(docs: DataFrame, run: int = RUN) -> DataFrame:
     d = chunked(docs)
     out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
 
-    def digest(key, table):
-        s = _Sets(table, run)
-        one = [np.add.reduce(x) if len(x) else K.U64(0) for x in s.sets]
-        two = [np.add.reduce(K.mix(x, 3)) if len(x) else K.U64(0) for x in s.sets]
-        return pa.table([K.id_array(s.doc), pa.array(s.n), *(pa.array(np.array(x, K.U64).view(np.int64)) for x in (one, two))], schema=out)
+    def digest(batches):
+        for batch in batches:
+            s = _Sets(pa.Table.from_batches([batch]), run)
+            one = [np.add.reduce(x) if len(x) else K.U64(0) for x in s.sets]
+            two = [np.add.reduce(K.mix(x, 3)) if len(x) else K.U64(0) for x in s.sets]
+            yield pa.RecordBatch.from_arrays([K.id_array(s.doc), pa.array(s.n), *(pa.array(np.array(x, K.U64).view(np.int64)) for x in (one, two))], schema=out)
 
-    sets = cut(d.docs.groupBy("c").applyInArrow(digest, ddl(out)), "digests")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sets = cut(narrow.mapInArrow(digest, ddl(out)), "digests")
     same = sets.filter("n > 0 and doc_id is not null").groupBy(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("n").alias("_n")).agg(F.min("doc_id").alias("class_id"))
     same = cut(same, "classes")
     found = cut(_survivors(d, run, same.select(F.col("class_id").alias("doc")).distinct()), "candidates")
