@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ranklode.functions import text as T
 from ranklode.functions import vectors as V
-from ranklode.operators.candidates import B, K1, bounded, matches, norm_tf
+from ranklode.operators.candidates import B, K1, bounded, norm_tf
 from ranklode.operators.index import Index, idf
+from ranklode.session import cut
 
 
 def _filled(pairs: DataFrame, scores: DataFrame, *names: str) -> DataFrame:
@@ -21,14 +22,21 @@ def _filled(pairs: DataFrame, scores: DataFrame, *names: str) -> DataFrame:
     return x.select("query_id", "doc_id", *(F.coalesce(n, F.lit(0.0)).alias(n) for n in names))
 
 
-def _pair_matches(idx: Index, terms: DataFrame, pairs: DataFrame) -> DataFrame:
-    return matches(idx, terms).join(pairs.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+def _pair_matches(idx: Index, pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """Matches as in retrieval, but only candidate documents are taken apart. ``weights``:
+    query_id, word, qtf, idf of the whole collection."""
+    few = idx.docs.join(bounded(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
+    hits = few.select("doc_id", "doc_len", F.explode("w").alias("word")).join(bounded(weights.select("word").distinct()), "word")
+    hits = hits.groupBy("doc_id", "word").agg(F.first("doc_len").alias("doc_len"), F.count("*").cast("double").alias("tf"))
+    hits = hits.join(bounded(weights), "word").join(pairs.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    return hits.crossJoin(F.broadcast(idx.stats.select("avgdl")))
 
 
 def bm25(idx: Index, terms: DataFrame, pairs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """bm25, and bm25_norm: divided by the idf of the query's distinct known words."""
-    hit = _pair_matches(idx, terms, pairs).groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * norm_tf(k1=k1, b=b)).alias("bm25"))
-    total = bounded(known_idf(idx, terms))
+    weights = cut(weighted_terms(idx, terms), "weights")
+    hit = _pair_matches(idx, pairs, weights).groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * norm_tf(k1=k1, b=b)).alias("bm25"))
+    total = bounded(weights.groupBy("query_id").agg(F.sum("idf").alias("idf_sum")))
     x = _filled(pairs, hit, "bm25").join(total, "query_id", "left")
     return x.select("query_id", "doc_id", "bm25", F.when(F.col("idf_sum") > 0, F.col("bm25") / F.col("idf_sum")).otherwise(F.col("bm25")).alias("bm25_norm"))
 
@@ -46,18 +54,20 @@ def known_idf(idx: Index, terms: DataFrame) -> DataFrame:
 def cosine_tfidf(idx: Index, terms: DataFrame, pairs: DataFrame) -> DataFrame:
     """Sum of qtf * tf * idf^2 over norms of all words of both sides."""
     w2 = F.col("idf") * F.col("idf")
-    up = _pair_matches(idx, terms, pairs).groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("tf") * w2).alias("up"))
+    weights = cut(weighted_terms(idx, terms), "weights")
+    up = _pair_matches(idx, pairs, weights).groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("tf") * w2).alias("up"))
     few = idx.docs.join(bounded(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
     docs = Index(few).postings.join(idx.vocab, "word").groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("tf") * w2).alias("d2"))
-    queries = weighted_terms(idx, terms).groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("qtf") * w2).alias("q2"))
+    queries = weights.groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("qtf") * w2).alias("q2"))
     x = up.join(docs, "doc_id").join(bounded(queries), "query_id").withColumn("cosine", F.col("up") / F.sqrt(F.greatest(F.lit(1e-6), F.col("d2") * F.col("q2"))))
     return _filled(pairs, x, "cosine")
 
 
 def overlap(idx: Index, terms: DataFrame, pairs: DataFrame) -> DataFrame:
     """Matched share of the query's known words, counted with repetition."""
-    hit = _pair_matches(idx, terms, pairs).groupBy("query_id", "doc_id").agg(F.sum("qtf").alias("hit"))
-    known = weighted_terms(idx, terms).groupBy("query_id").agg(F.sum("qtf").alias("known"))
+    weights = cut(weighted_terms(idx, terms), "weights")
+    hit = _pair_matches(idx, pairs, weights).groupBy("query_id", "doc_id").agg(F.sum("qtf").alias("hit"))
+    known = weights.groupBy("query_id").agg(F.sum("qtf").alias("known"))
     return _filled(pairs, hit.join(bounded(known), "query_id").withColumn("overlap", F.col("hit") / F.greatest(F.col("known"), F.lit(1.0))), "overlap")
 
 
@@ -71,7 +81,7 @@ def close_pairs(idx: Index, terms: DataFrame, query_tokens: DataFrame, pairs: Da
     """ordered, unordered: BM25 over pairs of different query words within ``query_window`` of
     each other, counted in the document within ``doc_window``, over the query's idf. query_tokens:
     query_id, pos, word."""
-    weights = weighted_terms(idx, terms).select("query_id", "word", "idf")
+    weights = cut(weighted_terms(idx, terms), "weights").select("query_id", "word", "idf")
     q = query_tokens.join(bounded(weights), ["query_id", "word"])
     left, right = (q.select("query_id", F.col("pos").alias(f"p{s}"), F.col("word").alias(f"w{s}"), F.col("idf").alias(f"i{s}")) for s in "12")
     near = left.join(right, "query_id").filter((F.col("p1") < F.col("p2")) & (F.col("p2") < F.col("p1") + query_window) & (F.col("w1") != F.col("w2")))
@@ -79,7 +89,7 @@ def close_pairs(idx: Index, terms: DataFrame, query_tokens: DataFrame, pairs: Da
     frame = Window.partitionBy("query_id", "doc_id").orderBy("pos").rangeBetween(1, doc_window - 1)
     together = at.withColumn("_next", F.collect_list("word").over(frame)).select("query_id", "doc_id", "doc_len", F.col("word").alias("a"), F.explode("_next").alias("b")).filter("a <> b")
     avgdl = F.broadcast(idx.stats.select("avgdl"))
-    floor = bounded(known_idf(idx, terms))
+    floor = bounded(weights.groupBy("query_id").agg(F.sum("idf").alias("idf_sum")))
     out = None
     for name, key in (("ordered", lambda x, y: F.struct(x, y)), ("unordered", lambda x, y: F.struct(F.least(x, y), F.greatest(x, y)))):
         wanted = near.select("query_id", key(F.col("w1"), F.col("w2")).alias("pair"), ((F.col("i1") + F.col("i2")) / 2).alias("idf")).groupBy("query_id", "pair").agg(F.first("idf").alias("idf"))
