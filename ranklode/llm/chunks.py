@@ -90,5 +90,30 @@ def shared_hashes(df: DataFrame, dtype, least: int = 2) -> DataFrame:
     return df.groupBy("b").applyInArrow(bucket, ddl(back))
 
 
+def shared_counts(df: DataFrame, dtype, least: int = 2) -> DataFrame:
+    """As ``shared_hashes``: rows (c, b, h, n), with n about four times the logarithm of the
+    number of chunks that have each hash, in a byte."""
+    back = packed("c b | h n")
+
+    def bucket(table: pa.Table) -> pa.Table:
+        c, b = table.column("c").to_numpy(), table.column("b")[0].as_py()
+        loads = [np.frombuffer(x, dtype) for x in table.column("h").to_pylist()]
+        value, times = np.unique(np.concatenate(loads), return_counts=True)
+        value, times = value[times >= least], times[times >= least]
+        level = np.minimum(255, 4 * np.log2(times)).astype(np.uint8)
+        if not len(value):
+            return back.empty_table()
+        out = []
+        for k, x in zip(c, loads, strict=True):
+            at = np.searchsorted(value, x)
+            at[at == len(value)] = 0
+            at = at[value[at] == x]
+            if len(at):
+                out.append((int(k), b, value[at].tobytes(), level[at].tobytes()))
+        return rows(back, out)
+
+    return df.groupBy("b").applyInArrow(bucket, ddl(back))
+
+
 def blob_of(parts: list[np.ndarray]) -> bytes:
     return b"".join(x.tobytes() for x in parts)

@@ -6,8 +6,9 @@ Documents link when 100 * |A n B| >= 80 * |A u B|; a component is what links con
 1. Equal sets are one class, found by a 128-bit digest; only its first document goes on.
 2. A set can only link if four fifths of it also occur elsewhere. Chunks of documents tell hash
    buckets which runs they have (every other run, by its hash: any share gives a correct filter)
-   and learn which of them another chunk has too. Ordering those nobody else has first, a set's
-   first n - ceil(0.8 n) + 1 runs must hold one that any partner has among its own first ones.
+   and learn which of them another chunk has too, and how many chunks. In an order of all runs
+   that puts those nobody else has first, then the rare ones, a set's first n - ceil(0.8 n) + 1
+   runs must hold one that any partner has among its own first ones.
    Most documents end here: their first runs are theirs alone.
 3. The rest is grouped by common first runs; no link leaves a group. A group of more than
    ``UNIT`` sets is dealt into blocks.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ranklode.llm import components as C
 from ranklode.llm import kernels as K
-from ranklode.llm.chunks import by_bucket, chunked, ddl, packed, rows, shared_hashes
+from ranklode.llm.chunks import by_bucket, chunked, ddl, packed, rows, shared_counts
 from ranklode.session import cut, n_shuffle, ship
 
 RUN = 5
@@ -283,17 +284,33 @@ def _survivors(d, run: int, firsts: DataFrame) -> DataFrame:
         docs, sets = _Sets(table, run).only(K.ids(chosen.column("doc")))
         if not sets:
             return out.empty_table()
-        shared = np.unique(K.join_blobs(told.column("h"), np.uint32))
+        heard = told.filter(pc.is_valid(told.column("h")))
+        size = [len(x) // 4 for x in heard.column("h").to_pylist()]
+        known = np.repeat(heard.column("b").to_numpy().astype(K.U64), size) << K.U64(32) | K.join_blobs(heard.column("h"), np.uint32)
+        order = np.argsort(known)
+        known, level = known[order], K.join_blobs(heard.column("n"), np.uint8)[order]
         flat = np.concatenate(sets)
         bounds = np.cumsum([0, *(len(s) for s in sets)])
         ordered = np.sort(flat)
         often = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        alone = _half(flat) & ~K.member(_short(flat), shared) & ~K.member(flat, often)
+        # places in the order of runs: 0 nobody else has it; then by how many chunks have it;
+        # at last those that weren't told
+        rank = np.full(len(flat), 300, np.int64)
+        half = np.flatnonzero(_half(flat))
+        key = (flat[half] % K.U64(buckets)) << K.U64(32) | _short(flat[half])
+        at = np.searchsorted(known, key)
+        at[at == len(known)] = 0
+        there = known[at] == key if len(known) else np.zeros(len(key), bool)
+        rank[half] = np.where(there, level[at].astype(np.int64) + 2 if len(known) else 0, K.member(flat[half], often).astype(np.int64))
         n = np.diff(bounds)
-        left = n - need(n) + 1 - K.sums(alone, bounds)  # first runs besides those that are its alone
+        left = n - need(n) + 1 - K.sums(rank == 0, bounds)  # first runs besides those that are its alone
         who = np.flatnonzero(left > 0)
         data = [(0, None, int(docs[k]), int(n[k]), K.blob(sets[k]), None) for k in who]
-        runs = [sets[k][~alone[bounds[k] : bounds[k + 1]]][: left[k]] for k in who]
+        runs = []
+        for k in who:
+            r = rank[bounds[k] : bounds[k + 1]]
+            some = np.flatnonzero(r > 0)
+            runs.append(sets[k][some[np.argsort(r[some], kind="stable")[: left[k]]]])
         if not runs:
             return out.empty_table()
         token = np.concatenate(runs)
@@ -313,8 +330,10 @@ def _survivors(d, run: int, firsts: DataFrame) -> DataFrame:
 
     chosen = firsts.select(F.pmod(F.xxhash64("doc"), F.lit(d.chunks)).cast("int").alias("c"), "doc")
     told = d.docs.groupBy("c").cogroup(chosen.groupBy("c")).applyInArrow(tell_halves, ddl(tell))
-    answers = shared_hashes(told, np.uint32)
-    both = chosen.select("c", "doc", F.lit(None).cast("binary").alias("h")).unionByName(answers.select("c", F.lit(None).cast("long").alias("doc"), "h"))
+    answers = shared_counts(told, np.uint32)
+    none = {"doc": "long", "b": "int", "h": "binary", "n": "binary"}
+    side = lambda x: x.select("c", *(k if k in x.columns else F.lit(None).cast(v).alias(k) for k, v in none.items()))
+    both = side(chosen).unionByName(side(answers))
     return d.docs.groupBy("c").cogroup(both.groupBy("c")).applyInArrow(candidates, ddl(out))
 
 
