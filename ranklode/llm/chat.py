@@ -45,8 +45,8 @@ def maximal(conversations: DataFrame) -> DataFrame:
     last = turns.filter("place = size").select("conv_id", "place", "h1", "h2")
     inner = turns.filter("place < size").select(F.col("place").alias("_p"), F.col("h1").alias("_1"), F.col("h2").alias("_2")).distinct()
     alike = lambda: (F.col("place") == F.col("_p")) & (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2"))
-    longest = last.join(inner, alike(), "left_anti")
-    first = longest.groupBy("place", "h1", "h2").agg(F.min("conv_id").alias("_keep")).select("_keep")
+    one = last.groupBy("place", "h1", "h2").agg(F.min("conv_id").alias("_keep"))  # equal ones meet before the shuffle
+    first = one.join(inner, alike(), "left_anti").select("_keep")
     return turns.join(first, F.col("conv_id").eqNullSafe(F.col("_keep")), "left_semi").select("conv_id", "place", "turn", "role", "text")
 
 
