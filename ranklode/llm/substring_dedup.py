@@ -50,8 +50,8 @@ class _Chunk:
         k = (window + 1) // 2
         self.at = K.whole(self.words.bounds, window)  # first word of each run
         g = K.mix(K.grams(self.words.hash, k))
-        near = [g[: len(g) - p][g[: len(g) - p] == g[p:]] for p in range(1, window - k + 2)]
-        self.near = np.unique(np.concatenate(near))  # come again before a run is over
+        near = [g[: len(g) - p][g[: len(g) - p] == g[p:]] for p in range(1, min(window - k + 2, len(g)))]
+        self.near = np.unique(np.concatenate([g[:0], *near]))  # come again before a run is over
         self.anchor = K.sliding_min(g, window - k + 1)[self.at]
 
     def anchors(self) -> np.ndarray:
@@ -63,7 +63,8 @@ class _Chunk:
         """Of the runs whose anchor is shared or comes more than once here: index into
         ``at``, two hashes, and the rank of the first equal run."""
         a = self.anchor
-        head = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+        text = np.searchsorted(self.words.bounds, self.at, side="right")  # a document's first run starts a group
+        head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (text[1:] != text[:-1])]) if len(a) else np.zeros(0, np.int64)
         value, times = np.unique(a[head], return_counts=True)
         ok = K.member(a[head], np.unique(np.concatenate([shared, value[times > 1], self.near])))
         size = np.diff(np.r_[head, len(a)])

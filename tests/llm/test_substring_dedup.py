@@ -53,3 +53,13 @@ def test_dedup_keeps_the_rest(docs, rows):
 
 def test_empty(none):
     assert S.digests(none).collect() == [] and S.factors(none).collect() == []
+
+
+def test_neighbouring_documents(spark):
+    w = [f"w{i}" for i in range(60)]
+    data = [(1, w[:20]), (2, w[:20]), (3, w[20:45]), (4, w[20:45]), (5, ["x", *w[30:60]]), (6, [*w[40:60], "y"])]
+    data = [(i, " ".join(x)) for i, x in data]
+    for some in (data[:2], data, [(1, " ".join(w[:15]))], [(1, " ".join(w[:k])) for k in (9,)], [(1, "a " * 10)]):
+        got = Counter(tuple(r)[:4] for r in S.digests(spark.createDataFrame(some, "doc_id long, text string")).collect())
+        assert got == brute(some)
+    assert {r.doc_id: r.n_removed for r in S.digests(spark.createDataFrame(data[:2], "doc_id long, text string")).collect()} == {1: 0, 2: 20}
