@@ -5,7 +5,9 @@ source the minimum-covariance-determinant estimate is fitted to all of its docum
 pass the base rules: from medians and median deviations, concentration steps take the
 documents nearest to the estimate, three quarters of them, and estimate mean and covariance
 anew. A document is rejected if its squared Mahalanobis distance, scaled so that the median
-one is that of a normal vector, is above the cut-off. Pairs with fewer than ``LEAST``
+one is that of a normal vector, is above the cut-off. Statistics hardly vary in most groups
+(no symbols, no repeated lines): where the covariance is less than the floors allow, the floors
+stand for it, and the median is that of a normal vector in the dimensions left. Pairs with fewer than ``LEAST``
 documents share one estimate for the language; where even that has fewer, the base rules
 decide alone. Quantiles come from counts of fine bins, so they are exact to a bin, the same
 in any order of the rows, and no group is ever gathered.
@@ -30,12 +32,12 @@ STATS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.
 STATS_DDL = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 LEAST, STEPS, KEEP, BINS = 60, 3, 0.75, 32
-#: The median of chi-square with five degrees of freedom, and the cut-off for squared distances.
-CHI2_MEDIAN, CUT_OFF = 4.351, 120.0
+#: The 0.999 quantile of chi-square with five degrees of freedom: the cut-off for squared distances.
+CUT_OFF = 20.515
 #: Tables of groups with at most so many rows (some 30 MB) are broadcast.
 BROADCAST_GROUPS = 50_000
 P = 5
-#: No transformed statistic counts as less spread than this.
+#: No direction counts as less spread than this: covariances are singular otherwise.
 FLOOR = (0.15, 0.08, 0.08, 0.1, 0.08)
 
 
@@ -107,7 +109,9 @@ def _bin(d2: F.Column) -> F.Column:
 
 
 def _inverse(batches):
-    """Group rows with moments to rows with mean and inverse covariance."""
+    """Group rows with moments to rows with mean, inverse covariance and the number of dimensions
+    that vary: in units of the floors no eigenvalue of the covariance is taken below 1."""
+    floor = np.array(FLOOR)
     for b in batches:
         m = np.array(b.column("moments").to_pylist(), float).reshape(b.num_rows, -1)
         n = m[:, 0]
@@ -118,9 +122,10 @@ def _inverse(batches):
             for j in range(i, P):
                 full[:, i, j] = full[:, j, i] = m[:, k] / n - mean[:, i] * mean[:, j]
                 k += 1
-        full += np.diag(np.square(FLOOR))
-        inv = np.linalg.inv(full)
-        yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(mean.tolist(), pa.list_(pa.float64())), pa.array(inv.reshape(len(n), -1).tolist(), pa.list_(pa.float64()))], names=["_g", "mean", "inv"])
+        w, v = np.linalg.eigh(full / np.outer(floor, floor))
+        inv = (v / np.maximum(w, 1.0)[:, None, :]) @ v.transpose(0, 2, 1) / np.outer(floor, floor)
+        vary = np.clip(w, 0.0, 1.0).sum(1)
+        yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(mean.tolist(), pa.list_(pa.float64())), pa.array(inv.reshape(len(n), -1).tolist(), pa.list_(pa.float64())), pa.array(vary)], names=["_g", "mean", "inv", "vary"])
 
 
 def _distance(mean: str, inv: str) -> F.Column:
@@ -133,6 +138,11 @@ def _distance(mean: str, inv: str) -> F.Column:
     return F.greatest(total, F.lit(0.0))
 
 
+def _median(k: F.Column) -> F.Column:
+    """The median of chi-square with k degrees of freedom (Wilson and Hilferty)."""
+    return k * F.pow(1 - 2 / (9 * k), F.lit(3.0))
+
+
 def _few(df: DataFrame) -> DataFrame:
     """A table of a row for each group (or statistic of one): written, and broadcast while it
     is small, so that a group which holds a third of all rows isn't shuffled to one task."""
@@ -141,7 +151,7 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _at_distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    return rows.join(fit, F.col("g") == F.col("_g")).withColumn("d2", _distance("mean", "inv")).drop("_g", "mean", "inv")
+    return rows.join(fit, F.col("g") == F.col("_g")).withColumn("d2", _distance("mean", "inv")).drop("_g", "mean", "inv", "vary")
 
 
 def _nearest(rows: DataFrame) -> DataFrame:
@@ -152,7 +162,7 @@ def _nearest(rows: DataFrame) -> DataFrame:
 def _fit(rows: DataFrame) -> DataFrame:
     x = [F.col(f"x{i}") for i in range(P)]
     moments = [F.count("*").cast("double"), *(F.sum(v) for v in x), *(F.sum(x[i] * x[j]) for i in range(P) for j in range(i, P))]
-    return rows.groupBy("g").agg(F.array(*moments).alias("moments")).mapInArrow(_inverse, "_g string, mean array<double>, inv array<double>")
+    return rows.groupBy("g").agg(F.array(*moments).alias("moments")).mapInArrow(_inverse, "_g string, mean array<double>, inv array<double>, vary double")
 
 
 def estimates(rows: DataFrame) -> DataFrame:
@@ -167,12 +177,13 @@ def estimates(rows: DataFrame) -> DataFrame:
     start = mid.join(mad, ["g", "f"]).withColumn("spread", F.greatest(F.lit(1.4826) * (F.col("_dev") + 1) / fine, floor))
     start = start.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("f", (F.col("_at") / fine).alias("m"), "spread"))).alias("s"))  # five a group
     unit = [F.when(F.lit(i == j), 1.0 / (F.col("s")[i]["spread"] * F.col("s")[i]["spread"])).otherwise(F.lit(0.0)) for i in range(P) for j in range(P)]
-    fit = _few(start.select(F.col("g").alias("_g"), F.col("s")["m"].alias("mean"), F.array(*unit).alias("inv")))
+    fit = _few(start.select(F.col("g").alias("_g"), F.col("s")["m"].alias("mean"), F.array(*unit).alias("inv"), F.lit(float(P)).alias("vary")))
     for _ in range(STEPS):
         fit = _few(_fit(_nearest(_at_distance(rows, fit))))
     mid = _quantile(_at_distance(rows, fit), ["g"], _bin(F.col("d2")), 0.5)
-    scale = F.greatest(F.exp((F.col("_at") + 1) / BINS) / CHI2_MEDIAN, F.lit(1.0)).alias("scale")
-    return _few(fit.join(mid.select("g", scale), F.col("_g") == F.col("g")).drop("g"))
+    scale = F.exp((F.col("_at") + 1) / BINS) / _median(F.greatest(F.col("vary"), F.lit(1.0)))
+    scale = F.when(F.col("vary") < 1, F.greatest(scale, F.lit(1.0))).otherwise(scale)  # nothing varies: the floors are the scale
+    return _few(fit.join(mid, F.col("_g") == F.col("g")).withColumn("scale", scale).drop("g", "_at", "vary"))
 
 
 def judged(docs: DataFrame) -> DataFrame:

@@ -167,6 +167,28 @@ def test_quality_rejects_outliers_only(spark, none):
     assert quality.judged(none).collect() == []
 
 
+def prose(r, n=150):
+    return [["".join(r.choice("abcdefg") for _ in range(r.randint(3, 8))) for _ in range(10)] for _ in range(n // 10)]
+
+
+def test_quality_outliers_of_each_statistic(spark):
+    r = random.Random(5)
+    lines = lambda x: "\n".join(" ".join(w) for w in x)
+    data = [(k, lines(prose(r, r.randint(60, 300)))) for k in range(600)]
+    long_words = [[w * 5 for w in x] for x in prose(r)]
+    symbols = [[w + "#" * (i % 3 == 0) for i, w in enumerate(x)] for x in prose(r)]
+    copied = "\n".join("ab" for _ in range(60)) + "\n" + lines(prose(r, 300))
+    said_again = prose(r, 200)
+    said_again = said_again + [[*x, f"z{i}"] for i, x in enumerate(said_again[:5])]
+    planted = {1000: lines(prose(r, 60_000)), 1001: lines(long_words), 1002: lines(symbols), 1003: copied, 1004: lines(said_again)}
+    d = spark.createDataFrame([(k, t, "en", "s") for k, t in [*data, *planted.items()]], "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x for x in quality.judged(d).collect()}
+    assert [k for k in planted if got[k].kept or got[k].base_failed] == []
+    assert sum(not got[k].kept for k in range(600)) <= 6
+    alike = spark.createDataFrame([(k, lines(prose(random.Random(6))), "en", "s") for k in range(80)], d.schema)
+    assert all(x.kept for x in quality.judged(alike).collect())  # nothing varies
+
+
 # --- language ID ------------------------------------------------------------------------
 
 
