@@ -8,8 +8,8 @@ anew. A document is rejected if its squared Mahalanobis distance, scaled so that
 one is that of a normal vector, is above the cut-off. Statistics hardly vary in most groups
 (no symbols, no repeated lines): where the covariance is less than the floors allow, the floors
 stand for it, and the median is that of a normal vector in the dimensions left. Pairs with fewer than ``LEAST``
-documents share one estimate for the language; where even that has fewer, the base rules
-decide alone. Quantiles come from counts of fine bins, so they are exact to a bin, the same
+documents are judged by an estimate over all documents of the language; where even that has
+fewer, the base rules decide alone. Quantiles come from counts of fine bins, so they are exact to a bin, the same
 in any order of the rows, and no group is ever gathered.
 
 Null texts are empty; null languages and sources are values of their own; rows that repeat
@@ -194,13 +194,16 @@ def judged(docs: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
     pair, lang = F.concat(text(F.col("lang")), F.lit("\t"), text(F.col("source"))), text(F.col("lang"))
     fitted = stats.filter("not base_failed")
-    many = _few(fitted.groupBy(pair.alias("_pair")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST))
-    rows = fitted.select("*", pair.alias("pair")).join(many, F.col("pair") == F.col("_pair"), "left")
-    rows = rows.withColumn("g", F.when(F.col("_n").isNotNull(), F.col("pair")).otherwise(lang))
-    rows = rows.select("doc_id", *STATS.names[3:], "lang", "source", "g", *(v.alias(f"x{i}") for i, v in enumerate(_vector())))
+    pairs = cut(fitted.groupBy(pair.alias("_pair"), lang.alias("_lang")).agg(F.count("*").alias("_n")), "pairs")
+    langs = pairs.groupBy("_lang").agg(F.sum("_n").alias("_all"), F.min("_n").alias("_least"))
+    big, whole = F.col("_n") >= LEAST, F.col("_all") >= LEAST
+    g = F.when(big, F.col("_pair")).when(whole, F.col("_lang")).alias("g")
+    fits = F.array_compact(F.array(F.when(big, F.col("_pair")), F.when(whole & (F.col("_least") < LEAST), F.col("_lang")))).alias("fits")
+    groups = _few(pairs.join(langs, "_lang").select("_pair", g, fits))
+    rows = fitted.select("*", pair.alias("pair")).join(groups, F.col("pair") == F.col("_pair"))
+    rows = rows.select("doc_id", *STATS.names[3:], "lang", "source", "g", "fits", *(v.alias(f"x{i}") for i, v in enumerate(_vector())))
     rows = cut(rows, "vectors")
-    big = _few(rows.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST).select("_g"))
-    fit = estimates(rows.join(big, F.col("g") == F.col("_g"), "left_semi"))
+    fit = estimates(rows.select(F.explode("fits").alias("g"), *(f"x{i}" for i in range(P))))
     seen = rows.join(fit, F.col("g") == F.col("_g"), "left").withColumn("distance", _distance("mean", "inv") / F.col("scale"))
     out = [F.col(k) for k in ("doc_id", "lang", "source", *STATS.names[3:])]
     seen = seen.select(*out, F.lit(False).alias("base_failed"), "distance", F.coalesce(F.col("distance") <= CUT_OFF, F.lit(True)).alias("kept"))

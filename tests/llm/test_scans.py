@@ -189,6 +189,17 @@ def test_quality_outliers_of_each_statistic(spark):
     assert all(x.kept for x in quality.judged(alike).collect())  # nothing varies
 
 
+def test_quality_small_sources_meet_their_language(spark):
+    r = random.Random(7)
+    lines = lambda x: "\n".join(" ".join(w) for w in x)
+    data = [(k, lines(prose(r, r.randint(60, 300))), "en", "hot" if k < 300 else f"rare{k}") for k in range(305)]
+    data.append((1000, lines([[w + "#$%&" for w in x] for x in prose(r)]), "en", "rare1000"))
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x for x in quality.judged(d).collect()}
+    assert len(got) == len(data) and all(x.distance is not None for x in got.values())
+    assert not got[1000].kept and all(got[k].kept for k in range(300, 305))
+
+
 # --- language ID ------------------------------------------------------------------------
 
 
