@@ -64,6 +64,16 @@ def _joined(parts: list[K.Texts]) -> K.Texts:
     return K.Texts(np.concatenate([p.data for p in parts]), np.concatenate([[0], *(p.offsets[1:] + a for p, a in zip(parts, at[:-1], strict=True))]))
 
 
+def _postings(ids: np.ndarray, t: K.Texts) -> dict[str, bytes]:
+    """The row of a shard."""
+    w = K.words(t, K.ALNUM, lower=True)
+    order = np.argsort(w.hash, kind="stable").astype(np.int32)
+    h = w.hash[order]
+    head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    columns = (ids, w.bounds, h[head], np.diff(np.r_[head, len(h)]).astype(np.int32), order)
+    return dict(zip(INDEX.names, map(K.blob, columns), strict=True))
+
+
 def build_index(docs: DataFrame) -> DataFrame:
     """One row for each shard: doc_ids, bounds (first position of each document, and the end),
     terms (ascending hashes), counts and positions (of the first term, then the second, ...)."""
@@ -71,12 +81,7 @@ def build_index(docs: DataFrame) -> DataFrame:
 
     def build(batches):
         for ids, t in _shards(batches):
-            w = K.words(t, K.ALNUM, lower=True)
-            order = np.argsort(w.hash, kind="stable").astype(np.int32)
-            h = w.hash[order]
-            head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-            columns = (ids, w.bounds, h[head], np.diff(np.r_[head, len(h)]).astype(np.int32), order)
-            yield pa.RecordBatch.from_arrays([pa.array([K.blob(x)], pa.binary()) for x in columns], schema=INDEX)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in _postings(ids, t).values()], schema=INDEX)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(build, INDEX_DDL)
 
@@ -249,3 +254,25 @@ def drop(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any occurrence of a window. Rows that share a doc_id go together."""
     bad = judged(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows without any occurrence of a window, each judged by itself, whatever its doc_id."""
+    spark = docs.sparkSession
+    ship(spark)
+    blocks = [spark.sparkContext.broadcast(x) for x in _blocks(items, window)]
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            t = K.texts(b.column(at).cast(pa.string()))
+            keep = np.ones(b.num_rows, bool)
+            for i, j in K.slices(t.offsets, SHARD_BYTES):
+                a = t.offsets[i]
+                shard = Shard(_postings(np.arange(i, j), K.Texts(t.data[a : t.offsets[j]], t.offsets[i : j + 1] - a)))
+                for block in blocks:
+                    _, start = shard.phrases(block.value.terms, block.value.size)
+                    keep[i + np.searchsorted(shard.bounds, start, side="right") - 1] = False
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ranklode.llm import kernels as K
 from ranklode.session import cut, ship
@@ -186,13 +187,20 @@ def estimates(rows: DataFrame) -> DataFrame:
     return _few(fit.join(mid, F.col("_g") == F.col("g")).withColumn("scale", scale).drop("g", "_at", "vary"))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """The statistics of each document with base_failed, distance (null where the base rules
-    decide alone) and kept."""
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    stats = cut(statistics(docs).withColumn("base_failed", failed), "stats")
+def _failed() -> F.Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _groups() -> tuple[F.Column, F.Column]:
+    """Names of a row's pair of language and source, and of its language."""
     text = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
-    pair, lang = F.concat(text(F.col("lang")), F.lit("\t"), text(F.col("source"))), text(F.col("lang"))
+    return F.concat(text(F.col("lang")), F.lit("\t"), text(F.col("source"))), text(F.col("lang"))
+
+
+def _model(stats: DataFrame):
+    """From statistics with base_failed: the rows to judge with their group and vector, the group
+    that judges each pair, and the estimates."""
+    pair, lang = _groups()
     fitted = stats.filter("not base_failed")
     pairs = cut(fitted.groupBy(pair.alias("_pair"), lang.alias("_lang")).agg(F.count("*").alias("_n")), "pairs")
     langs = pairs.groupBy("_lang").agg(F.sum("_n").alias("_all"), F.min("_n").alias("_least"))
@@ -203,7 +211,14 @@ def judged(docs: DataFrame) -> DataFrame:
     rows = fitted.select("*", pair.alias("pair")).join(groups, F.col("pair") == F.col("_pair"))
     rows = rows.select("doc_id", *STATS.names[3:], "lang", "source", "g", "fits", *(v.alias(f"x{i}") for i, v in enumerate(_vector())))
     rows = cut(rows, "vectors")
-    fit = estimates(rows.select(F.explode("fits").alias("g"), *(f"x{i}" for i in range(P))))
+    return rows, groups, estimates(rows.select(F.explode("fits").alias("g"), *(f"x{i}" for i in range(P))))
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """The statistics of each document with base_failed, distance (null where the base rules
+    decide alone) and kept."""
+    stats = cut(statistics(docs).withColumn("base_failed", _failed()), "stats")
+    rows, _, fit = _model(stats)
     seen = rows.join(fit, F.col("g") == F.col("_g"), "left").withColumn("distance", _distance("mean", "inv") / F.col("scale"))
     out = [F.col(k) for k in ("doc_id", "lang", "source", *STATS.names[3:])]
     seen = seen.select(*out, F.lit(False).alias("base_failed"), "distance", F.coalesce(F.col("distance") <= CUT_OFF, F.lit(True)).alias("kept"))
@@ -212,7 +227,20 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that all rules keep, with their columns. Rows that share a doc_id go
-    together if one of them is rejected."""
-    rejected = judged(docs).filter("not kept").select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, F.col("doc_id").cast("long").eqNullSafe(F.col("_rejected")), "left_anti")
+    """The documents that all rules keep, with their columns. Each row is judged by itself,
+    whatever its doc_id: it is measured again and meets the estimates, and no text is shuffled
+    unless the groups are too many to broadcast."""
+    _, groups, fit = _model(cut(statistics(docs).withColumn("base_failed", _failed()), "stats"))
+
+    def measured(batches):
+        for b in batches:
+            row = b.column(0)
+            s = measure(K.texts(row.field("text").cast(pa.string())))
+            yield pa.RecordBatch.from_arrays([row, *(pa.array(x, pa.int64()) for x in s)], names=["_row", *STATS.names[3:]])
+
+    schema = StructType([StructField("_row", docs.schema, False), *(StructField(k, LongType()) for k in STATS.names[3:])])
+    rows = docs.select(F.struct("*").alias("_row")).mapInArrow(measured, schema).filter(~_failed())
+    rows = rows.withColumn("lang", F.col("_row.lang").cast("string")).withColumn("source", F.col("_row.source").cast("string"))
+    rows = rows.select("_row", _groups()[0].alias("pair"), *(v.alias(f"x{i}") for i, v in enumerate(_vector())))
+    rows = rows.join(groups.select("_pair", "g"), F.col("pair") == F.col("_pair")).join(fit, F.col("g") == F.col("_g"), "left")
+    return rows.filter(F.coalesce(_distance("mean", "inv") / F.col("scale") <= CUT_OFF, F.lit(True))).select("_row.*")

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import corpus_pipeline as P
@@ -26,3 +27,19 @@ def test_stages_do_what_operators_say(spark):
     last = P.STAGES[4][1](spark, step, SF)
     assert Counter(r.doc_id for r in last.collect()) == Counter({k: v for k, v in copies.items() if v})
     assert Counter(r.doc_id for r in P.run(spark, SF).collect()) == Counter({k: v for k, v in copies.items() if v})
+
+
+def test_rows_are_judged_by_themselves(spark):
+    r = random.Random(8)
+    say = lambda k: " ".join("".join(r.choice("abcdefg") for _ in range(r.randint(3, 8))) for _ in range(k))
+    good, passage = [say(80) for _ in range(6)], say(12)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row int"
+    row = lambda i, t: (i, t, "en", "s", None, 1)
+    short = spark.createDataFrame([row(None, good[0]), row(None, "too short"), row(7, good[1]), row(7, None), row(8, good[2])], schema)
+    out = quality.keep(short)
+    assert out.columns == short.columns
+    assert Counter((x.doc_id, x.text) for x in out.collect()) == Counter([(None, good[0]), (7, good[1]), (8, good[2])])
+    leaked = spark.createDataFrame([row(None, good[3]), row(None, f"{good[4]} {passage}"), row(7, good[4]), row(7, passage), row(9, None)], schema)
+    out = decontam.clean(leaked, spark.createDataFrame([(1, passage)], "item_id long, text string"))
+    assert out.columns == leaked.columns
+    assert Counter((x.doc_id, x.text) for x in out.collect()) == Counter([(None, good[3]), (7, good[4]), (9, None)])
