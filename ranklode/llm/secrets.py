@@ -5,7 +5,8 @@ strings: candidates are runs of the characters of a class; a window slides over
 counts of its characters updated by one in and one out, and the entropy kept as a sum of
 n*log2(n); windows at or above the class's threshold are merged. An allow-list then drops what
 is known to be harmless: UUIDs, runs without a digit or without two kinds of characters,
-paths and addresses, and strings given by the caller. Added spans that a base span overlaps are
+addresses, paths (several separators, and the pieces between them are words and numbers), and
+strings given by the caller. Added spans that a base span overlaps are
 dropped too; base spans always stay. Offsets are code points, ends exclusive.
 
 Null texts are empty; rows are judged one by one, so repeated rows and null ids need no
@@ -38,6 +39,11 @@ CLASSES = {
     "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 3.9),
 }
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+SEPARATORS = re.compile(r"[/_+=-]+")
+#: Pieces of a path: words, with a number before or after, camel case, and numbers.
+PLAIN = re.compile(r"[0-9]*(?:[A-Z]?[a-z]+|[A-Z]+|(?:[A-Z]?[a-z]{2,})+)[0-9]*|[0-9]+")
+#: A piece of at least so many characters that isn't plain is no part of a path.
+PIECE = 12
 _XLOG = [0.0] + [n * math.log2(n) for n in range(1, 1025)]
 
 
@@ -64,8 +70,25 @@ def hot_windows(s: str, window: int, least: float):
     return out
 
 
-def allowed(text: str, start: int, end: int, s: str, allow: frozenset[str]) -> bool:
-    """Whether a candidate is known to be harmless."""
+def path_like(s: str, start: int, end: int) -> bool:
+    """Whether start:end of a run is part of a path: of the pieces it touches none is long and
+    random, and plain ones make up half at least. The length of the run doesn't count."""
+    if max(map(s.count, "/-_")) <= 3:
+        return False
+    at, plain, size = 0, 0, 0
+    for a, b in [*(m.span() for m in SEPARATORS.finditer(s)), (len(s), len(s))]:
+        if at < end and start < a:
+            size += a - at
+            if PLAIN.fullmatch(s, at, a):
+                plain += a - at
+            elif a - at >= PIECE:
+                return False
+        at = b
+    return 2 * plain >= size
+
+
+def allowed(text: str, start: int, end: int, s: str, at: int, allow: frozenset[str]) -> bool:
+    """Whether a span of the candidate s, which stands at ``at``, is known to be harmless."""
     kinds = any("a" <= c <= "z" for c in s) + any("A" <= c <= "Z" for c in s)
     if s in allow or not any("0" <= c <= "9" for c in s) or not kinds:
         return True
@@ -73,7 +96,7 @@ def allowed(text: str, start: int, end: int, s: str, allow: frozenset[str]) -> b
     if any(u.start() < end - max(0, start - 36) and u.end() > start - max(0, start - 36) for u in UUID.finditer(around)):
         return True
     word = text[max((text.rfind(c, 0, start) for c in " \n\t"), default=-1) + 1 : start]
-    return "://" in word or s.count("/") > 3 or s.count("-") > 3 or s.count("_") > 3
+    return "://" in word or path_like(s, start - at, end - at)
 
 
 def find(text: str, allow: frozenset[str] = frozenset()) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, int, str]]]:
@@ -92,7 +115,7 @@ def find(text: str, allow: frozenset[str] = frozenset()) -> tuple[list[tuple[int
                 a, b = a + m.start(), b + m.start()
                 if any(x[0] < b and a < x[2] for x in base) or any(x[0] < b and a < x[2] for x in added):
                     continue
-                if not allowed(text, a, b, m[0], allow):
+                if not allowed(text, a, b, m[0], m.start(), allow):
                     added.append((a, ORDER[kind], b, kind))
     return base, sorted(base + added)
 

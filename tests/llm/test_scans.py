@@ -129,6 +129,21 @@ def test_redaction(spark, none):
     assert secrets.scan(none).collect() == [] and secrets.redact(none).collect() == []
 
 
+def test_long_random_secrets():
+    r = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for more in ("+/", "-_"):
+        for n in (64, 128, 256, 344, 512, 1000):
+            for _ in range(40):
+                s = "".join(r.choice(letters + more) for _ in range(n))
+                found = secrets.find(f"see {s} end")[1]
+                assert sum(b - a for a, _, b, _ in found) >= 0.9 * n, s
+    key = "".join(r.choice(letters) for _ in range(40))
+    assert key not in secrets.redacted(f"in /var/lib/app/data/{key} now", "[SECRET]", frozenset())
+    for path in ("/usr/local/lib/python313/site-packages/numpy/linalg/LinAlg2", "a-long-title-of-2024-with-Many-words-in-it-part7", "org_apache_Spark_sql_catalyst_optimizer_Rule42_test"):
+        assert not secrets.find(f"see {path} end")[1]
+
+
 # --- quality ----------------------------------------------------------------------------
 
 
