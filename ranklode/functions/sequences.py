@@ -25,8 +25,17 @@ def best_alignment(gain: np.ndarray) -> float:
 @F.pandas_udf(IntegerType())
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x, y):
-        x, y = np.asarray(x, object), np.asarray(y, object)
-        return int(best_alignment((x[:, None] == y[None]).astype(float))) if len(x) and len(y) else 0
+        """A bit for each word of x, cleared where the subsequence grows: one addition of long
+        integers a word of y, so whole documents fit."""
+        at: dict = {}
+        for k, w in enumerate(x):
+            at[w] = at.get(w, 0) | 1 << k
+        full = (1 << len(x)) - 1
+        left = full
+        for w in y:
+            if hit := left & at.get(w, 0):
+                left = (left + hit | left - hit) & full
+        return len(x) - left.bit_count()
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 

@@ -117,7 +117,7 @@ def s218_passage_aggregation(t):
 
 @query(None)
 def f13_common_subsequence(t):
-    w = t.documents.select("doc_id", F.slice(T.tokens("text"), 1, 40).alias("w"))
+    w = t.documents.select("doc_id", T.tokens("text").alias("w"))
     nxt = w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
     return w.join(nxt, "doc_id").select("doc_id", Q.common_subsequence("w", "v").alias("lcs"))
 

@@ -39,3 +39,18 @@ def test_against_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).limit(1).count() == 1
+
+
+def test_common_subsequence_of_whole_documents(spark):
+    words = {r.doc_id: (r.text or "").lower().split() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r.lcs for r in QUERIES["f13_common_subsequence"](spark, SF).collect()}
+    assert set(got) == {k for k in words if k + 1 in words}
+    some = [k for k in got if len(words[k]) * len(words[k + 1]) < 100_000]
+    assert len(some) > 20 and max(got.values()) > 40
+    for k in some:
+        best = [0] * (len(words[k + 1]) + 1)
+        for x in words[k]:
+            last = best[:]
+            for j, y in enumerate(words[k + 1]):
+                best[j + 1] = last[j] + 1 if x == y else max(last[j + 1], best[j])
+        assert got[k] == best[-1]
