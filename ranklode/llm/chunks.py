@@ -4,7 +4,9 @@ A chunk is all documents whose id hashes to one number: a few MB of text. A chun
 each bucket once which hashes it has, however often it has them, and a bucket answers
 each chunk once. So a key that a third of all documents share costs one entry for each
 chunk, and neither side ever gathers an unbounded group. Both numbers follow the bytes of text, and
-an exchange has at most as many rows as hashes, however many chunks and buckets. The text is shuffled once: every
+an exchange has at most as many rows as hashes, however many chunks and buckets; the tasks that
+take them in turn are those of the cluster's setting, or up to ``MOST_PARTS`` more. Rows without
+doc_id are dealt by text and place in the input, so they fill no chunk. The text is shuffled once: every
 step over the chunks reads the same exchange, which Spark reuses within a query.
 """
 
@@ -21,7 +23,7 @@ from ranklode.session import n_shuffle
 
 #: Text of a chunk, and the least that is worth a chunk of its own to keep all cores busy.
 CHUNK_BYTES, LEAST_BYTES = 4 << 20, 1 << 20
-PART_BYTES = 24 << 20
+PART_BYTES, MOST_PARTS = 24 << 20, 20_000
 
 
 @dataclass
@@ -36,10 +38,11 @@ def chunked(docs: DataFrame) -> Chunked:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(n_shuffle(spark), -(-size // PART_BYTES))
+    parts = max(n_shuffle(spark), min(-(-size // PART_BYTES), MOST_PARTS))
     chunks = max(-(-size // CHUNK_BYTES), min(4 * parts, -(-size // LEAST_BYTES)), 1)
-    c = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(chunks)).cast("int").alias("c")
-    return Chunked(docs.select(c, "doc_id", "text").repartition(parts, "c"), chunks, min(chunks, 4 * parts), size)
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.spark_partition_id())).otherwise(F.xxhash64("doc_id"))
+    c = F.pmod(key, F.lit(chunks)).cast("int").alias("c")
+    return Chunked(docs.select(c, "doc_id", "text").repartition(parts, "c"), chunks, min(chunks, 32 * parts), size)
 
 
 def by_bucket(bucket: np.ndarray, *columns: np.ndarray):

@@ -2,9 +2,10 @@
 
 The index is split by documents: a shard is some documents whose texts add up to a few MB,
 and its row holds, for every term, the ascending positions of its postings (a position counts
-the words of the shard). It knows nothing of any benchmark, so it can be stored and searched
-again. A search takes the test items in blocks of bounded size to the shards. For each window
-of an item a shard starts from the term with the fewest postings there, shifts that list by
+the words of the shard). It knows nothing of any benchmark: it is written once and searched as
+often as needed, without the corpus. The test items are written to the shared folder too, as blocks
+of bounded size; a task that searches some shards reads the blocks one after the other, so neither
+the driver nor a task ever holds the benchmark. For each window of an item a shard starts from the term with the fewest postings there, shifts that list by
 the term's offset, and intersects it with the shifted lists of the other terms, rarest first;
 all windows advance together. What is left are exact phrase matches. Proximity matches relax
 the offsets to a distance. No text is shuffled and no key is gathered, so common terms, shared
@@ -20,41 +21,49 @@ without items nothing is hit. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklode.llm import kernels as K
-from ranklode.session import ship
+from ranklode.llm import store
+from ranklode.session import cut, shared_dir, ship
 
 WINDOW = 10
 SHARD_BYTES = 2 << 20
-#: Test items go to the shards in blocks of at most so many words (some 30 MB).
+#: A block of test items has at most so many words (some 30 MB with its windows), or one item.
 BLOCK_WORDS = 400_000
-INDEX = pa.schema([(k, pa.binary()) for k in ("doc_ids", "bounds", "terms", "counts", "positions")])
-INDEX_DDL = "doc_ids binary, bounds binary, terms binary, counts binary, positions binary"
+#: Text of the shards that a task searches while it reads the blocks once.
+TAKE_BYTES = 8 << 20
+INDEX = pa.schema([(k, pa.binary()) for k in ("doc_ids", "nulls", "bounds", "terms", "counts", "positions")])
+INDEX_DDL = "doc_ids binary, nulls binary, bounds binary, terms binary, counts binary, positions binary"
+BLOCKS = pa.schema([("names", pa.list_(pa.string())), ("bounds", pa.binary()), ("terms", pa.binary())])
+BLOCKS_DDL = "names array<string>, bounds binary, terms binary"
 HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 
 
 def _shards(batches):
-    """Document batches as (ids, texts) of about SHARD_BYTES."""
-    ids, parts, size = [], [], 0
+    """Document batches as (ids, which are null, texts) of about SHARD_BYTES."""
+    ids, nulls, parts, size = [], [], [], 0
     for b in batches:
         t = K.texts(b.column("text"))
-        doc = K.ids(b.column("doc_id"))
+        doc, null = K.ids(b.column("doc_id"))
         for i, j in K.slices(t.offsets, SHARD_BYTES):
             a = t.offsets[i]
             part = K.Texts(t.data[a : t.offsets[j]], t.offsets[i : j + 1] - a)
             ids.append(doc[i:j])
+            nulls.append(null[i:j])
             parts.append(part)
             size += len(part.data)
             if size >= SHARD_BYTES:
-                yield np.concatenate(ids), _joined(parts)
-                ids, parts, size = [], [], 0
+                yield np.concatenate(ids), np.concatenate(nulls), _joined(parts)
+                ids, nulls, parts, size = [], [], [], 0
     if parts:
-        yield np.concatenate(ids), _joined(parts)
+        yield np.concatenate(ids), np.concatenate(nulls), _joined(parts)
 
 
 def _joined(parts: list[K.Texts]) -> K.Texts:
@@ -64,24 +73,24 @@ def _joined(parts: list[K.Texts]) -> K.Texts:
     return K.Texts(np.concatenate([p.data for p in parts]), np.concatenate([[0], *(p.offsets[1:] + a for p, a in zip(parts, at[:-1], strict=True))]))
 
 
-def _postings(ids: np.ndarray, t: K.Texts) -> dict[str, bytes]:
+def _postings(ids: np.ndarray, nulls: np.ndarray, t: K.Texts) -> dict[str, bytes]:
     """The row of a shard."""
     w = K.words(t, K.ALNUM, lower=True)
     order = np.argsort(w.hash, kind="stable").astype(np.int32)
     h = w.hash[order]
     head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-    columns = (ids, w.bounds, h[head], np.diff(np.r_[head, len(h)]).astype(np.int32), order)
+    columns = (ids, nulls, w.bounds, h[head], np.diff(np.r_[head, len(h)]).astype(np.int32), order)
     return dict(zip(INDEX.names, map(K.blob, columns), strict=True))
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """One row for each shard: doc_ids, bounds (first position of each document, and the end),
+    """One row for each shard: doc_ids, nulls (rows without id), bounds (first position of each document, and the end),
     terms (ascending hashes), counts and positions (of the first term, then the second, ...)."""
     ship(docs.sparkSession)
 
     def build(batches):
-        for ids, t in _shards(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in _postings(ids, t).values()], schema=INDEX)
+        for shard in _shards(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in _postings(*shard).values()], schema=INDEX)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(build, INDEX_DDL)
 
@@ -89,6 +98,7 @@ def build_index(docs: DataFrame) -> DataFrame:
 class Shard:
     def __init__(self, row: dict):
         self.ids = np.frombuffer(row["doc_ids"], np.int64)
+        self.nulls = np.frombuffer(row["nulls"], bool)
         self.bounds = np.frombuffer(row["bounds"], np.int64)
         self.terms = np.frombuffer(row["terms"], K.U64)
         self.counts = np.frombuffer(row["counts"], np.int32).astype(np.int64)
@@ -167,58 +177,109 @@ class Shard:
 class Items:
     """Windows of a block of test items."""
 
-    def __init__(self, item_ids: list, texts: pa.Array, window: int):
-        w = K.words(K.texts(texts), K.ALNUM, lower=True)
-        n = w.counts()
+    def __init__(self, names: list, bounds: np.ndarray, terms: np.ndarray, window: int):
+        n = np.diff(bounds)
         size = np.minimum(n, window)
         count = np.where(n > 0, n - size + 1, 0)
         self.item = np.repeat(np.arange(len(n)), count)
-        start = K.ranges(w.bounds[:-1], count)
+        start = K.ranges(bounds[:-1], count)
         self.size = size[self.item]
         at = start[:, None] + np.arange(window)
         at = np.where(np.arange(window) < self.size[:, None], at, start[:, None])
-        self.terms = w.hash[at] if len(start) else np.zeros((0, window), K.U64)
-        self.names = [None if x is None else str(x) for x in item_ids]
+        self.terms = terms[at] if len(start) else np.zeros((0, window), K.U64)
+        self.names = names
 
 
-def _blocks(items: DataFrame, window: int):
-    """Items of bounded size at a time, the benchmark over: small ones are one block."""
+def _pieces(batches):
+    """Rows of BLOCKS from items."""
+
+    def row(names, counts, terms):
+        bounds = np.cumsum([0, *counts])
+        return pa.RecordBatch.from_arrays([pa.array([names], BLOCKS.field(0).type), *(pa.array([K.blob(x)], pa.binary()) for x in (bounds, np.concatenate(terms)))], schema=BLOCKS)
+
+    names, counts, terms = [], [], []
+    for b in batches:
+        ids = b.column("item_id").to_pylist()
+        w = K.words(K.texts(b.column("text")), K.ALNUM, lower=True)
+        for k, n in enumerate(w.counts().tolist()):
+            if names and sum(counts) + n > BLOCK_WORDS:
+                yield row(names, counts, terms)
+                names, counts, terms = [], [], []
+            names.append(ids[k])
+            counts.append(n)
+            terms.append(w.hash[w.bounds[k] : w.bounds[k + 1]])
+    if names:
+        yield row(names, counts, terms)
+
+
+def write_items(items: DataFrame) -> str:
+    """The folder to which the test items are written as blocks."""
+    spark = items.sparkSession
+    ship(spark)
+    path = shared_dir(spark, "items")
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    n = max(1, -(-total // (2 * BLOCK_WORDS)))
-    for k in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        got = part.toArrow()
-        yield Items(got.column("item_id").to_pylist(), got.column("text").combine_chunks(), window)
+    rows.mapInArrow(_pieces, BLOCKS_DDL).write.option("parquet.block.size", str(32 << 20)).parquet(path)
+    return path
+
+
+def _read(path: str, window: int):
+    for f in store.place(path).files():
+        if f.endswith(".parquet"):
+            with store.open_file(path, f) as stream:
+                for b in pq.ParquetFile(stream).iter_batches(batch_size=1):
+                    for r in b.to_pylist():
+                        yield Items(r["names"], np.frombuffer(r["bounds"], np.int64), np.frombuffer(r["terms"], K.U64), window)
+
+
+@lru_cache(maxsize=1)
+def _first_two(path: str, window: int) -> list[Items]:
+    got = _read(path, window)
+    return [x for x, _ in zip(got, range(2), strict=False)]
+
+
+def _blocks(path: str, window: int):
+    """The blocks of items one by one; a worker keeps them if they are few."""
+    few = _first_two(path, window)
+    yield from few if len(few) < 2 else _read(path, window)
+
+
+def _taken(batches):
+    """Shards in lists of about TAKE_BYTES."""
+    shards, size = [], 0
+    for b in batches:
+        for row in b.to_pylist():
+            shards.append(Shard(row))
+            size += 4 * len(shards[-1].positions)
+            if size >= TAKE_BYTES:
+                yield shards
+                shards, size = [], 0
+    if shards:
+        yield shards
 
 
 def search(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each indexed document."""
-    spark = index.sparkSession
-    ship(spark)
-    blocks = [spark.sparkContext.broadcast(x) for x in _blocks(items, window)]
+    path = write_items(items)
 
     def look(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                shard = Shard(row)
-                hit = np.zeros(int(shard.bounds[-1]) + 1, np.int64)
-                found: list[set[str]] = [set() for _ in shard.ids]
-                for block in blocks:
-                    test = block.value
+        for shards in _taken(batches):
+            hits = [np.zeros(int(s.bounds[-1]) + 1, np.int64) for s in shards]
+            found: list[list[set[str]]] = [[set() for _ in s.ids] for s in shards]
+            for test in _blocks(path, window):
+                for shard, hit, names in zip(shards, hits, found, strict=True):
                     win, start = shard.phrases(test.terms, test.size)
                     np.add.at(hit, start, 1)
                     np.add.at(hit, start + test.size[win], -1)
                     pairs = np.unique(np.stack([np.searchsorted(shard.bounds, start, side="right") - 1, test.item[win]]), axis=1)
                     for d, i in pairs.T.tolist():
                         if test.names[i] is not None:
-                            found[d].add(test.names[i])
+                            names[d].add(test.names[i])
+            none = hashlib.sha256(b"").hexdigest()
+            for shard, hit, names in zip(shards, hits, found, strict=True):
                 n_hit = K.sums(np.cumsum(hit)[:-1] > 0, shard.bounds)
-                none = hashlib.sha256(b"").hexdigest()
-                digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() if x else none for x in found]
+                digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() if x else none for x in names]
                 yield pa.RecordBatch.from_arrays(
-                    [K.id_array(shard.ids), pa.array(np.diff(shard.bounds)), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0)],
+                    [K.id_array(shard.ids, shard.nulls), pa.array(np.diff(shard.bounds)), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0)],
                     schema=HITS,
                 )
 
@@ -228,50 +289,49 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
 def proximity(index: DataFrame, items: DataFrame, distance: int, window: int = WINDOW) -> DataFrame:
     """doc_id, item_id, position: windows of items whose words all come, in any order, within
     ``distance`` words of their rarest one (its position in the document)."""
-    spark = index.sparkSession
-    ship(spark)
-    blocks = [spark.sparkContext.broadcast(x) for x in _blocks(items, window)]
+    path = write_items(items)
 
     def look(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                shard = Shard(row)
-                for block in blocks:
-                    test = block.value
+        for shards in _taken(batches):
+            for test in _blocks(path, window):
+                for shard in shards:
                     win, place = shard.close(test.terms, test.size, distance)
                     text = np.searchsorted(shard.bounds, place, side="right") - 1
                     got = np.unique(np.stack([text, test.item[win], place - shard.bounds[text]]), axis=1)
-                    yield pa.RecordBatch.from_arrays([K.id_array(shard.ids[got[0]]), pa.array([test.names[i] for i in got[1].tolist()], pa.string()), pa.array(got[2], pa.int64())], names=["doc_id", "item_id", "position"])
+                    yield pa.RecordBatch.from_arrays([K.id_array(shard.ids[got[0]], shard.nulls[got[0]]), pa.array([test.names[i] for i in got[1].tolist()], pa.string()), pa.array(got[2], pa.int64())], names=["doc_id", "item_id", "position"])
 
     return index.mapInArrow(look, "doc_id long, item_id string, position long").distinct()
 
 
 def judged(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    return search(build_index(docs), items, window)
+    """As ``search``, over an index that is written to the shared folder first."""
+    return search(cut(build_index(docs), "index"), items, window)
 
 
 def drop(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any occurrence of a window. Rows that share a doc_id go together."""
     bad = judged(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    return rows.join(bad, F.col("_id").eqNullSafe(F.col("_bad")), "left_anti").select("_row.*")
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows without any occurrence of a window, each judged by itself, whatever its doc_id."""
-    spark = docs.sparkSession
-    ship(spark)
-    blocks = [spark.sparkContext.broadcast(x) for x in _blocks(items, window)]
+    """The rows without any occurrence of a window, each judged by itself, whatever its doc_id.
+    The rows of a batch are indexed where they are and go on with the verdict."""
+    path = write_items(items)
     at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
             t = K.texts(b.column(at).cast(pa.string()))
             keep = np.ones(b.num_rows, bool)
+            shards = []
             for i, j in K.slices(t.offsets, SHARD_BYTES):
                 a = t.offsets[i]
-                shard = Shard(_postings(np.arange(i, j), K.Texts(t.data[a : t.offsets[j]], t.offsets[i : j + 1] - a)))
-                for block in blocks:
-                    _, start = shard.phrases(block.value.terms, block.value.size)
+                shards.append((i, Shard(_postings(np.arange(i, j), np.zeros(j - i, bool), K.Texts(t.data[a : t.offsets[j]], t.offsets[i : j + 1] - a)))))
+            for test in _blocks(path, window):
+                for i, shard in shards:
+                    _, start = shard.phrases(test.terms, test.size)
                     keep[i + np.searchsorted(shard.bounds, start, side="right") - 1] = False
             yield b.filter(pa.array(keep))
 

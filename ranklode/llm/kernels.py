@@ -231,14 +231,14 @@ def join_blobs(column, dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
-def ids(column: pa.ChunkedArray) -> np.ndarray:
-    """Row ids as int64; null sorts behind every id."""
-    x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return x.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+NO_ID = (1 << 63) - 1
 
 
-NO_ID = (1 << 63) - 1
+def ids(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row ids as int64, and which of them are null: those hold NO_ID, which a row may have as well."""
+    x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return x.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False), x.is_null().to_numpy(zero_copy_only=False)
 
 
-def id_array(x: np.ndarray) -> pa.Array:
-    return pa.array(x, pa.int64(), mask=x == NO_ID)
+def id_array(x: np.ndarray, null: np.ndarray) -> pa.Array:
+    return pa.array(x, pa.int64(), mask=null)

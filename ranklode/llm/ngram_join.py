@@ -56,9 +56,9 @@ class _Sets:
     """Sorted distinct run hashes of each document that has an id and a word."""
 
     def __init__(self, table: pa.Table, run: int):
-        doc = K.ids(table.column("doc_id"))
-        order = np.argsort(doc, kind="stable")
-        self.doc = doc[order]
+        doc, null = K.ids(table.column("doc_id"))
+        order = np.lexsort((null, doc))
+        self.doc, self.null = doc[order], null[order]
         words = K.words(K.texts(table.column("text").combine_chunks().take(pa.array(order))), lower=True)
         n = words.counts()
         h = K.mix(K.grams(words.hash, run))
@@ -75,7 +75,7 @@ class _Sets:
         self.n = np.array([len(s) for s in self.sets], np.int64)
 
     def only(self, docs: np.ndarray):
-        keep = np.flatnonzero(K.member(self.doc, np.sort(docs)) & (self.n > 0) & (self.doc != K.NO_ID))
+        keep = np.flatnonzero(K.member(self.doc, np.sort(docs)) & (self.n > 0) & ~self.null)
         return self.doc[keep], [self.sets[k] for k in keep]
 
 
@@ -270,7 +270,7 @@ def _survivors(d, run: int, firsts: DataFrame) -> DataFrame:
         if not table.num_rows or not chosen.num_rows:
             return tell.empty_table()
         c = key[0].as_py()
-        _, sets = _Sets(table, run).only(K.ids(chosen.column("doc")))
+        _, sets = _Sets(table, run).only(K.ids(chosen.column("doc"))[0])
         if not sets:
             return tell.empty_table()
         h = np.concatenate([s[_half(s)] for s in sets])
@@ -281,7 +281,7 @@ def _survivors(d, run: int, firsts: DataFrame) -> DataFrame:
         if not table.num_rows or not told.num_rows:
             return out.empty_table()
         chosen = told.filter(pc.is_valid(told.column("doc")))
-        docs, sets = _Sets(table, run).only(K.ids(chosen.column("doc")))
+        docs, sets = _Sets(table, run).only(K.ids(chosen.column("doc"))[0])
         if not sets:
             return out.empty_table()
         heard = told.filter(pc.is_valid(told.column("h")))
@@ -423,7 +423,7 @@ def classes(docs: DataFrame, run: int = RUN) -> DataFrame:
             s = _Sets(pa.Table.from_batches([batch]), run)
             one = [np.add.reduce(x) if len(x) else K.U64(0) for x in s.sets]
             two = [np.add.reduce(K.mix(x, 3)) if len(x) else K.U64(0) for x in s.sets]
-            yield pa.RecordBatch.from_arrays([K.id_array(s.doc), pa.array(s.n), *(pa.array(np.array(x, K.U64).view(np.int64)) for x in (one, two))], schema=out)
+            yield pa.RecordBatch.from_arrays([K.id_array(s.doc, s.null), pa.array(s.n), *(pa.array(np.array(x, K.U64).view(np.int64)) for x in (one, two))], schema=out)
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = cut(narrow.mapInArrow(digest, ddl(out)), "digests")

@@ -1,12 +1,18 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-Every document is factored against the documents before it. The reference is held in
-indexed blocks: block b keeps, for the runs of ``window`` words whose hash falls to it,
-the first place of each (smallest doc_id, then earliest start). A document is parsed from
-left to right: a factor is a longest stretch that follows one place of the reference word
-by word; at a factor's end the runs that straddle it are looked up too, so a run that
-continues elsewhere starts the next factor, overlapping the last. Factors of at least
-``window`` words are duplicate spans.
+Every document is factored against the text before it. The reference is that text without its
+repeats: of each run of ``window`` words the first place (smallest doc_id, then earliest start).
+It is held in indexed blocks; block b has the places of the runs whose hash falls to it, and a
+document's runs are looked up in all of them. As a run stands in the reference once, there is one
+place to extend a factor from, and the longest factor is that which follows it word by word.
+
+A document is parsed greedily from left to right: from the first run that has an earlier place
+the factor goes on as long as the next run's place is the next word of the reference; the parse
+goes on at the factor's end. Where no run starts there, the runs that straddle the end are
+checked, and the last one that has an earlier place starts the next factor, which overlaps the
+one before. So the factors, all of at least ``window`` words, cover just the words of runs that
+also start earlier: those are the duplicate spans. A copy of a text that itself repeats an earlier
+one is parsed into factors of both.
 
 Most text repeats nowhere, so a filter comes first: each run is known by an anchor, the
 least hash among its shorter runs of words; equal runs have equal anchors, and only runs
@@ -33,6 +39,8 @@ from ranklode.llm.chunks import by_bucket, chunked, ddl, packed, rows, shared_ha
 from ranklode.session import ship
 
 WINDOW = 20
+#: Starts in rows without id are moved so far that their places come behind all others.
+FAR = 1 << 30
 FACTORS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("ref_doc_id", pa.int64()), ("ref_start", pa.int32())])
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_factors", pa.int64())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_removed", pa.int64())])
@@ -42,9 +50,9 @@ class _Chunk:
     """Words and runs of a chunk's documents, in order of doc_id."""
 
     def __init__(self, table: pa.Table, window: int):
-        doc = K.ids(table.column("doc_id"))
-        order = np.argsort(doc, kind="stable")
-        self.doc, self.window = doc[order], window
+        doc, null = K.ids(table.column("doc_id"))
+        order = np.lexsort((null, doc))
+        self.doc, self.null, self.window = doc[order], null[order], window
         self.texts = K.texts(table.column("text").combine_chunks().take(pa.array(order)))
         self.words = K.words(self.texts)
         k = (window + 1) // 2
@@ -71,7 +79,10 @@ class _Chunk:
         i = K.ranges(head[ok], size[ok])
         h1 = K.mix(K.grams(self.words.hash, self.window, K.GRAM1)[self.at[i]])
         h2 = K.mix(K.grams(K.mix(self.words.hash, 1), self.window, K.GRAM2)[self.at[i]])
-        order = np.lexsort((h2, h1))
+        keys = (h2, h1)
+        if (self.doc[1:] == self.doc[:-1]).any():  # rows that share an id: their words aren't in order of place
+            keys = (*self.place(i)[::-1], *keys)
+        order = np.lexsort(keys)
         new = np.r_[True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])] if len(i) else np.zeros(0, bool)
         first = np.empty(len(i), np.int64)
         first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(i) else 0
@@ -81,7 +92,7 @@ class _Chunk:
         """doc_id and start within the document of runs."""
         at = self.at[i]
         text = np.searchsorted(self.words.bounds, at, side="right") - 1
-        return self.doc[text], (at - self.words.bounds[text]).astype(np.int32)
+        return self.doc[text], (at - self.words.bounds[text] + FAR * self.null[text]).astype(np.int32)
 
 
 def _parsed(docs: DataFrame, window: int, finish, schema: pa.Schema) -> DataFrame:
@@ -140,7 +151,9 @@ def _parsed(docs: DataFrame, window: int, finish, schema: pa.Schema) -> DataFram
             rdoc[got], rstart[got] = there["rdoc"][place[first][got]], there["rstart"][place[first][got]]
         again = (rdoc < doc) | ((rdoc == doc) & (rstart < start))
         order = np.flatnonzero(again)  # i is ascending: documents in order, starts in order
-        return finish(chunk, i[order], doc[order], start[order], rdoc[order], rstart[order])
+        head, length = greedy(chunk.at[i[order]], rdoc[order], rstart[order], window)
+        at = order[head]
+        return finish(chunk, chunk.at[i[at]], length, rdoc[at], rstart[at])
 
     told = d.docs.groupBy("c").applyInArrow(anchors, ddl(tell))
     shared = shared_hashes(told, K.U64)
@@ -161,29 +174,42 @@ def _find(doc, start, docs, starts):
     return np.where(have[at] == want, at, -1)
 
 
-def _factor_heads(i, rdoc, rstart):
-    """Where a factor begins: the run before isn't its neighbour, here or in the reference."""
-    if not len(i):
-        return np.zeros(0, np.int64)
-    return np.flatnonzero(np.r_[True, (i[1:] != i[:-1] + 1) | (rdoc[1:] != rdoc[:-1]) | (rstart[1:] != rstart[:-1] + 1)])
+def greedy(at: np.ndarray, rdoc: np.ndarray, rstart: np.ndarray, window: int):
+    """The parse: from the ascending words at which runs with an earlier place start, and those
+    places, the index of each factor's first run and the factor's words."""
+    n = len(at)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.r_[(at[1:] != at[:-1] + 1) | (rdoc[1:] != rdoc[:-1]) | (rstart[1:] != rstart[:-1] + 1), True]
+    last = np.flatnonzero(ends)[np.cumsum(np.r_[0, ends[:-1]])]  # the last run that follows the same place
+    end = at[last] + window
+    onward = np.searchsorted(at, end)
+    there = (onward < n) & (at[np.minimum(onward, n - 1)] == end)
+    straddles = (onward - 1 > last) & (at[onward - 1] + window > end)
+    onward = np.where(~there & straddles, onward - 1, onward).tolist()
+    heads, k = [], 0
+    while k < n:
+        heads.append(k)
+        k = onward[k]
+    head = np.array(heads)
+    return head, end[head] - at[head]
 
 
 def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Long factors: ``length`` words at word ``start`` of doc_id that also stand at word
     ``ref_start`` of ref_doc_id. Neighbouring factors may overlap by less than a window."""
 
-    def finish(chunk, i, doc, start, rdoc, rstart):
-        text = np.searchsorted(chunk.words.bounds, chunk.at[i], side="right")
-        head = _factor_heads(chunk.at[i] + text, rdoc, rstart)
-        length = np.diff(np.r_[head, len(i)]) + window - 1
-        return pa.table([K.id_array(doc[head]), pa.array(start[head], pa.int32()), pa.array(length, pa.int32()), K.id_array(rdoc[head]), pa.array(rstart[head], pa.int32())], schema=FACTORS)
+    def finish(chunk, at, length, rdoc, rstart):
+        text = np.searchsorted(chunk.words.bounds, at, side="right") - 1
+        start, far = at - chunk.words.bounds[text], rstart >= FAR
+        return pa.table([K.id_array(chunk.doc[text], chunk.null[text]), pa.array(start, pa.int32()), pa.array(length, pa.int32()), K.id_array(rdoc, far), pa.array(np.where(far, rstart - FAR, rstart), pa.int32())], schema=FACTORS)
 
     return _parsed(docs, window, finish, FACTORS)
 
 
-def _kept(chunk: _Chunk, i: np.ndarray):
-    """For each document: words, words removed, and the kept ones joined by a space."""
-    gone = K.covered(chunk.at[i], chunk.window, len(chunk.words.start))
+def _kept(chunk: _Chunk, at: np.ndarray, length: np.ndarray):
+    """For each document: words, words that factors cover, and the kept ones joined by a space."""
+    gone = K.covered(at, length, len(chunk.words.start))
     n, removed = chunk.words.counts(), K.sums(gone, chunk.words.bounds)
     for k in range(len(chunk.doc)):
         split = chunk.texts.bytes(k).split()
@@ -195,12 +221,11 @@ def _kept(chunk: _Chunk, i: np.ndarray):
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, n_factors of each document."""
 
-    def finish(chunk, i, doc, start, rdoc, rstart):
-        text = np.searchsorted(chunk.words.bounds, chunk.at[i], side="right") - 1
-        head = _factor_heads(chunk.at[i] + text, rdoc, rstart)
-        per = np.bincount(text[head], minlength=len(chunk.doc))
-        out = [(n, r, hashlib.sha256(t).hexdigest()) for n, r, t in _kept(chunk, i)]
-        return pa.table([K.id_array(chunk.doc), *(pa.array([x[k] for x in out], DIGEST[k + 1].type) for k in range(3)), pa.array(per, pa.int64())], schema=DIGEST)
+    def finish(chunk, at, length, rdoc, rstart):
+        text = np.searchsorted(chunk.words.bounds, at, side="right") - 1
+        per = np.bincount(text, minlength=len(chunk.doc))
+        out = [(n, r, hashlib.sha256(t).hexdigest()) for n, r, t in _kept(chunk, at, length)]
+        return pa.table([K.id_array(chunk.doc, chunk.null), *(pa.array([x[k] for x in out], DIGEST[k + 1].type) for k in range(3)), pa.array(per, pa.int64())], schema=DIGEST)
 
     return _parsed(docs, window, finish, DIGEST)
 
@@ -208,8 +233,8 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text of the kept words joined by a space, n_removed."""
 
-    def finish(chunk, i, doc, start, rdoc, rstart):
-        out = list(_kept(chunk, i))
-        return pa.table([K.id_array(chunk.doc), pa.array([x[2].decode() for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], schema=KEPT)
+    def finish(chunk, at, length, rdoc, rstart):
+        out = list(_kept(chunk, at, length))
+        return pa.table([K.id_array(chunk.doc, chunk.null), pa.array([x[2].decode() for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], schema=KEPT)
 
     return _parsed(docs, window, finish, KEPT)

@@ -11,7 +11,7 @@ What stands behind a file's last separator is an unclosed document; it is return
 ``closed`` false. A document without tokens has count 0. Odd bytes at a file's end are an error.
 
 ``write`` tokenises documents into such files (one for each task, ids beside them in a file of
-64-bit numbers, in the same order). The tokenizer's model is a parameter; its end-of-document id
+64-bit numbers with a mark for null, in the same order). The tokenizer's model is a parameter; its end-of-document id
 must be one that no text can give. Null texts have no tokens. Rows with null or equal doc_ids
 are counted one by one. Empty tables give no file and an empty result. Extra columns are ignored.
 """
@@ -31,6 +31,7 @@ from ranklode.session import shared_dir, ship
 MODEL, END = "/opt/tokenizers/piece_bpe_32k.model", 2
 BLOCK_BYTES = 8 << 20
 DTYPE = np.dtype("<u2")
+ID = np.dtype([("id", "<i8"), ("null", "?")])
 
 
 # --- writing ----------------------------------------------------------------------------
@@ -68,13 +69,15 @@ class TokenWriter(DataSourceArrowWriter):
                     data = np.array(t, DTYPE).tobytes()
                     out.write(data)
                     size += len(data)
-            ids.write(K.ids(batch.column("doc_id")).astype("<i8").tobytes())
+            record = np.empty(batch.num_rows, ID)
+            record["id"], record["null"] = K.ids(batch.column("doc_id"))
+            ids.write(record.tobytes())
             docs += batch.num_rows
         if out is None:
             return _Written([])
         out.close()
         ids.close()
-        return _Written([{"name": name, "size": size}, {"name": id_name, "size": 8 * docs, "of": name}])
+        return _Written([{"name": name, "size": size}, {"name": id_name, "size": ID.itemsize * docs, "of": name}])
 
     def commit(self, messages):
         store.commit(self.path, [f for m in messages if m for f in m.files])
@@ -129,7 +132,8 @@ class IdReader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self):
-        out = [_Block(f["of"], f["name"], a, min(a + BLOCK_BYTES, f["size"])) for f in store.manifest(self.path) or [] if "of" in f for a in range(0, f["size"], BLOCK_BYTES)]
+        step = BLOCK_BYTES // ID.itemsize * ID.itemsize
+        out = [_Block(f["of"], f["name"], a, min(a + step, f["size"])) for f in store.manifest(self.path) or [] if "of" in f for a in range(0, f["size"], step)]
         return out or [_Block(None, 0, 0, 0)]
 
     def read(self, p):
@@ -137,9 +141,9 @@ class IdReader(DataSourceReader):
             return
         with store.open_file(self.path, p.block) as f:
             f.seek(p.start)
-            ids = np.frombuffer(f.read(p.end - p.start), "<i8")
-        at = np.arange(p.start // 8, p.start // 8 + len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array([p.file] * len(ids), pa.string()), pa.array(at), K.id_array(ids.astype(np.int64))], names=["file", "ordinal", "doc_id"])
+            ids = np.frombuffer(f.read(p.end - p.start), ID)
+        at = np.arange(len(ids)) + p.start // ID.itemsize
+        yield pa.RecordBatch.from_arrays([pa.array([p.file] * len(ids), pa.string()), pa.array(at), K.id_array(ids["id"].astype(np.int64), ids["null"])], names=["file", "ordinal", "doc_id"])
 
 
 class FlatTokens(DataSource):
