@@ -3,11 +3,15 @@
 Base spans come from the three patterns below. The entropy scan adds spans of random-looking
 strings: candidates are runs of the characters of a class; a window slides over each, with the
 counts of its characters updated by one in and one out, and the entropy kept as a sum of
-n*log2(n); windows at or above the class's threshold are merged. An allow-list then drops what
-is known to be harmless: UUIDs, runs without a digit or without two kinds of characters,
-addresses, paths (several separators, and the pieces between them are words and numbers), and
-strings given by the caller. Added spans that a base span overlaps are
-dropped too; base spans always stay. Offsets are code points, ends exclusive.
+n*log2(n); windows at or above the class's threshold are merged into spans. An allow-list then
+drops a span that is known to be harmless: without a digit or without a letter, at a UUID, in an
+address (from "://" to a blank, quote or bracket), in a path, or in a candidate given by the
+caller. A span is in a path if the pieces between separators that it touches are words and
+numbers, half of their characters at least, with no other piece as long as ``PIECE``, and it
+touches ``PIECES`` of them at least; the rest of its run doesn't count. Added spans that an earlier
+kind's span overlaps are dropped too; base spans always stay. Offsets are code points, ends
+exclusive. Every step goes through a text once, so a long text costs as much for each character as
+a short one.
 
 Null texts are empty; rows are judged one by one, so repeated rows and null ids need no
 care; an empty table gives an empty result; extra columns are ignored by ``scan`` and pass
@@ -19,6 +23,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,9 +47,11 @@ CLASSES = {
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 SEPARATORS = re.compile(r"[/_+=-]+")
 #: Pieces of a path: words, with a number before or after, camel case, and numbers.
-PLAIN = re.compile(r"[0-9]*(?:[A-Z]?[a-z]+|[A-Z]+|(?:[A-Z]?[a-z]{2,})+)[0-9]*|[0-9]+")
-#: A piece of at least so many characters that isn't plain is no part of a path.
-PIECE = 12
+PLAIN = re.compile(r"[0-9]*(?:[A-Z]?[a-z]+|[A-Z]+|(?:[a-z]{2,})?(?:[A-Z][a-z]{2,})+)[0-9]*|[0-9]+")
+#: A piece of at least so many characters that isn't plain is no part of a path, and a path has so many pieces.
+PIECE, PIECES = 12, 3
+ADDRESS = re.compile(r"""://[^\s"'<>()\[\]{}|\\^`]*""")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 _XLOG = [0.0] + [n * math.log2(n) for n in range(1, 1025)]
 
 
@@ -70,33 +78,33 @@ def hot_windows(s: str, window: int, least: float):
     return out
 
 
-def path_like(s: str, start: int, end: int) -> bool:
-    """Whether start:end of a run is part of a path: of the pieces it touches none is long and
-    random, and plain ones make up half at least. The length of the run doesn't count."""
-    if max(map(s.count, "/-_")) <= 3:
-        return False
-    at, plain, size = 0, 0, 0
-    for a, b in [*(m.span() for m in SEPARATORS.finditer(s)), (len(s), len(s))]:
-        if at < end and start < a:
-            size += a - at
-            if PLAIN.fullmatch(s, at, a):
-                plain += a - at
-            elif a - at >= PIECE:
-                return False
-        at = b
-    return 2 * plain >= size
-
-
-def allowed(text: str, start: int, end: int, s: str, at: int, allow: frozenset[str]) -> bool:
-    """Whether a span of the candidate s, which stands at ``at``, is known to be harmless."""
-    kinds = any("a" <= c <= "z" for c in s) + any("A" <= c <= "Z" for c in s)
-    if s in allow or not any("0" <= c <= "9" for c in s) or not kinds:
-        return True
-    around = text[max(0, start - 36) : end + 36]
-    if any(u.start() < end - max(0, start - 36) and u.end() > start - max(0, start - 36) for u in UUID.finditer(around)):
-        return True
-    word = text[max((text.rfind(c, 0, start) for c in " \n\t"), default=-1) + 1 : start]
-    return "://" in word or path_like(s, start - at, end - at)
+class Pieces:
+    """What lies between the separators of a candidate that stands at ``at``."""
+
+    def __init__(self, s: str, at: int):
+        gaps = [m.span() for m in SEPARATORS.finditer(s)]
+        spans = [(a, b) for a, b in zip([0, *(b for _, b in gaps)], [*(a for a, _ in gaps), len(s)], strict=True) if a < b]
+        plain = [PLAIN.fullmatch(s, a, b) is not None for a, b in spans]
+        self.start, self.end = [at + a for a, _ in spans], [at + b for _, b in spans]
+        self.size = [0, *accumulate(b - a for a, b in spans)]
+        self.plain = [0, *accumulate((b - a) * ok for (a, b), ok in zip(spans, plain, strict=True))]
+        self.odd = [0, *accumulate(not ok and b - a >= PIECE for (a, b), ok in zip(spans, plain, strict=True))]
+
+    def path(self, start: int, end: int) -> bool:
+        i, j = bisect_right(self.end, start), bisect_left(self.start, end)
+        return j - i >= PIECES and self.odd[i] == self.odd[j] and 2 * (self.plain[j] - self.plain[i]) >= self.size[j] - self.size[i]
+
+
+class Spans:
+    """Whether a span meets one of sorted ones."""
+
+    def __init__(self, spans):
+        self.start = [a for a, _ in spans]
+        self.end = list(accumulate((b for _, b in spans), max))
+
+    def meet(self, a: int, b: int) -> bool:
+        k = bisect_left(self.start, b)
+        return k > 0 and self.end[k - 1] > a
 
 
 def find(text: str, allow: frozenset[str] = frozenset()) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, int, str]]]:
@@ -108,16 +116,24 @@ def find(text: str, allow: frozenset[str] = frozenset()) -> tuple[list[tuple[int
         base += [(m.start(), 1, m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     base += [(m.start(), 2, m.end(), "hex") for m in HEX.finditer(text)]
     base.sort()
-    added: list[tuple[int, int, int, str]] = []
+    every, harmless = base, None
     for kind, (pattern, window, least) in CLASSES.items():
+        added, taken = [], Spans([(x[0], x[2]) for x in every])
         for m in pattern.finditer(text):
+            if allow and m[0] in allow:
+                continue
+            pieces = None
             for a, b in hot_windows(m[0], window, least):
                 a, b = a + m.start(), b + m.start()
-                if any(x[0] < b and a < x[2] for x in base) or any(x[0] < b and a < x[2] for x in added):
+                if taken.meet(a, b) or not DIGIT.search(text, a, b) or not LETTER.search(text, a, b):
                     continue
-                if not allowed(text, a, b, m[0], m.start(), allow):
+                if harmless is None:
+                    harmless = Spans(sorted(x.span() for p in (UUID, ADDRESS) for x in p.finditer(text)))
+                pieces = pieces or Pieces(m[0], m.start())
+                if not harmless.meet(a, b) and not pieces.path(a, b):
                     added.append((a, ORDER[kind], b, kind))
-    return base, sorted(base + added)
+        every = sorted(every + added)
+    return base, every
 
 
 def joined(spans) -> str:
