@@ -1,16 +1,23 @@
 """Quality rules: base rules, then robust multivariate outliers for each language and source.
 
 Every document becomes a vector of transformed statistics. For each pair of language and
-source the minimum-covariance-determinant estimate is fitted to all of its documents that
-pass the base rules: from medians and median deviations, concentration steps take the
-documents nearest to the estimate, three quarters of them, and estimate mean and covariance
-anew. A document is rejected if its squared Mahalanobis distance, scaled so that the median
-one is that of a normal vector, is above the cut-off. Statistics hardly vary in most groups
-(no symbols, no repeated lines): where the covariance is less than the floors allow, the floors
-stand for it, and the median is that of a normal vector in the dimensions left. Pairs with fewer than ``LEAST``
-documents are judged by an estimate over all documents of the language; where even that has
-fewer, the base rules decide alone. Quantiles come from counts of fine bins, so they are exact to a bin, the same
-in any order of the rows, and no group is ever gathered.
+source the minimum-covariance-determinant estimate is fitted to all of its documents that pass
+the base rules. There are three starts: medians and median deviations as they are, with the
+correlations of the hyperbolic tangents of the standardised values, and with their spatial signs.
+From each, concentration steps take the documents nearest to the estimate, three quarters of
+them, and estimate mean and covariance anew, until the determinant falls no more; ``MOST_STEPS``
+bounds the steps, and a start that hasn't settled by then keeps the least determinant it has
+seen. The start with the least determinant gives the group's estimate. A document is rejected if
+its squared Mahalanobis distance, scaled so that the median one is that of a normal vector, is
+above the cut-off. Statistics hardly vary in most groups (no symbols, no repeated lines): where
+the covariance is less than the floors allow, the floors stand for it, in determinants too, and
+the median is that of a normal vector in the dimensions left.
+
+Pairs with fewer than ``least`` documents are judged by an estimate over all documents of the
+language; where even that has fewer, the base rules decide alone, as a rare language is no outlier
+of the others. ``judged_by`` says which of these it was. A concentration step is one pass: moments
+are summed by fine bins of the distance, and bins are taken up to the quantile, so the subset is
+exact to a bin, the same in any order of the rows, and no group is ever gathered.
 
 Null texts are empty; null languages and sources are values of their own; rows that repeat
 are judged alike; an empty table gives an empty result; extra columns are ignored.
@@ -32,12 +39,15 @@ SYMBOL = K.byte_class(*((ord(c), ord(c)) for c in "#*$%&|<>"))
 STATS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), *((k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"))])
 STATS_DDL = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-LEAST, STEPS, KEEP, BINS = 60, 3, 0.75, 32
+LEAST, KEEP, BINS = 60, 0.75, 32
+#: Concentration steps from a start at most, and the least fall of the determinant's logarithm that counts.
+MOST_STEPS, FALL = 10, 1e-3
 #: The 0.999 quantile of chi-square with five degrees of freedom: the cut-off for squared distances.
 CUT_OFF = 20.515
 #: Tables of groups with at most so many rows (some 30 MB) are broadcast.
 BROADCAST_GROUPS = 50_000
 P = 5
+HALF = [(i, j) for i in range(P) for j in range(i, P)]
 #: No direction counts as less spread than this: covariances are singular otherwise.
 FLOOR = (0.15, 0.08, 0.08, 0.1, 0.08)
 
@@ -109,24 +119,28 @@ def _bin(d2: F.Column) -> F.Column:
     return F.floor(F.log(d2 + 1e-6) * BINS).cast("long")
 
 
+FIT_DDL = "g string, s int, mean array<double>, inv array<double>, vary double, logdet double"
+
+
 def _inverse(batches):
-    """Group rows with moments to rows with mean, inverse covariance and the number of dimensions
-    that vary: in units of the floors no eigenvalue of the covariance is taken below 1."""
+    """Rows of a group and start (mean, upper half of the covariance by rows) to rows with the
+    inverse covariance, the number of dimensions that vary and the determinant's logarithm: in
+    units of the floors no eigenvalue of the covariance is taken below 1."""
     floor = np.array(FLOOR)
+    unit = np.outer(floor, floor)
     for b in batches:
-        m = np.array(b.column("moments").to_pylist(), float).reshape(b.num_rows, -1)
-        n = m[:, 0]
-        mean = m[:, 1 : 1 + P] / n[:, None]
-        full = np.zeros((len(n), P, P))
-        k = 1 + P
-        for i in range(P):
-            for j in range(i, P):
-                full[:, i, j] = full[:, j, i] = m[:, k] / n - mean[:, i] * mean[:, j]
-                k += 1
-        w, v = np.linalg.eigh(full / np.outer(floor, floor))
-        inv = (v / np.maximum(w, 1.0)[:, None, :]) @ v.transpose(0, 2, 1) / np.outer(floor, floor)
-        vary = np.clip(w, 0.0, 1.0).sum(1)
-        yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(mean.tolist(), pa.list_(pa.float64())), pa.array(inv.reshape(len(n), -1).tolist(), pa.list_(pa.float64())), pa.array(vary)], names=["_g", "mean", "inv", "vary"])
+        n = b.num_rows
+        half = np.array(b.column("cov").to_pylist(), float).reshape(n, -1)
+        full = np.zeros((n, P, P))
+        for k, (i, j) in enumerate(HALF):
+            full[:, i, j] = full[:, j, i] = half[:, k]
+        w, v = np.linalg.eigh(full / unit)
+        inv = (v / np.maximum(w, 1.0)[:, None, :]) @ v.transpose(0, 2, 1) / unit
+        doubles = pa.list_(pa.float64())
+        yield pa.RecordBatch.from_arrays(
+            [b.column("g"), b.column("s"), b.column("mean"), pa.array(inv.reshape(n, -1).tolist(), doubles), pa.array(np.clip(w, 0.0, 1.0).sum(1)), pa.array(np.log(np.maximum(w, 1.0)).sum(1))],
+            names=["g", "s", "mean", "inv", "vary", "logdet"],
+        )
 
 
 def _distance(mean: str, inv: str) -> F.Column:
@@ -145,29 +159,41 @@ def _median(k: F.Column) -> F.Column:
 
 
 def _few(df: DataFrame) -> DataFrame:
-    """A table of a row for each group (or statistic of one): written, and broadcast while it
-    is small, so that a group which holds a third of all rows isn't shuffled to one task."""
+    """A table of a row or a few for each group: written, and broadcast while it is small, so that
+    a group which holds a third of all rows isn't shuffled to one task."""
     df = cut(df, "groups")
     return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
 
 
 def _at_distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    return rows.join(fit, F.col("g") == F.col("_g")).withColumn("d2", _distance("mean", "inv")).drop("_g", "mean", "inv", "vary")
+    return rows.join(fit.withColumnRenamed("g", "_g"), F.col("g") == F.col("_g")).withColumn("d2", _distance("mean", "inv")).drop("_g", "mean", "inv")
 
 
-def _nearest(rows: DataFrame) -> DataFrame:
-    limit = _few(_quantile(rows, ["g"], _bin(F.col("d2")), KEEP).select(F.col("g").alias("_g"), "_at"))
-    return rows.join(limit, F.col("g") == F.col("_g")).filter(_bin(F.col("d2")) <= F.col("_at")).drop("_g", "_at")
+def _moments(x: list[F.Column]) -> list[F.Column]:
+    return [F.count("*").cast("double").alias("m0"), *(F.sum(v).alias(f"m{1 + i}") for i, v in enumerate(x)), *(F.sum(x[i] * x[j]).alias(f"m{1 + P + k}") for k, (i, j) in enumerate(HALF))]
 
 
-def _fit(rows: DataFrame) -> DataFrame:
-    x = [F.col(f"x{i}") for i in range(P)]
-    moments = [F.count("*").cast("double"), *(F.sum(v) for v in x), *(F.sum(x[i] * x[j]) for i in range(P) for j in range(i, P))]
-    return rows.groupBy("g").agg(F.array(*moments).alias("moments")).mapInArrow(_inverse, "_g string, mean array<double>, inv array<double>, vary double")
+def _fitted(sums: DataFrame) -> DataFrame:
+    """Fits from rows (g, s, m0, ...) of summed moments."""
+    m = lambda k: F.col(f"m{k}") / F.col("m0")
+    mean = F.array(*(m(1 + i) for i in range(P)))
+    cov = F.array(*(m(1 + P + k) - m(1 + i) * m(1 + j) for k, (i, j) in enumerate(HALF)))
+    return sums.select("g", "s", mean.alias("mean"), cov.alias("cov")).mapInArrow(_inverse, FIT_DDL)
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """_g, mean, inv (of the covariance), scale: from rows (g, x0..x4)."""
+def concentrated(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    """A step: fits to the share KEEP of each group's rows that is nearest by each given fit."""
+    sums = _moments([F.col(f"x{i}") for i in range(P)])
+    bins = _at_distance(rows, fit.select("g", "s", "mean", "inv")).groupBy("g", "s", _bin(F.col("d2")).alias("_bin")).agg(*sums)
+    w = Window.partitionBy("g", "s")
+    upto = F.sum("m0").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m0")
+    near = bins.withColumn("_before", upto).withColumn("_all", F.sum("m0").over(w)).filter(F.col("_before") < KEEP * F.col("_all"))
+    return _fitted(near.groupBy("g", "s").agg(*(F.sum(f"m{k}").alias(f"m{k}") for k in range(len(sums)))))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three fits for each group: by medians and median deviations alone, with the correlations of
+    tanh of the standardised values, and with the scatter of their spatial signs."""
     long = rows.select("g", F.posexplode(F.array(*(F.col(f"x{i}") for i in range(P)))).alias("f", "x"))
     fine = 256.0
     mid = _few(_quantile(long, ["g", "f"], F.floor(F.col("x") * fine).cast("long"), 0.5))
@@ -175,16 +201,52 @@ def estimates(rows: DataFrame) -> DataFrame:
     off = off.withColumn("dev", F.abs(F.col("x") - F.col("_at") / fine))
     mad = _quantile(off.drop("_at"), ["g", "f"], F.floor(F.col("dev") * fine).cast("long"), 0.5).withColumnRenamed("_at", "_dev")
     floor = F.element_at(F.array(*map(F.lit, FLOOR)), F.col("f") + 1)
-    start = mid.join(mad, ["g", "f"]).withColumn("spread", F.greatest(F.lit(1.4826) * (F.col("_dev") + 1) / fine, floor))
-    start = start.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("f", (F.col("_at") / fine).alias("m"), "spread"))).alias("s"))  # five a group
-    unit = [F.when(F.lit(i == j), 1.0 / (F.col("s")[i]["spread"] * F.col("s")[i]["spread"])).otherwise(F.lit(0.0)) for i in range(P) for j in range(P)]
-    fit = _few(start.select(F.col("g").alias("_g"), F.col("s")["m"].alias("mean"), F.array(*unit).alias("inv"), F.lit(float(P)).alias("vary")))
-    for _ in range(STEPS):
-        fit = _few(_fit(_nearest(_at_distance(rows, fit))))
-    mid = _quantile(_at_distance(rows, fit), ["g"], _bin(F.col("d2")), 0.5)
+    robust = mid.join(mad, ["g", "f"]).withColumn("spread", F.greatest(F.lit(1.4826) * (F.col("_dev") + 1) / fine, floor))
+    robust = robust.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("f", (F.col("_at") / fine).alias("m"), "spread"))).alias("r"))  # five a group
+    robust = _few(robust.select(F.col("g").alias("_g"), F.col("r")["m"].alias("mean"), F.col("r")["spread"].alias("spread")))
+    z = [(F.col(f"x{i}") - F.col("mean")[i]) / F.col("spread")[i] for i in range(P)]
+    at = rows.join(robust, F.col("g") == F.col("_g")).select("g", *(v.alias(f"z{i}") for i, v in enumerate(z)))
+    size = F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, P)), F.col("z0") * F.col("z0"))), F.lit(1e-9))
+    tanh = [F.tanh(f"z{i}") for i in range(P)]
+    signs = [F.sum(F.col(f"z{i}") * F.col(f"z{j}") / (size * size)).alias(f"u{k}") for k, (i, j) in enumerate(HALF)]
+    sums = at.groupBy("g").agg(*_moments(tanh), *signs).join(robust, F.col("g") == F.col("_g"))
+    m = lambda k: F.col(f"m{k}") / F.col("m0")
+    var = [F.greatest(m(1 + P + k) - m(1 + i) * m(1 + i), F.lit(1e-6)) for k, (i, j) in enumerate(HALF) if i == j]
+    scale = lambda i, j: F.col("spread")[i] * F.col("spread")[j]
+    plain = [scale(i, j) if i == j else F.lit(0.0) for i, j in HALF]
+    bent = [scale(i, j) * (m(1 + P + k) - m(1 + i) * m(1 + j)) / F.sqrt(var[i] * var[j]) for k, (i, j) in enumerate(HALF)]
+    sign = [scale(i, j) * P * F.col(f"u{k}") / F.col("m0") for k, (i, j) in enumerate(HALF)]
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("s"), F.array(*c).alias("cov")) for k, c in enumerate((plain, bent, sign))))).alias("e")
+    return sums.select("g", "mean", each).select("g", F.col("e.s").alias("s"), "mean", F.col("e.cov").alias("cov")).mapInArrow(_inverse, FIT_DDL)
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """g, s, mean, inv, vary, logdet, steps, done: each start's fit of least determinant. ``done``
+    is false where the steps were used up first."""
+    # a start's own scatter comes from no subset: any fit is better
+    state = _few(_starts(rows).withColumn("logdet", F.lit(float("inf"))).withColumn("steps", F.lit(0)).withColumn("done", F.lit(False)))
+    for _ in range(MOST_STEPS):
+        new = concentrated(rows, state.filter("not done")).select(*(F.col(k).alias(f"_{k}") for k in ("g", "s", "mean", "inv", "vary", "logdet")))
+        fell = F.col("_logdet").isNotNull() & (F.col("_logdet") < F.col("logdet") - FALL)
+        both = state.join(new, (F.col("g") == F.col("_g")) & (F.col("s") == F.col("_s")), "left")
+        kept = [F.when(fell, F.col(f"_{k}")).otherwise(F.col(k)).alias(k) for k in ("mean", "inv", "vary", "logdet")]
+        state = cut(both.select("g", "s", *kept, (F.col("steps") + (~F.col("done")).cast("int")).alias("steps"), (~fell | F.col("done")).alias("done")), "fits")
+        n, left = state.agg(F.count("*"), F.count(F.when(~F.col("done"), 1))).first()
+        if n <= BROADCAST_GROUPS:
+            state = F.broadcast(state)
+        if not left:
+            break
+    return state
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """_g, mean, inv (of the covariance), scale, logdet: from rows (g, x0..x4)."""
+    best = settled(rows).groupBy("g").agg(F.min(F.struct("logdet", "s", "mean", "inv", "vary")).alias("b"))
+    fit = _few(best.select("g", "b.mean", "b.inv", "b.vary", "b.logdet"))
+    mid = _quantile(_at_distance(rows, fit.select("g", "mean", "inv")), ["g"], _bin(F.col("d2")), 0.5).withColumnRenamed("g", "_g")
     scale = F.exp((F.col("_at") + 1) / BINS) / _median(F.greatest(F.col("vary"), F.lit(1.0)))
     scale = F.when(F.col("vary") < 1, F.greatest(scale, F.lit(1.0))).otherwise(scale)  # nothing varies: the floors are the scale
-    return _few(fit.join(mid, F.col("_g") == F.col("g")).withColumn("scale", scale).drop("g", "_at", "vary"))
+    return _few(fit.join(mid, F.col("g") == F.col("_g")).select("_g", "mean", "inv", scale.alias("scale"), "logdet"))
 
 
 def _failed() -> F.Column:
@@ -197,40 +259,42 @@ def _groups() -> tuple[F.Column, F.Column]:
     return F.concat(text(F.col("lang")), F.lit("\t"), text(F.col("source"))), text(F.col("lang"))
 
 
-def _model(stats: DataFrame):
+def _model(stats: DataFrame, least: int):
     """From statistics with base_failed: the rows to judge with their group and vector, the group
     that judges each pair, and the estimates."""
     pair, lang = _groups()
     fitted = stats.filter("not base_failed")
     pairs = cut(fitted.groupBy(pair.alias("_pair"), lang.alias("_lang")).agg(F.count("*").alias("_n")), "pairs")
     langs = pairs.groupBy("_lang").agg(F.sum("_n").alias("_all"), F.min("_n").alias("_least"))
-    big, whole = F.col("_n") >= LEAST, F.col("_all") >= LEAST
+    big, whole = F.col("_n") >= least, F.col("_all") >= least
     g = F.when(big, F.col("_pair")).when(whole, F.col("_lang")).alias("g")
-    fits = F.array_compact(F.array(F.when(big, F.col("_pair")), F.when(whole & (F.col("_least") < LEAST), F.col("_lang")))).alias("fits")
-    groups = _few(pairs.join(langs, "_lang").select("_pair", g, fits))
+    by = F.when(big, "pair").when(whole, "language").alias("by")
+    fits = F.array_compact(F.array(F.when(big, F.col("_pair")), F.when(whole & (F.col("_least") < least), F.col("_lang")))).alias("fits")
+    groups = _few(pairs.join(langs, "_lang").select("_pair", g, by, fits))
     rows = fitted.select("*", pair.alias("pair")).join(groups, F.col("pair") == F.col("_pair"))
-    rows = rows.select("doc_id", *STATS.names[3:], "lang", "source", "g", "fits", *(v.alias(f"x{i}") for i, v in enumerate(_vector())))
+    rows = rows.select("doc_id", *STATS.names[3:], "lang", "source", "g", "by", "fits", *(v.alias(f"x{i}") for i, v in enumerate(_vector())))
     rows = cut(rows, "vectors")
     return rows, groups, estimates(rows.select(F.explode("fits").alias("g"), *(f"x{i}" for i in range(P))))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """The statistics of each document with base_failed, distance (null where the base rules
-    decide alone) and kept."""
+def judged(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """The statistics of each document with base_failed, judged_by (``pair``, ``language``, or null
+    where the base rules decide alone), distance (null there too) and kept."""
     stats = cut(statistics(docs).withColumn("base_failed", _failed()), "stats")
-    rows, _, fit = _model(stats)
+    rows, _, fit = _model(stats, least)
     seen = rows.join(fit, F.col("g") == F.col("_g"), "left").withColumn("distance", _distance("mean", "inv") / F.col("scale"))
     out = [F.col(k) for k in ("doc_id", "lang", "source", *STATS.names[3:])]
-    seen = seen.select(*out, F.lit(False).alias("base_failed"), "distance", F.coalesce(F.col("distance") <= CUT_OFF, F.lit(True)).alias("kept"))
-    bad = stats.filter("base_failed").select(*out, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
+    seen = seen.select(*out, F.lit(False).alias("base_failed"), F.col("by").alias("judged_by"), "distance", F.coalesce(F.col("distance") <= CUT_OFF, F.lit(True)).alias("kept"))
+    none = lambda kind: F.lit(None).cast(kind)
+    bad = stats.filter("base_failed").select(*out, "base_failed", none("string").alias("judged_by"), none("double").alias("distance"), F.lit(False).alias("kept"))
     return seen.unionByName(bad)
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents that all rules keep, with their columns. Each row is judged by itself,
     whatever its doc_id: it is measured again and meets the estimates, and no text is shuffled
     unless the groups are too many to broadcast."""
-    _, groups, fit = _model(cut(statistics(docs).withColumn("base_failed", _failed()), "stats"))
+    _, groups, fit = _model(cut(statistics(docs).withColumn("base_failed", _failed()), "stats"), least)
 
     def measured(batches):
         for b in batches:

@@ -2,8 +2,10 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,8 +80,9 @@ SAMPLES = [
     (4, "é\U0001f600 secret='0123456789abcdef0123456789abcdef01'"), (5, None), (6, ""), (7, f"key {KEY} end"), (8, "see https://example.com/" + KEY), (9, "id 123e4567-e89b-12d3-a456-426614174000 ok"),
     (10, "pneumonoultramicroscopicsilicovolcanoconiosis and thequickbrownfoxjumpsoverthelazydog"), (None, "tokȒen passwd:12345678 ſecret=12345678"), (11, "gggggggggggggggggggggggggggg1111111111111111"), (7, f"key {KEY} end"),
 ]
+# The base patterns as the job states them.
 BASE = [
-    ("assign", re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 8),
+    ("assign", re.compile(r"""((?ia:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 8),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
     ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32),
 ]
@@ -102,6 +105,91 @@ def test_secret_scan(spark, docs, rows):
     assert all(set(base(t)[1].split(",")) - {""} <= set(spans[i].split(",")) for i, t in SAMPLES)
 
 
+def test_short_random_secrets():
+    r = random.Random(16)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for more in ("+/", "-_"):
+        found = [secrets.find("key: " + "".join(r.choice(letters + more) for _ in range(40)))[1] for _ in range(400)]
+        assert sum(any(b - a >= 24 for a, _, b, _ in x) for x in found) >= 0.9 * 400
+
+
+def is_plain(piece):
+    """A word, a word in capitals, or camel case of parts of two small letters at least, with numbers
+    before and after; or a number."""
+    word = piece.strip("0123456789")
+    if not word or word.islower() or word.isupper() or word[1:].islower():
+        return word.isalpha() or not word
+    return word.isalpha() and all(len(x) >= 2 for x in re.split("[A-Z]", word) if x or word[0].islower()) and all(len(x) >= 2 for x in re.split("[A-Z]", word)[1:])
+
+
+def spans_by_trial(text, allow=frozenset()):
+    """All spans, each rule by itself and each window counted anew."""
+    text = text or ""
+    every = sorted((m.start(), k, m.end(), name) for k, (name, p, ok) in enumerate(BASE) for m in p.finditer(text) if ok(m))
+    alnum = lambda i: 0 <= i < len(text) and text[i].isascii() and text[i].isalnum()
+    harmless = [m.span() for m in re.finditer(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", text)]
+    for m in re.finditer("://", text):
+        end = m.end()
+        while end < len(text) and not text[end].isspace() and text[end] not in "\"'<>()[]{}|\\^`":
+            end += 1
+        harmless.append((m.start(), end))
+    for order, name, letters, least in ((3, "entropy_hex", "0123456789abcdefABCDEF", 3.0), (4, "entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.9)):
+        known, at = list(every), 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] in letters:
+                end += 1
+            run, lo, at = text[at:end], at, max(end, at + 1)
+            if len(run) < 24 or run in allow or (order == 3 and (alnum(lo - 1) or alnum(end))):
+                continue
+            hot = [-sum(n / 24 * math.log2(n / 24) for n in Counter(run[i : i + 24]).values()) >= least - 1e-9 for i in range(len(run) - 23)]
+            spans = []
+            for i in (i for i, h in enumerate(hot) if h):
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + 24
+                else:
+                    spans.append([i, i + 24])
+            for a, b in spans:
+                pieces = [p.span() for p in re.finditer("[A-Za-z0-9]+", run) if p.start() < b and p.end() > a]
+                plain = [is_plain(run[x:y]) for x, y in pieces]
+                total = sum(y - x for x, y in pieces)
+                path = len(pieces) >= 3 and not any(not ok and y - x >= 12 for (x, y), ok in zip(pieces, plain)) and 2 * sum(y - x for (x, y), ok in zip(pieces, plain) if ok) >= total
+                part, a, b = run[a:b], lo + a, lo + b
+                if not path and re.search("[0-9]", part) and re.search("[A-Za-z]", part) and not any(x < b and a < y for x, y in harmless) and not any(x[0] < b and a < x[2] for x in known):
+                    every = sorted([*every, (a, order, b, name)])
+    return ",".join(f"{n}:{a}:{b}" for a, _, b, n in every)
+
+
+def test_spans_by_trial(spark, docs, rows):
+    r = random.Random(14)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    say = lambda n, c=letters: "".join(r.choice(c) for _ in range(n))
+    parts = [lambda: say(r.randint(20, 60)), lambda: say(r.randint(24, 50), "0123456789abcdefABCDEF"), lambda: "secret=" + say(30), lambda: "https://a.b/" + say(40), lambda: "/".join(say(r.randint(2, 9), "abcdefghijklmnop") + say(1, "0123") for _ in range(6)), lambda: say(60, letters + "+/"), lambda: say(80, letters + "_-"), lambda: say(30, "abc"), lambda: "123e4567-e89b-12d3-a456-426614174000", lambda: "a" * 30 + say(30) + "b" * 40 + say(30), lambda: "é\U0001f600", lambda: "AKIA" + say(16, "ABCDEF012345")]
+    texts = [r.choice(['', ' ', '"', "\n", " "]).join(r.choice(parts)() for _ in range(r.randint(1, 8))) for _ in range(400)]
+    got = [secrets.joined(secrets.find(t)[1]) for t in texts]
+    assert got == [spans_by_trial(t) for t in texts] and sum("entropy" in x for x in got) > 150
+    given = frozenset(re.findall("[A-Za-z0-9+/_=-]{24,}", " ".join(texts))[::2])
+    assert [secrets.joined(secrets.find(t, given)[1]) for t in texts] == [spans_by_trial(t, given) for t in texts]
+    short = {r[0]: spans_by_trial(r[1]) for r in rows if len(r[1] or "") < 5000}
+    assert all(x.spans == short[x.doc_id] for x in secrets.scan(docs).collect() if x.doc_id is not None and x.doc_id in short)
+
+
+def test_long_texts_cost_as_much_a_character():
+    r = random.Random(15)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    part = lambda: r.choice(["".join(r.choice(letters) for _ in range(40)), "b" * 60, "://x/", "-ab/", "12345678-1234-1234-1234-123456789012", "abcdefgh"]) + r.choice(["", "", "", "+", "\"", ","])
+
+    def seconds(size):
+        text = "".join(part() for _ in range(size // 30))[:size]
+        began = time.process_time()
+        secrets.find(text)
+        return (time.process_time() - began) / size
+
+    seconds(50_000)
+    short = min(seconds(100_000) for _ in range(3))
+    assert seconds(10_000_000) < 2.5 * short
+
+
 def test_incremental_entropy():
     r = random.Random(2)
     s = "".join(r.choice("abcdefghijkl0123456789XYZ") for _ in range(300))
@@ -215,6 +303,69 @@ def test_quality_small_sources_meet_their_language(spark):
     assert not got[1000].kept and all(got[k].kept for k in range(300, 305))
 
 
+def plain_mcd(x, share, r, starts=300):
+    """Minimum covariance determinant by random starts: logarithm of the determinant (in units of
+    the floors, no eigenvalue below 1), mean, covariance."""
+    floor = np.array(quality.FLOOR)
+    n, p = x.shape
+    best = (np.inf, None, None)
+
+    def fit(rows):
+        mean = rows.mean(0)
+        w, v = np.linalg.eigh((rows - mean).T @ (rows - mean) / len(rows) / np.outer(floor, floor))
+        return np.log(np.maximum(w, 1)).sum(), mean, (v * np.maximum(w, 1)) @ v.T * np.outer(floor, floor)
+
+    for _ in range(starts):
+        now = fit(x[r.choice(n, p + 1, replace=False)])
+        for _ in range(50):
+            d = np.einsum("ij,jk,ik->i", x - now[1], np.linalg.inv(now[2]), x - now[1])
+            then, now = now, fit(x[np.argsort(d)[: math.ceil(share * n)]])
+            if now[0] >= then[0] - 1e-9 and then[0] < np.inf and _ > 2:
+                break
+        best = min(best, now, key=lambda b: b[0])
+    return best
+
+
+def test_quality_has_the_least_determinant(spark):
+    r = np.random.Generator(np.random.PCG64(3))
+    groups = {}
+    for g, n in (("plain", 150), ("cluster", 200), ("flat", 120), ("line", 160)):
+        mix = r.normal(size=(5, 5)) + 2 * np.eye(5)
+        x = r.normal(size=(n, 5)) @ mix * 0.5
+        if g == "cluster":
+            x[: n // 5] = r.normal(size=(n // 5, 5)) * 0.2 + 6
+        if g == "flat":
+            x[:, 2:] = 0.25
+        if g == "line":
+            x[: n // 5] += np.linspace(4, 12, n // 5)[:, None] * mix[0]
+        groups[g] = x
+    rows = spark.createDataFrame([(g, *map(float, v)) for g, x in groups.items() for v in x], "g string, x0 double, x1 double, x2 double, x3 double, x4 double").cache()
+    fits = quality.settled(rows).collect()
+    assert Counter(f.g for f in fits) == Counter({g: 3 for g in groups}) and all(f.done and f.steps >= 2 for f in fits)
+    for got in quality.estimates(rows).collect():
+        x = groups[got._g]
+        least, mean, cov = plain_mcd(x, quality.KEEP, r)
+        assert got.logdet == min(f.logdet for f in fits if f.g == got._g)
+        assert abs(got.logdet - least) < 0.3  # bins of the distance take a few rows more than the share
+        d = lambda m, inv: np.einsum("ij,jk,ik->i", x - m, inv, x - m)
+        mine, plain = d(np.array(got["mean"]), np.array(got["inv"]).reshape(5, 5)) / got["scale"], d(mean, np.linalg.inv(cov))
+        plain /= np.median(plain) / (5 if got._g != "flat" else 2) / (1 - 2 / (9 * (5 if got._g != "flat" else 2))) ** 3
+        clear = (plain < 0.7 * quality.CUT_OFF) | (plain > 1.4 * quality.CUT_OFF)
+        assert clear.mean() > 0.95 and ((mine > quality.CUT_OFF) == (plain > quality.CUT_OFF))[clear].all()
+        if got._g in ("cluster", "line"):
+            assert (mine[: len(x) // 5] > quality.CUT_OFF).all()
+
+
+def test_quality_says_what_judged(spark):
+    r = random.Random(11)
+    lines = lambda x: "\n".join(" ".join(w) for w in x)
+    data = [(k, lines(prose(r)), "en", "hot" if k < 70 else "rare") for k in range(80)] + [(100, lines(prose(r)), "de", "hot"), (101, "short", "en", "hot"), (None, None, None, None)]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    by = {x.doc_id: x.judged_by for x in quality.judged(d).collect()}
+    assert {by[k] for k in range(70)} == {"pair"} and {by[k] for k in range(70, 80)} == {"language"} and by[100] is by[101] is by[None] is None
+    assert {x.judged_by for x in quality.judged(d, least=5).filter("lang = 'en' and not base_failed").collect()} == {"pair"}
+
+
 # --- language ID ------------------------------------------------------------------------
 
 
