@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -144,13 +144,8 @@ def _inverse(batches):
 
 
 def _distance(mean: str, inv: str) -> F.Column:
-    z = [F.col(f"x{i}") - F.col(mean)[i] for i in range(P)]
-    total = None
-    for i in range(P):
-        for j in range(i, P):
-            term = F.col(inv)[i * P + j] * z[i] * z[j] * (1.0 if i == j else 2.0)
-            total = term if total is None else total + term
-    return F.greatest(total, F.lit(0.0))
+    z = [f"(x{i} - {mean}[{i}])" for i in range(P)]
+    return F.expr(f"greatest({' + '.join(f'{1.0 if i == j else 2.0}D * {inv}[{i * P + j}] * {z[i]} * {z[j]}' for i, j in HALF)}, 0D)")
 
 
 def _median(k: F.Column) -> F.Column:
@@ -161,34 +156,42 @@ def _median(k: F.Column) -> F.Column:
 def _few(df: DataFrame) -> DataFrame:
     """A table of a row or a few for each group: written, and broadcast while it is small, so that
     a group which holds a third of all rows isn't shuffled to one task."""
-    df = cut(df, "groups")
-    return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
+    return _counted(df, F.lit(1))[0]
+
+
+def _counted(df: DataFrame, what: F.Column) -> tuple[DataFrame, int]:
+    """The written table, and for how many rows ``what`` isn't null: counted while it is written."""
+    seen = Observation()
+    df = cut(df.observe(seen, F.count("*").alias("n"), F.count(what).alias("some")), "groups")
+    return F.broadcast(df) if seen.get["n"] <= BROADCAST_GROUPS else df, seen.get["some"]
 
 
 def _at_distance(rows: DataFrame, fit: DataFrame) -> DataFrame:
     return rows.join(fit.withColumnRenamed("g", "_g"), F.col("g") == F.col("_g")).withColumn("d2", _distance("mean", "inv")).drop("_g", "mean", "inv")
 
 
-def _moments(x: list[F.Column]) -> list[F.Column]:
-    return [F.count("*").cast("double").alias("m0"), *(F.sum(v).alias(f"m{1 + i}") for i, v in enumerate(x)), *(F.sum(x[i] * x[j]).alias(f"m{1 + P + k}") for k, (i, j) in enumerate(HALF))]
+def _moments(x: list[str]) -> list[F.Column]:
+    names = ["double(count(*)) m0", *(f"sum({v}) m{1 + i}" for i, v in enumerate(x)), *(f"sum({x[i]} * {x[j]}) m{1 + P + k}" for k, (i, j) in enumerate(HALF))]
+    return list(map(F.expr, names))
+
+
+MEANS = [f"m{1 + i} / m0" for i in range(P)]
+COVARIANCES = [f"(m{1 + P + k} - m{1 + i} * m{1 + j} / m0) / m0" for k, (i, j) in enumerate(HALF)]
 
 
 def _fitted(sums: DataFrame) -> DataFrame:
     """Fits from rows (g, s, m0, ...) of summed moments."""
-    m = lambda k: F.col(f"m{k}") / F.col("m0")
-    mean = F.array(*(m(1 + i) for i in range(P)))
-    cov = F.array(*(m(1 + P + k) - m(1 + i) * m(1 + j) for k, (i, j) in enumerate(HALF)))
-    return sums.select("g", "s", mean.alias("mean"), cov.alias("cov")).mapInArrow(_inverse, FIT_DDL)
+    return sums.selectExpr("g", "s", f"array({', '.join(MEANS)}) mean", f"array({', '.join(COVARIANCES)}) cov").mapInArrow(_inverse, FIT_DDL)
 
 
 def concentrated(rows: DataFrame, fit: DataFrame) -> DataFrame:
     """A step: fits to the share KEEP of each group's rows that is nearest by each given fit."""
-    sums = _moments([F.col(f"x{i}") for i in range(P)])
+    sums = _moments([f"x{i}" for i in range(P)])
     bins = _at_distance(rows, fit.select("g", "s", "mean", "inv")).groupBy("g", "s", _bin(F.col("d2")).alias("_bin")).agg(*sums)
     w = Window.partitionBy("g", "s")
     upto = F.sum("m0").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m0")
     near = bins.withColumn("_before", upto).withColumn("_all", F.sum("m0").over(w)).filter(F.col("_before") < KEEP * F.col("_all"))
-    return _fitted(near.groupBy("g", "s").agg(*(F.sum(f"m{k}").alias(f"m{k}") for k in range(len(sums)))))
+    return _fitted(near.groupBy("g", "s").agg(*(F.expr(f"sum(m{k}) m{k}") for k in range(len(sums)))))
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -204,20 +207,16 @@ def _starts(rows: DataFrame) -> DataFrame:
     robust = mid.join(mad, ["g", "f"]).withColumn("spread", F.greatest(F.lit(1.4826) * (F.col("_dev") + 1) / fine, floor))
     robust = robust.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("f", (F.col("_at") / fine).alias("m"), "spread"))).alias("r"))  # five a group
     robust = _few(robust.select(F.col("g").alias("_g"), F.col("r")["m"].alias("mean"), F.col("r")["spread"].alias("spread")))
-    z = [(F.col(f"x{i}") - F.col("mean")[i]) / F.col("spread")[i] for i in range(P)]
-    at = rows.join(robust, F.col("g") == F.col("_g")).select("g", *(v.alias(f"z{i}") for i, v in enumerate(z)))
-    size = F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, P)), F.col("z0") * F.col("z0"))), F.lit(1e-9))
-    tanh = [F.tanh(f"z{i}") for i in range(P)]
-    signs = [F.sum(F.col(f"z{i}") * F.col(f"z{j}") / (size * size)).alias(f"u{k}") for k, (i, j) in enumerate(HALF)]
-    sums = at.groupBy("g").agg(*_moments(tanh), *signs).join(robust, F.col("g") == F.col("_g"))
-    m = lambda k: F.col(f"m{k}") / F.col("m0")
-    var = [F.greatest(m(1 + P + k) - m(1 + i) * m(1 + i), F.lit(1e-6)) for k, (i, j) in enumerate(HALF) if i == j]
-    scale = lambda i, j: F.col("spread")[i] * F.col("spread")[j]
-    plain = [scale(i, j) if i == j else F.lit(0.0) for i, j in HALF]
-    bent = [scale(i, j) * (m(1 + P + k) - m(1 + i) * m(1 + j)) / F.sqrt(var[i] * var[j]) for k, (i, j) in enumerate(HALF)]
-    sign = [scale(i, j) * P * F.col(f"u{k}") / F.col("m0") for k, (i, j) in enumerate(HALF)]
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("s"), F.array(*c).alias("cov")) for k, c in enumerate((plain, bent, sign))))).alias("e")
-    return sums.select("g", "mean", each).select("g", F.col("e.s").alias("s"), "mean", F.col("e.cov").alias("cov")).mapInArrow(_inverse, FIT_DDL)
+    at = rows.join(robust, F.col("g") == F.col("_g")).selectExpr("g", *(f"(x{i} - mean[{i}]) / spread[{i}] z{i}" for i in range(P)))
+    at = at.selectExpr("*", f"greatest({' + '.join(f'z{i} * z{i}' for i in range(P))}, 1e-18D) size")
+    signs = [F.expr(f"sum(z{i} * z{j} / size) u{k}") for k, (i, j) in enumerate(HALF)]
+    sums = at.groupBy("g").agg(*_moments([f"tanh(z{i})" for i in range(P)]), *signs).join(robust, F.col("g") == F.col("_g"))
+    variance = [f"greatest({COVARIANCES[HALF.index((i, i))]}, 1e-6D)" for i in range(P)]
+    plain = [f"spread[{i}] * spread[{j}]" if i == j else "0D" for i, j in HALF]
+    bent = [f"spread[{i}] * spread[{j}] * {COVARIANCES[k]} / sqrt({variance[i]} * {variance[j]})" for k, (i, j) in enumerate(HALF)]
+    sign = [f"spread[{i}] * spread[{j}] * {P} * u{k} / m0" for k, (i, j) in enumerate(HALF)]
+    each = ", ".join(f"struct({k} s, array({', '.join(c)}) cov)" for k, c in enumerate((plain, bent, sign)))
+    return sums.selectExpr("g", "mean", f"explode(array({each})) e").selectExpr("g", "e.s", "mean", "e.cov").mapInArrow(_inverse, FIT_DDL)
 
 
 def settled(rows: DataFrame) -> DataFrame:
@@ -226,14 +225,10 @@ def settled(rows: DataFrame) -> DataFrame:
     # a start's own scatter comes from no subset: any fit is better
     state = _few(_starts(rows).withColumn("logdet", F.lit(float("inf"))).withColumn("steps", F.lit(0)).withColumn("done", F.lit(False)))
     for _ in range(MOST_STEPS):
-        new = concentrated(rows, state.filter("not done")).select(*(F.col(k).alias(f"_{k}") for k in ("g", "s", "mean", "inv", "vary", "logdet")))
-        fell = F.col("_logdet").isNotNull() & (F.col("_logdet") < F.col("logdet") - FALL)
-        both = state.join(new, (F.col("g") == F.col("_g")) & (F.col("s") == F.col("_s")), "left")
-        kept = [F.when(fell, F.col(f"_{k}")).otherwise(F.col(k)).alias(k) for k in ("mean", "inv", "vary", "logdet")]
-        state = cut(both.select("g", "s", *kept, (F.col("steps") + (~F.col("done")).cast("int")).alias("steps"), (~fell | F.col("done")).alias("done")), "fits")
-        n, left = state.agg(F.count("*"), F.count(F.when(~F.col("done"), 1))).first()
-        if n <= BROADCAST_GROUPS:
-            state = F.broadcast(state)
+        new = concentrated(rows, state.filter("not done")).selectExpr("g _g", "s _s", "mean _mean", "inv _inv", "vary _vary", "logdet _logdet")
+        both = state.join(new, F.expr("g = _g and s = _s"), "left").selectExpr("*", f"coalesce(_logdet < logdet - {FALL}D, false) fell")
+        kept = [f"if(fell, _{k}, {k}) {k}" for k in ("mean", "inv", "vary", "logdet")]
+        state, left = _counted(both.selectExpr("g", "s", *kept, "steps + int(not done) steps", "done or not fell done"), F.expr("nullif(done, true)"))
         if not left:
             break
     return state
