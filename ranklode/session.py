@@ -1,8 +1,10 @@
-"""Session helpers: tables, worker import path, checkpoint folder, bounded batches."""
+"""Session helpers: tables, worker import path, shared folder, bounded batches."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -40,17 +42,52 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Folders that this process has made below the shared one, oldest first.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh path below the folder that driver and executors share.
+    """A fresh path below the folder that driver and executors share, with its scheme.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests,
-    one machine) is a local one made.
+    The folder comes from ``spark.checkpoint.dir``; a path without scheme is one of the
+    cluster's default file system. Only on one machine (tests) does a local folder stand in
+    for it. What is written there is removed by ``clean``, at the latest when the driver ends.
     """
+    sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        hadoop = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = hadoop.get() if hadoop.isDefined() else f"file://{tempfile.gettempdir()}/ranklode-shared"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+        hadoop = sc._jsc.sc().getCheckpointDir()
+        if hadoop.isDefined():
+            base = hadoop.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            base = f"file://{tempfile.gettempdir()}/ranklode-shared"
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _made:
+        atexit.register(_clean, sc._jvm, sc._jsc.hadoopConfiguration(), _made)
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    _made.append(path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString())
+    return _made[-1]
+
+
+def _clean(jvm, conf, paths: list[str]) -> None:
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def clean(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Remove the folders made since there were so many (``made``), but for that of a table that
+    ``cut`` has returned. Tables that read the others can't be read any more."""
+    stays = getattr(keep, "_folder", None)
+    gone = [p for p in _made[since:] if p != stays]
+    _made[since:] = [p for p in _made[since:] if p == stays]
+    sc = spark.sparkContext
+    _clean(sc._jvm, sc._jsc.hadoopConfiguration(), gone)
+
+
+def made() -> int:
+    return len(_made)
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
@@ -58,7 +95,26 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     lineage, and a lost executor takes nothing with it."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def written_bytes(table: DataFrame) -> int:
+    """Bytes of the files of a table that ``cut`` has returned."""
+    sc = table.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(table._folder)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove the folders of tables that ``cut`` has returned and nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_folder", None)
+        if path in _made:
+            _made.remove(path)
+            sc = t.sparkSession.sparkContext
+            _clean(sc._jvm, sc._jsc.hadoopConfiguration(), [path])
 
 
 def n_shuffle(spark: SparkSession) -> int:
