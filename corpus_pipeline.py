@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ranklode.llm import decontam, mixing, ngram_join, quality, secrets
-from ranklode.session import cut, table
+from ranklode.session import clean, cut, forget, made, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's documents are written; what it wrote on the way, and its input, goes then."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        since, before, docs = made(), docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, "stage")
+            clean(spark, since, docs)
+            forget(before)
     return docs
