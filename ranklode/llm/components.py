@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklode.session import cut
+from ranklode.session import cut, forget
 
 
 def local(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn until every edge leads to its component's least
     node; their number grows with the logarithm of the longest path. Each turn is written to
-    the shared folder. A node's neighbours are only ever reduced to their least one, so hubs
+    the shared folder, in place of the one before. A node's neighbours are only ever reduced to their least one, so hubs
     are combined before the shuffle.
     """
     e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -49,6 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("_u"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("_u").alias("u"), F.col("m").alias("v")))
-        e = cut(small.filter("u <> v").distinct(), "edges")
+        last, e = e, cut(small.filter("u <> v").distinct(), "edges")
+        forget(last)
     tops = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(tops.select("node", F.col("node").alias("comp")))

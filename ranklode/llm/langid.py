@@ -28,6 +28,8 @@ from ranklode.session import ship
 
 DIMENSION = 1024
 SLICE = 256 << 10
+#: Trigrams whose vectors and counts are held at once: some 20 MB beside their keys.
+BLOCK = 2048
 #: Prototypes are held on the driver and in each task: at most so many languages (4 MB).
 MOST_LANGUAGES = 1000
 END = 0x20
@@ -86,10 +88,14 @@ def bundles(texts: list[str | None], dimension: int = DIMENSION) -> np.ndarray:
     n = np.array([len(k) for k in keys])
     if n.sum():
         unique, at = np.unique(np.concatenate(keys), return_inverse=True)
-        m = len(unique)
-        counts = np.bincount(at + np.repeat(np.arange(len(texts)), n) * m, minlength=m * len(texts)).reshape(len(texts), m).astype(np.float32)
-        for a in range(0, m, 4096):  # bounded memory, however many different trigrams
-            out += counts[:, a : a + 4096] @ trigram_vectors(unique[a : a + 4096], dimension)
+        # (trigram, text) pairs with their counts, by trigram
+        pair, times = np.unique(at.astype(np.int64) * len(texts) + np.repeat(np.arange(len(texts)), n), return_counts=True)
+        gram, text = np.divmod(pair, len(texts))
+        for a in range(0, len(unique), BLOCK):  # bounded memory, however many different trigrams
+            i, j = np.searchsorted(gram, (a, a + BLOCK))
+            counts = np.zeros((len(texts), min(BLOCK, len(unique) - a)), np.float32)
+            counts[text[i:j], gram[i:j] - a] = times[i:j]
+            out += counts @ trigram_vectors(unique[a : a + BLOCK], dimension)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         np.divide(out, norm, out=out, where=norm > 0)
     return out

@@ -9,8 +9,8 @@ adding documents changes no other document's draw.
 A null text has size 0 and is emitted by its source's rate, which takes no words. The null
 source is a source of its own, last in order. A null doc_id draws like the text "null"; rows
 that share a doc_id share their draw. A source without words has target 0 and rate 0. An
-empty table gives an empty result. Columns other than doc_id, text and source pass through
-``emit`` unchanged; the helper columns carry a prefix of their own, so no name clashes.
+empty table gives an empty result. ``emit`` carries each row as one value beside what it
+computes, so columns of any name pass through unchanged. Texts are read once for the sizes.
 """
 
 from __future__ import annotations
@@ -31,14 +31,14 @@ def size() -> F.Column:
 
 
 def rates(docs: DataFrame, weights=WEIGHTS, ratio=RATIO, most: int = MOST) -> DataFrame:
-    """_src, source_size, target, rate of each source, by one pass over the texts.
+    """_src, source_size, target, _rate of each source, from rows (source, size).
 
     Filling in order of cap / weight: before source k, those with a smaller quotient are
     capped and the rest share what is left; the first k that isn't above its cap at that
     share sets the level for all.
     """
     up, down = ratio
-    per = docs.select(F.col("source").alias("_src"), size().alias("_n")).groupBy("_src").agg(F.sum("_n").alias("source_size"))
+    per = docs.select(F.col("source").alias("_src"), F.col("size").alias("_n")).groupBy("_src").agg(F.sum("_n").alias("source_size"))
     one = Window.orderBy(F.col("_src").asc_nulls_last())
     at = F.pmod(F.row_number().over(one) - 1, F.lit(len(weights)))
     w = F.element_at(F.array(*map(F.lit, weights)), (at + 1).cast("int")).cast("long")
@@ -54,26 +54,28 @@ def rates(docs: DataFrame, weights=WEIGHTS, ratio=RATIO, most: int = MOST) -> Da
     return per.select("_src", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"))
 
 
-def _joined(docs: DataFrame, seed: int, **how) -> DataFrame:
-    per = cut(rates(docs, **how), "rates")
+def _copied(rows: DataFrame, per: DataFrame, seed: int) -> DataFrame:
+    """Rows with doc_id and source, with the figures of their source and _copies."""
+    per = cut(per, "rates")
     if per.count() <= BROADCAST_SOURCES:
         per = F.broadcast(per)
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    out = docs.join(per, F.col("source").eqNullSafe(F.col("_src")), "left")
+    out = rows.join(per, F.col("source").eqNullSafe(F.col("_src")), "left")
     return out.withColumn("_copies", (F.floor("_rate") + (draw < F.col("_rate") - F.floor("_rate")).cast("long")).cast("int"))
 
 
 def shares(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies of each document."""
-    narrow = docs.select("doc_id", "text", "source")
-    out = _joined(narrow, seed, **how).withColumn("size", size())
+    sizes = cut(docs.select("doc_id", "source", size().alias("size")), "sizes")
+    out = _copied(sizes, rates(sizes, **how), seed)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_copies")).alias("taken"), F.col("_copies").cast("long").alias("copies"))
 
 
 def emit(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
     """The documents themselves, each as often as the mix takes it."""
-    out = _joined(docs, seed, **how).filter("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "source")
+    out = _copied(rows, rates(docs.select("source", size().alias("size")), **how), seed).filter("_copies > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 #: DuckDB SQL of ``shares`` over documents ($DOCS: their relation).

@@ -17,9 +17,13 @@ Documents link when 100 * |A n B| >= 80 * |A u B|; a component is what links con
    against itself; a pair of nodes is dropped when the greatest overlap that sizes and bitmaps
    allow is less than the least that a link of such sizes needs, or when all its sets already
    are in one component. Pairs of sets that are left are compared exactly.
-5. Where a group has several blocks, their components' first sets are joined next, by the same
-   tree, and at last the pairs of blocks that still hold different components. A group of near
-   copies, however large, is one component by then and needs no pair of blocks.
+5. Where a group has several blocks, its components' first sets are dealt into blocks anew and
+   joined, again and again while that makes them fewer by a quarter: a group of near copies,
+   however large, mostly ends as one component. What is left in other components than the group's
+   largest is dealt into blocks by size and compared with itself and with the largest component,
+   block by block, where sizes allow a link. So a group costs in proportion to its size and to the
+   blocks outside its largest component. (A group that neither falls apart by first runs nor grows
+   together costs the square of its blocks; the trees are what prunes inside a pair.)
 
 Links are only followed as far as they connect something new; all sets end in the right
 component, but links inside a component aren't all listed.
@@ -371,13 +375,12 @@ def _links(found: DataFrame) -> DataFrame:
     group = C.components(edges)
     member = found.filter("kind = 0").select("doc", "n").join(group, F.col("doc") == F.col("node")).select("doc", "n", "comp")
     sized = member.groupBy(F.col("comp").alias("_comp")).agg(F.count("*").alias("_n"), F.sum(8 * F.col("n")).alias("_bytes"))
-    blocks = F.greatest(F.ceil(F.col("_n") / UNIT), F.ceil(F.col("_bytes") / UNIT_BYTES)).cast("int")
-    sized = cut(sized.select("_comp", blocks.alias("blocks"), "_bytes"), "groups")
+    sized = cut(sized.select("_comp", _blocks("_n", "_bytes").alias("blocks"), "_bytes"), "groups")
     most, total = sized.agg(F.max("blocks"), F.sum("_bytes")).first()
     if not total:
         return spark.createDataFrame([], "u long, v long")
     bins = max(1, -(-total // BIN_BYTES))
-    member = member.join(sized.drop("_bytes"), F.col("comp") == F.col("_comp")).select("doc", "comp", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"))
+    member = member.join(sized.drop("_bytes"), F.col("comp") == F.col("_comp")).select("doc", "comp", "n", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block"))
     member = cut(member, "members")
 
     def units(x: DataFrame) -> DataFrame:
@@ -389,27 +392,58 @@ def _links(found: DataFrame) -> DataFrame:
     links = cut(units(sets.join(member, F.col("_doc") == F.col("doc")).drop("_doc")), "links")
     if most <= 1:
         return links
-    # groups of several blocks
-    large = member.filter("blocks > 1").select("doc", "comp", "block")
-
-    def labelled(links):
-        now = C.components(links).select(F.col("node").alias("_node"), F.col("comp").alias("_label"))
-        return cut(large.join(now, F.col("doc") == F.col("_node"), "left").select("doc", "comp", "block", F.coalesce("_label", "doc").alias("label")), "labels")
-
-    links = cut(links.unionByName(units(_of(found, labelled(links).filter("doc = label")))), "links")
-    marked = labelled(links)
-    kinds = marked.groupBy("comp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    mixed = kinds.groupBy("comp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select(F.col("comp").alias("_c"))
-    kinds = cut(kinds.join(mixed, F.col("comp") == F.col("_c"), "left_semi"), "blocks")
-    a, b = (kinds.select(*(F.col(k).alias(f"{k}_{s}") for k in kinds.columns)) for s in "ab")
-    pairs = a.join(b, (F.col("comp_a") == F.col("comp_b")) & (F.col("block_a") < F.col("block_b"))).filter("least(lo_a, lo_b) < greatest(hi_a, hi_b)")
-    sides = pairs.select(F.col("comp_a").alias("_c"), F.col("block_a").alias("pa"), F.col("block_b").alias("pb"), F.explode(F.array(F.struct(F.col("block_a").alias("at"), F.lit(0).alias("side")), F.struct(F.col("block_b").alias("at"), F.lit(1).alias("side")))).alias("s"))
-    both = marked.join(sides, (F.col("comp") == F.col("_c")) & (F.col("block") == F.col("s.at"))).select("comp", "pa", "pb", F.col("s.side").alias("side"), "doc", "label")
-    both = cut(both, "sides")
-    if not both.limit(1).count():
+    large = member.filter("blocks > 1").select("doc", "comp", "n")
+    before = None
+    while True:
+        marked = _labelled(large, links)
+        firsts = marked.filter("doc = label").select("doc", "comp", "n")
+        left = firsts.groupBy("comp").agg(F.count("*").alias("_n"), F.sum(8 * F.col("n")).alias("_bytes")).filter("_n > 1")
+        left = cut(left.select(F.col("comp").alias("_c"), _blocks("_n", "_bytes").alias("blocks"), "_n"), "firsts")
+        now = left.agg(F.sum("_n")).first()[0] or 0
+        if not now:
+            return links
+        if before is not None and 4 * now > 3 * before:
+            break
+        dealt = firsts.join(left, F.col("comp") == F.col("_c")).select("doc", "comp", F.pmod(F.xxhash64("doc", F.lit(now)), F.col("blocks")).cast("int").alias("block"))
+        links = cut(links.unionByName(units(_of(found, dealt))), "links")
+        before = now
+    sides = _sides(marked)
+    if sides is None:
         return links
-    rest = _of(found, both).groupBy("comp", "pa", "pb").applyInArrow(_pair_of_blocks, "u long, v long")
-    return links.unionByName(cut(rest, "links"))
+    return links.unionByName(cut(_of(found, sides).groupBy("comp", "pair").applyInArrow(_pair_of_blocks, "u long, v long"), "links"))
+
+
+def _blocks(n: str, size: str) -> F.Column:
+    return F.greatest(F.ceil(F.col(n) / UNIT), F.ceil(F.col(size) / UNIT_BYTES)).cast("int")
+
+
+def _labelled(large: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of large groups with the first document of their component by now."""
+    now = C.components(links).select(F.col("node").alias("_node"), F.col("comp").alias("_label"))
+    return cut(large.join(now, F.col("doc") == F.col("_node"), "left").select("doc", "comp", "n", F.coalesce("_label", "doc").alias("label")), "labels")
+
+
+def _sides(marked: DataFrame) -> DataFrame | None:
+    """doc, comp, label, pair, side: the pairs of blocks that may still hold a link between
+    components of a group. Side 0 is the largest component or the rest, side 1 the rest; blocks are
+    of one class of sizes, and linked sets lie in the same or the next class."""
+    sizes = marked.groupBy("comp", "label").agg(F.count("*").alias("_k"))
+    main = sizes.groupBy(F.col("comp").alias("_c")).agg(F.max(F.struct("_k", "label"))["label"].alias("main"), F.count("*").alias("_labels")).filter("_labels > 1").drop("_labels")
+    rows = marked.join(main, F.col("comp") == F.col("_c")).select("doc", "comp", "label", "n", (F.col("label") != F.col("main")).cast("int").alias("rest"), F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int").alias("z"))
+    rows = cut(rows, "left-over")
+    cells = rows.groupBy("comp", "rest", "z").agg(F.count("*").alias("_n"), F.sum(8 * F.col("n")).alias("_bytes")).select("comp", "rest", "z", _blocks("_n", "_bytes").alias("blocks"))
+    cells = cut(cells, "cells")
+    every = cells.select("comp", "rest", "z", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    a, b = (every.select(*(F.col(k).alias(f"{k}_{s}") for k in every.columns)) for s in "ab")
+    near = (F.col("comp_a") == F.col("comp_b")) & (F.abs(F.col("z_a") - F.col("z_b")) <= 1)
+    pairs = a.join(b.filter("rest_b = 1"), near).filter("rest_a = 0 or z_a < z_b or (z_a = z_b and b_a <= b_b)")
+    name = F.concat_ws(":", "rest_a", "z_a", "b_a", "z_b", "b_b").alias("pair")
+    ends = F.explode(F.array(*(F.struct(F.col(f"rest_{s}").alias("rest"), F.col(f"z_{s}").alias("z"), F.col(f"b_{s}").alias("b"), F.lit(k).alias("side")) for k, s in enumerate("ab")))).alias("e")
+    pairs = cut(pairs.select(F.col("comp_a").alias("_c"), name, ends).select("_c", "pair", F.col("e.rest").alias("_rest"), F.col("e.z").alias("_z"), F.col("e.b").alias("_b"), "e.side"), "pairs")
+    dealt = rows.join(cells.select(F.col("comp").alias("_k"), F.col("rest").alias("_r"), F.col("z").alias("_s"), "blocks"), F.expr("comp = _k and rest = _r and z = _s"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    sides = cut(dealt.join(pairs, F.expr("comp = _c and rest = _rest and z = _z and block = _b")).select("doc", "comp", "label", "pair", "side"), "sides")
+    return sides if sides.limit(1).count() else None
 
 
 def classes(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -441,4 +475,5 @@ def one_of_each(docs: DataFrame, run: int = RUN) -> DataFrame:
     """The documents, of each component only the one with the smallest doc_id (of rows that
     share it, all); rows without doc_id stay."""
     gone = classes(docs, run).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

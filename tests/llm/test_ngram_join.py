@@ -43,6 +43,39 @@ def test_components(docs, rows, monkeypatch, unit):
     assert got == brute(rows)
 
 
+def _words(r, k):
+    return ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(k)]
+
+
+def test_near_copies_over_many_blocks_leave_no_pair(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(N, "UNIT", 8)
+    asked = []
+    sides = N._sides
+    monkeypatch.setattr(N, "_sides", lambda marked: asked.append(1) or sides(marked))
+    r = random.Random(3)
+    base, data = _words(r, 200), []
+    for k in range(120):
+        w = list(base)
+        w[r.randrange(200)] = f"x{k % 40}"
+        data.append((k, " ".join(w)))
+    got = N.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {x.component_id for x in got} == {0} and not asked
+
+
+def test_links_between_the_largest_component_and_the_rest(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(N, "UNIT", 3)
+    r = random.Random(4)
+    pieces = [_words(r, 22) for _ in range(9)]  # texts of common pieces: alike, but not all linked
+    data = [(k, " ".join(w for p in sorted(r.sample(range(9), 7)) for w in pieces[p])) for k in range(60)]
+    data += [(100 + k, " ".join(w for p in (0, 1, 2, 3, 4, 5, 6, k % 3) for w in pieces[p])) for k in range(40)]
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in N.classes(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert got == brute(data) and len({k[2] for k in got}) > 3
+
+
 def test_one_of_each(docs, rows):
     want = brute(rows)
     stay = {k[0] for k in want if k[0] is None or k[0] == k[2]}

@@ -385,3 +385,48 @@ def test_language_id(spark, none):
     assert by[500].lang_pred == by[501].lang_pred == by[502].lang_pred == "und" and by[503].lang_pred == data[1][2]
     assert langid.identified(none).collect() == []
     assert {x.lang_pred for x in langid.identified(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def plain_vector(text, dimension):
+    """A text's unit vector, trigram by trigram."""
+    letters = "".join(c.lower()[0] if c.isalpha() else " " for c in text)
+    padded = " " + " ".join(letters.split()) + " "
+    total = np.zeros(dimension)
+    for a, b, c in zip(padded, padded[1:], padded[2:], strict=False):
+        if b != " ":
+            va, vb, vc = (langid.letter(ord(x), dimension).astype(int) for x in (a, b, c))
+            total += np.roll(va, 2) * np.roll(vb, 1) * vc
+    return total / max(np.linalg.norm(total), 1e-12)
+
+
+def test_language_vectors_and_predictions_by_hand(spark, monkeypatch):
+    r = random.Random(17)
+    texts = ["Hällo, Wörld! it's 2 o'clock", "a", "ab ab\tab\nAB", "中文字 中文", "\U00010400\U00010401 x", "", "12 ...", "İstanbul ǅ ß", *("".join(r.choice("abcdefgh  é中x") for _ in range(r.randint(1, 90))) for _ in range(60))]
+    plain = np.stack([plain_vector(t, langid.DIMENSION) for t in texts])
+    for block in (2048, 7):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert np.allclose(langid.bundles(texts), plain, atol=1e-4)
+    import zlib
+
+    data = [(k, t, ("aa", "bb", "cc", None)[k % 4]) for k, t in enumerate(texts)] + [(900 + k, "ab ab\tab\nAB", ("zz", "yy")[k % 2]) for k in range(12)]  # ties of zz and yy
+    teach = [(t, lang) for k, t, lang in data if lang and zlib.crc32(str(k).encode()) % 3 != 1]
+    names = sorted({lang for _, lang in teach})
+    table = np.stack([sum(plain_vector(t, langid.DIMENSION) for t, x in teach if x == lang) for lang in names])
+    table /= np.linalg.norm(table, axis=1, keepdims=True)
+    mean = table.mean(0)
+    centred = (table - mean) / np.linalg.norm(table - mean, axis=1, keepdims=True)
+    got = {x.doc_id: x for x in langid.identified(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()}
+    for k, t, _ in data:
+        v = plain_vector(t, langid.DIMENSION)
+        if not v.any():
+            assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
+            continue
+        cos = centred @ (v - mean) / np.linalg.norm(v - mean)
+        assert abs(got[k].score - np.clip(cos.max(), 0, 1)) < 1e-3
+        assert got[k].lang_pred in [n for n, c in zip(names, cos, strict=True) if c > cos.max() - 1e-3]
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identified(docs).join(docs.select("doc_id", "lang", F.length("text").alias("size")), "doc_id").filter("held_out and lang is not null and size > 40").collect()
+    assert len(got) > 200 and sum(x.lang == x.lang_pred for x in got) >= 0.95 * len(got)
