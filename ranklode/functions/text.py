@@ -20,7 +20,7 @@ def handle_case(c, lower: bool = True) -> Column:
 
 def words(c) -> Column:
     """Words between blanks, without empty ones."""
-    return F.filter(F.split(col(c), BLANK), lambda x: x != "")
+    return F.array_remove(F.split(col(c), BLANK), "")
 
 
 def tokens(c) -> Column:
@@ -126,15 +126,20 @@ def normalize_url(c) -> Column:
     return F.regexp_replace(x, "^([a-zA-Z]+://[^/]+)/$", "$1")
 
 
-#: Coarse classes of Penn part-of-speech tags by their first letters.
-POS_CLASS = {"JJ": "A", "NN": "N", "RB": "R", "VB": "V"}
+#: Coarse classes of Penn part-of-speech tags; tags may be in lower case as well.
+POS_CLASS = {
+    "JJ": "A", "JJR": "A", "JJS": "A",
+    "NN": "N", "NNS": "N", "NNP": "N", "NNPS": "N",
+    "RB": "R", "RBR": "R", "RBS": "R",
+    "VB": "V", "VBD": "V", "VBG": "V", "VBN": "V", "VBP": "V", "VBZ": "V",
+}
+# End of fixed values.
 
 
 def pos_class(c) -> Column:
-    out = F.lit(None).cast("string")
-    for tag, kind in POS_CLASS.items():
-        out = F.when(col(c).startswith(tag), kind).otherwise(out)
-    return out
+    table = F.create_map(*(F.lit(x) for pair in POS_CLASS.items() for x in pair))
+    same = (col(c) == F.upper(col(c))) | (col(c) == F.lower(col(c)))
+    return F.when(same, F.try_element_at(table, F.upper(col(c))))
 
 
 def strip_html(c) -> Column:

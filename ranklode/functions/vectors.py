@@ -105,3 +105,11 @@ def interleaved(components: list[DataFrame], weights: list[float]) -> DataFrame:
 def exploded(df: DataFrame, id_: str, vector: str) -> DataFrame:
     """A dense column as sparse rows."""
     return df.select(F.col(id_).alias("id"), F.posexplode(dense(vector)).alias("dim", "val"))
+
+
+def filled(value, n: int) -> Column:
+    return F.array_repeat(F.lit(value), n)
+
+
+def to_text(v, sep: str = " ") -> Column:
+    return F.array_join(F.transform(col(v), lambda x: x.cast("string")), sep)

@@ -6,21 +6,24 @@ differ in their last bits from run to run, and a tie-break makes ranks reproduci
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklode.functions import text as T
 from ranklode.functions import vectors as V
 from ranklode.operators.index import Index, idf
+from ranklode.session import cut, written_bytes
 
 K1, B = 1.2, 0.75
-#: Query terms of at most so many rows (some 30 MB) are broadcast.
-BROADCAST_TERMS = 300_000
+#: Written tables of at most so many bytes (compressed; some 100 MB in memory) are broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
-    """A broadcast hint only behind a count; beyond it Spark's own join takes over."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame) -> DataFrame:
+    """The table, written once, with a broadcast hint if its files are small; beyond that Spark's
+    own join takes over."""
+    x = cut(df, "side")
+    return F.broadcast(x) if written_bytes(x) <= BROADCAST_BYTES else x
 
 
 def top(scored: DataFrame, k: int, *keep: str) -> DataFrame:
@@ -34,19 +37,38 @@ def norm_tf(tf="tf", length="doc_len", avgdl="avgdl", k1: float = K1, b: float =
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))
 
 
+def clean_query(c) -> Column:
+    """A query's text without punctuation and without the operators of the query syntax."""
+    return T.remove_operators(T.remove_punct(c))
+
+
+def postings_of(idx: Index, words: DataFrame) -> DataFrame:
+    """doc_id, word, tf, doc_len of the given words (word), written: documents' words meet them
+    before they are counted, so only words that are asked for are shuffled."""
+    asked = bounded(words.select("word").distinct())
+    hits = idx.docs.select("doc_id", "doc_len", F.explode("w").alias("word")).join(asked, "word")
+    return cut(hits.groupBy("doc_id", "word").agg(F.first("doc_len").alias("doc_len"), F.count("*").cast("double").alias("tf")), "postings")
+
+
+def weighed(idx: Index, terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """query_id, word, qtf, df, idf of the query words that some document has."""
+    df = postings.groupBy("word").agg(F.count("*").cast("double").alias("df"))
+    return terms.join(df, "word").select("query_id", "word", "qtf", "df", idf(n=F.lit(idx.figures.n_docs)).alias("idf"))
+
+
 def matches(idx: Index, terms: DataFrame) -> DataFrame:
     """query_id, doc_id, word, qtf, tf, doc_len, df, idf, avgdl where a query's word is in a
-    document. Documents' words meet the query terms before they are counted, so only words some
-    query has are shuffled; document frequencies come from the same words."""
-    vocabulary = bounded(terms.select("word").distinct())
-    hits = idx.docs.select("doc_id", "doc_len", F.explode("w").alias("word")).join(vocabulary, "word").groupBy("doc_id", "word").agg(F.first("doc_len").alias("doc_len"), F.count("*").cast("double").alias("tf"))
-    df = hits.groupBy("word").agg(F.count("*").cast("double").alias("df"))
-    weights = terms.join(df, "word").crossJoin(F.broadcast(idx.stats)).select("query_id", "word", "qtf", "df", idf().alias("idf"), "avgdl")
-    return hits.join(bounded(weights), "word")
+    document. Document frequencies come from the same written postings."""
+    hits = postings_of(idx, terms)
+    return hits.join(bounded(weighed(idx, terms, hits)), "word").withColumn("avgdl", F.lit(idx.figures.avgdl))
+
+
+def summed(matched: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    return matched.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * norm_tf(k1=k1, b=b)).alias("score"))
 
 
 def bm25(idx: Index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    return matches(idx, terms).groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * norm_tf(k1=k1, b=b)).alias("score"))
+    return summed(matches(idx, terms), k1, b)
 
 
 def bm25_topk(idx: Index, terms: DataFrame, k: int = 10, **how) -> DataFrame:
@@ -58,10 +80,32 @@ def exact_match(docs: DataFrame, queries: DataFrame, field: str, k: int) -> Data
     return top(queries.select("query_id", F.col("key").alias(field)).join(docs, field).select("query_id", "doc_id", F.lit(1.0).alias("score")), k)
 
 
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, doc_id where a document's text holds an item's text. Rows (doc_id, text) and
+    (query_id, text).
+
+    What stands between an item's first and last blank are whole words of any text that holds it:
+    documents meet an item by the rarest of those words only, and are then compared. Items without
+    such a word, a stated set, are compared with every document. Null texts hold nothing and are
+    held by none; each document holds an empty item."""
+    words = lambda c: F.array_remove(F.split(F.col(c), "[ \\t\\n\\r\\f]+"), "")
+    inner = F.split("text", "[ \\t\\n\\r\\f]+")
+    items = items.filter("text is not null").select("query_id", "text", F.array_distinct(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))).alias("_inner"))
+    asked = items.select("query_id", F.explode("_inner").alias("word"))
+    have = cut(docs.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("word")).join(bounded(asked.select("word").distinct()), "word"), "words")
+    df = have.groupBy("word").agg(F.count("*").alias("_df"))
+    rarest = asked.join(df, "word", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "word"))["word"].alias("word"))
+    pairs = have.join(bounded(rarest), "word").select("query_id", "doc_id")
+    texts = items.select("query_id", F.col("text").alias("_t"))
+    pairs = pairs.join(texts, "query_id").join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "_t")).select("query_id", "doc_id").distinct()
+    plain = bounded(items.filter(F.size("_inner") == 0).select("query_id", F.col("text").alias("_t")))
+    return pairs.unionByName(docs.join(plain, F.contains("text", "_t")).select("query_id", "doc_id"))
+
+
 def knn(docs: DataFrame, queries: DataFrame, k: int, score=V.dot, drop_self: bool = False) -> DataFrame:
     """Nearest vectors by brute force: a stated set of queries against all rows, the queries
     broadcast in bounded number. Rows (id, v)."""
-    q = bounded(queries.select(F.col("id").alias("query_id"), V.dense("v").alias("_q")), 20_000)
+    q = bounded(queries.select(F.col("id").alias("query_id"), V.dense("v").alias("_q")))
     on = F.col("query_id") != F.col("doc_id") if drop_self else F.lit(True)
     pairs = docs.select(F.col("id").alias("doc_id"), V.dense("v").alias("_d")).join(q, on)
     return top(pairs.select("query_id", "doc_id", score("_q", "_d").alias("score")), k)
@@ -102,3 +146,8 @@ def tail_shifted(run: DataFrame, rescored: DataFrame, r: int) -> DataFrame:
 def with_fake(queries: DataFrame, run: DataFrame, fake: str = "FAKE_DOC") -> DataFrame:
     """Queries without results get one placeholder at rank 1 with score 0."""
     return queries.select("query_id").distinct().join(run, "query_id", "left").select("query_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(fake)).alias("doc_id"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("rank", F.lit(1)).alias("rank"))
+
+
+def first(df: DataFrame, id_: str, n: int) -> DataFrame:
+    """The first n rows by id: the option that bounds queries or records."""
+    return df.orderBy(id_).limit(n)

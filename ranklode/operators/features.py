@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ranklode.functions import text as T
 from ranklode.functions import vectors as V
-from ranklode.operators.candidates import B, K1, bounded, norm_tf
-from ranklode.operators.index import Index, idf
+from ranklode.operators.candidates import B, K1, bounded, norm_tf, postings_of, summed, top, weighed
+from ranklode.operators.index import Index
 from ranklode.session import cut
 
 
@@ -22,53 +22,59 @@ def _filled(pairs: DataFrame, scores: DataFrame, *names: str) -> DataFrame:
     return x.select("query_id", "doc_id", *(F.coalesce(n, F.lit(0.0)).alias(n) for n in names))
 
 
-def _pair_matches(idx: Index, pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """Matches as in retrieval, but only candidate documents are taken apart. ``weights``:
-    query_id, word, qtf, idf of the whole collection."""
-    few = idx.docs.join(bounded(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
-    hits = few.select("doc_id", "doc_len", F.explode("w").alias("word")).join(bounded(weights.select("word").distinct()), "word")
-    hits = hits.groupBy("doc_id", "word").agg(F.first("doc_len").alias("doc_len"), F.count("*").cast("double").alias("tf"))
-    hits = hits.join(bounded(weights), "word").join(pairs.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
-    return hits.crossJoin(F.broadcast(idx.stats.select("avgdl")))
+class Weighed:
+    """What several feature blocks share: the written postings of the query words, their weights
+    (query_id, word, qtf, df, idf of the whole collection), and candidate pairs, which are the
+    first ``k`` by BM25 where none are given."""
 
+    def __init__(self, idx: Index, terms: DataFrame, pairs: DataFrame | None = None, k: int = 10):
+        self.idx, self.terms = idx, terms
+        self.postings = postings_of(idx, terms)
+        self.weights = bounded(weighed(idx, terms, self.postings))
+        self.run = cut(top(summed(self._all()), k), "run") if pairs is None else pairs
+        self.pairs = self.run.select("query_id", "doc_id")
 
-def bm25(idx: Index, terms: DataFrame, pairs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    def _all(self) -> DataFrame:
+        return self.postings.join(self.weights, "word").withColumn("avgdl", F.lit(self.idx.figures.avgdl))
+
+    def matches(self) -> DataFrame:
+        """query_id, doc_id, word, qtf, tf, doc_len, df, idf, avgdl of candidate pairs."""
+        return self._all().join(self.pairs, ["query_id", "doc_id"], "left_semi")
+
+
+def bm25(of: Weighed, k1: float = K1, b: float = B) -> DataFrame:
     """bm25, and bm25_norm: divided by the idf of the query's distinct known words."""
-    weights = cut(weighted_terms(idx, terms), "weights")
-    hit = _pair_matches(idx, pairs, weights).groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * norm_tf(k1=k1, b=b)).alias("bm25"))
-    total = bounded(weights.groupBy("query_id").agg(F.sum("idf").alias("idf_sum")))
-    x = _filled(pairs, hit, "bm25").join(total, "query_id", "left")
+    hit = of.matches().groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * norm_tf(k1=k1, b=b)).alias("bm25"))
+    total = of.weights.groupBy("query_id").agg(F.sum("idf").alias("idf_sum"))
+    x = _filled(of.pairs, hit, "bm25").join(total, "query_id", "left")
     return x.select("query_id", "doc_id", "bm25", F.when(F.col("idf_sum") > 0, F.col("bm25") / F.col("idf_sum")).otherwise(F.col("bm25")).alias("bm25_norm"))
 
 
 def weighted_terms(idx: Index, terms: DataFrame) -> DataFrame:
     """query_id, word, qtf, df, idf of the query words that some document has."""
-    have = idx.docs.select(F.explode(F.array_distinct("w")).alias("word")).join(bounded(terms.select("word").distinct()), "word").groupBy("word").agg(F.count("*").cast("double").alias("df"))
-    return terms.join(have, "word").crossJoin(F.broadcast(idx.stats.select("n_docs"))).select("query_id", "word", "qtf", "df", idf().alias("idf"))
+    return weighed(idx, terms, postings_of(idx, terms))
 
 
 def known_idf(idx: Index, terms: DataFrame) -> DataFrame:
     return weighted_terms(idx, terms).groupBy("query_id").agg(F.sum("idf").alias("idf_sum"))
 
 
-def cosine_tfidf(idx: Index, terms: DataFrame, pairs: DataFrame) -> DataFrame:
+def cosine_tfidf(of: Weighed) -> DataFrame:
     """Sum of qtf * tf * idf^2 over norms of all words of both sides."""
     w2 = F.col("idf") * F.col("idf")
-    weights = cut(weighted_terms(idx, terms), "weights")
-    up = _pair_matches(idx, pairs, weights).groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("tf") * w2).alias("up"))
-    few = idx.docs.join(bounded(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
-    docs = Index(few).postings.join(idx.vocab, "word").groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("tf") * w2).alias("d2"))
-    queries = weights.groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("qtf") * w2).alias("q2"))
-    x = up.join(docs, "doc_id").join(bounded(queries), "query_id").withColumn("cosine", F.col("up") / F.sqrt(F.greatest(F.lit(1e-6), F.col("d2") * F.col("q2"))))
-    return _filled(pairs, x, "cosine")
+    up = of.matches().groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("tf") * w2).alias("up"))
+    few = of.idx.docs.join(bounded(of.pairs.select("doc_id").distinct()), "doc_id", "left_semi")
+    docs = Index(few).postings.join(of.idx.vocab, "word").groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("tf") * w2).alias("d2"))
+    queries = of.weights.groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("qtf") * w2).alias("q2"))
+    x = up.join(docs, "doc_id").join(queries, "query_id").withColumn("cosine", F.col("up") / F.sqrt(F.greatest(F.lit(1e-6), F.col("d2") * F.col("q2"))))
+    return _filled(of.pairs, x, "cosine")
 
 
-def overlap(idx: Index, terms: DataFrame, pairs: DataFrame) -> DataFrame:
+def overlap(of: Weighed) -> DataFrame:
     """Matched share of the query's known words, counted with repetition."""
-    weights = cut(weighted_terms(idx, terms), "weights")
-    hit = _pair_matches(idx, pairs, weights).groupBy("query_id", "doc_id").agg(F.sum("qtf").alias("hit"))
-    known = weights.groupBy("query_id").agg(F.sum("qtf").alias("known"))
-    return _filled(pairs, hit.join(bounded(known), "query_id").withColumn("overlap", F.col("hit") / F.greatest(F.col("known"), F.lit(1.0))), "overlap")
+    hit = of.matches().groupBy("query_id", "doc_id").agg(F.sum("qtf").alias("hit"))
+    known = of.weights.groupBy("query_id").agg(F.sum("qtf").alias("known"))
+    return _filled(of.pairs, hit.join(known, "query_id").withColumn("overlap", F.col("hit") / F.greatest(F.col("known"), F.lit(1.0))), "overlap")
 
 
 def positions(idx: Index, terms: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -77,25 +83,25 @@ def positions(idx: Index, terms: DataFrame, pairs: DataFrame) -> DataFrame:
     return few.join(bounded(terms.select("query_id", "word")), ["query_id", "word"])
 
 
-def close_pairs(idx: Index, terms: DataFrame, query_tokens: DataFrame, pairs: DataFrame, query_window: int = 4, doc_window: int = 8, k1: float = K1, b: float = B) -> DataFrame:
+def close_pairs(of: Weighed, query_tokens: DataFrame, query_window: int = 4, doc_window: int = 8, k1: float = K1, b: float = B) -> DataFrame:
     """ordered, unordered: BM25 over pairs of different query words within ``query_window`` of
     each other, counted in the document within ``doc_window``, over the query's idf. query_tokens:
     query_id, pos, word."""
-    weights = cut(weighted_terms(idx, terms), "weights").select("query_id", "word", "idf")
-    q = query_tokens.join(bounded(weights), ["query_id", "word"])
+    weights = of.weights.select("query_id", "word", "idf")
+    q = query_tokens.join(weights, ["query_id", "word"])
     left, right = (q.select("query_id", F.col("pos").alias(f"p{s}"), F.col("word").alias(f"w{s}"), F.col("idf").alias(f"i{s}")) for s in "12")
-    near = left.join(right, "query_id").filter((F.col("p1") < F.col("p2")) & (F.col("p2") < F.col("p1") + query_window) & (F.col("w1") != F.col("w2")))
-    at = positions(idx, terms, pairs)
+    near = cut(left.join(right, "query_id").filter((F.col("p1") < F.col("p2")) & (F.col("p2") < F.col("p1") + query_window) & (F.col("w1") != F.col("w2"))), "near")
+    at = positions(of.idx, of.terms, of.pairs)
     frame = Window.partitionBy("query_id", "doc_id").orderBy("pos").rangeBetween(1, doc_window - 1)
     together = at.withColumn("_next", F.collect_list("word").over(frame)).select("query_id", "doc_id", "doc_len", F.col("word").alias("a"), F.explode("_next").alias("b")).filter("a <> b")
-    avgdl = F.broadcast(idx.stats.select("avgdl"))
-    floor = bounded(weights.groupBy("query_id").agg(F.sum("idf").alias("idf_sum")))
+    together = cut(together.groupBy("query_id", "doc_id", "a", "b").agg(F.first("doc_len").alias("doc_len"), F.count("*").cast("double").alias("n")), "together")
+    floor = weights.groupBy("query_id").agg(F.sum("idf").alias("idf_sum"))
     out = None
     for name, key in (("ordered", lambda x, y: F.struct(x, y)), ("unordered", lambda x, y: F.struct(F.least(x, y), F.greatest(x, y)))):
         wanted = near.select("query_id", key(F.col("w1"), F.col("w2")).alias("pair"), ((F.col("i1") + F.col("i2")) / 2).alias("idf")).groupBy("query_id", "pair").agg(F.first("idf").alias("idf"))
-        counts = together.select("query_id", "doc_id", "doc_len", key(F.col("a"), F.col("b")).alias("pair")).groupBy("query_id", "doc_id", "pair").agg(F.first("doc_len").alias("doc_len"), F.count("*").cast("double").alias("tf"))
-        s = counts.join(bounded(wanted), ["query_id", "pair"]).crossJoin(avgdl).groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * norm_tf(k1=k1, b=b)).alias("s"))
-        s = _filled(pairs, s.join(floor, "query_id").withColumn(name, F.col("s") / F.greatest(F.col("idf_sum"), F.lit(2.2250738585072014e-308))), name)
+        counts = together.select("query_id", "doc_id", "doc_len", key(F.col("a"), F.col("b")).alias("pair"), "n").groupBy("query_id", "doc_id", "pair").agg(F.first("doc_len").alias("doc_len"), F.sum("n").alias("tf"))
+        s = counts.join(wanted, ["query_id", "pair"]).withColumn("avgdl", F.lit(of.idx.figures.avgdl)).groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * norm_tf(k1=k1, b=b)).alias("s"))
+        s = _filled(of.pairs, s.join(floor, "query_id").withColumn(name, F.col("s") / F.greatest(F.col("idf_sum"), F.lit(2.2250738585072014e-308))), name)
         out = s if out is None else out.join(s, ["query_id", "doc_id"])
     return out
 
@@ -139,7 +145,7 @@ def average_embeddings(tokens: DataFrame, embeddings: DataFrame, weight=None) ->
 def bm25_vectors(idx: Index, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sparse rows (id, dim, val) of queries and documents whose dot product is BM25."""
     q = weighted_terms(idx, terms).select(F.col("query_id").alias("id"), F.col("word").alias("dim"), (F.col("qtf") * F.sqrt("idf")).alias("val"))
-    d = idx.postings.join(idx.vocab, "word").crossJoin(F.broadcast(idx.stats.select("avgdl")))
+    d = idx.postings.join(idx.vocab, "word").withColumn("avgdl", F.lit(idx.figures.avgdl))
     return q, d.select(F.col("doc_id").alias("id"), F.col("word").alias("dim"), (F.sqrt("idf") * norm_tf()).alias("val"))
 
 
@@ -167,3 +173,69 @@ def rm3(idx: Index, terms: DataFrame, run: DataFrame, top_docs: int = 5, top_ter
     q = terms.withColumn("q", F.col("qtf") / F.sum("qtf").over(Window.partitionBy("query_id"))).select("query_id", "word", "q")
     mixed = q.join(p, ["query_id", "word"], "full")
     return mixed.select("query_id", "word", (F.lit(weight) * F.coalesce("q", F.lit(0.0)) + F.lit(1 - weight) * F.coalesce("p", F.lit(0.0))).alias("w"))
+
+
+def rm3_score(of: Weighed, top_docs: int = 5, top_terms: int = 10, weight: float = 0.5) -> DataFrame:
+    """rm3 of the pairs: ``weight`` of the normalised BM25 and the rest of what the query's feedback
+    words weigh together in the document. Feedback words come from the last of the top documents
+    alone, the ``top_terms`` of greatest idf times normalised frequency; their weights sum to 1."""
+    last = of.run.filter(F.col("rank") <= top_docs).groupBy("query_id").agg(F.max_by("doc_id", "rank").alias("doc_id"))
+    words = last.join(of.idx.docs, "doc_id").select("query_id", "doc_len", F.explode("w").alias("word")).groupBy("query_id", "word").agg(F.first("doc_len").alias("doc_len"), F.count("*").cast("double").alias("tf"))
+    x = words.join(of.idx.vocab, "word").withColumn("avgdl", F.lit(of.idx.figures.avgdl)).select("query_id", "word", (F.col("idf") * norm_tf()).alias("s"))
+    x = x.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("s", 9)), "word"))).filter(F.col("_r") <= top_terms)
+    x = bounded(x.select("query_id", "word", (F.col("s") / F.greatest(F.sum("s").over(Window.partitionBy("query_id")), F.lit(1e-9))).alias("p")))
+    have = of.pairs.join(of.idx.docs.select("doc_id", F.array_distinct("w").alias("w")), "doc_id").select("query_id", "doc_id", F.explode("w").alias("word"))
+    rm1 = have.join(x, ["query_id", "word"]).groupBy("query_id", "doc_id").agg(F.sum("p").alias("rm1"))
+    both = bm25(of).join(_filled(of.pairs, rm1, "rm1"), ["query_id", "doc_id"])
+    return both.select("query_id", "doc_id", (F.lit(weight) * F.col("bm25_norm") + F.lit(1 - weight) * F.col("rm1")).alias("rm3"))
+
+
+def cosine_vectors(idx: Index, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sparse rows (id, dim, val) of queries and documents of length 1, tf times idf of known words:
+    their dot product is the cosine."""
+    vocab = idx.vocab
+
+    def unit(x: DataFrame) -> DataFrame:
+        x = x.join(vocab, "word").select("id", F.col("word").alias("dim"), (F.col("n") * F.col("idf")).alias("val"))
+        length = F.sqrt(F.sum(F.col("val") * F.col("val")).over(Window.partitionBy("id")))
+        return x.select("id", "dim", F.when(length > 0, F.col("val") / length).otherwise(0.0).alias("val"))
+
+    return unit(terms.select(F.col("query_id").alias("id"), "word", F.col("qtf").alias("n"))), unit(idx.postings.select(F.col("doc_id").alias("id"), "word", F.col("tf").alias("n")))
+
+
+def embedding_dot(of: Weighed, embeddings: DataFrame, use_idf: bool = False, unit: bool = False) -> DataFrame:
+    """embed: product of the average word vectors of query and document. embeddings: (word, v)."""
+    few = of.idx.docs.join(of.pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    vocab = of.idx.vocab.select("word", "idf")
+    weighted = lambda x: x.join(vocab, "word") if use_idf else x
+    side = lambda x: average_embeddings(weighted(x), embeddings, "idf" if use_idf else None)
+    q = side(of.terms.select(F.col("query_id").alias("id"), "word", F.col("qtf").alias("n")))
+    d = side(Index(few).postings.select(F.col("doc_id").alias("id"), "word", F.col("tf").alias("n")))
+    if unit:
+        q, d = (x.select("id", V.l2_normalized("v").alias("v")) for x in (q, d))
+    x = dense_dot(of.pairs, d, q).withColumnRenamed("dense", "embed")
+    return _filled(of.pairs, x, "embed")
+
+
+def from_parents(run: DataFrame, parents: DataFrame, features_of) -> DataFrame:
+    """Features of candidates' parents, copied back to the candidates. parents: (child_id, parent),
+    one parent a child; a candidate without one is an error. ``features_of`` takes pairs
+    (query_id, doc_id) without repeats."""
+    x = run.select("query_id", "doc_id").join(parents.select(F.col("child_id").alias("doc_id"), "parent"), "doc_id", "left")
+    x = x.withColumn("parent", F.when(F.col("parent").isNotNull(), F.col("parent")).otherwise(F.raise_error(F.concat(F.lit("no parent of "), F.col("doc_id").cast("string"))).cast(parents.schema["parent"].dataType)))
+    x = cut(x, "parents")
+    f = features_of(x.select("query_id", F.col("parent").alias("doc_id")).distinct())
+    return x.join(f.withColumnRenamed("doc_id", "parent"), ["query_id", "parent"]).drop("parent")
+
+
+def disagreements(a: DataFrame, b: DataFrame, name: str, eps: float = 1e-4) -> DataFrame:
+    """Pairs whose values differ by more than ``eps``, or that one side lacks."""
+    x = a.select("query_id", "doc_id", F.col(name).alias("a")).join(b.select("query_id", "doc_id", F.col(name).alias("b")), ["query_id", "doc_id"], "full")
+    return x.filter(~F.coalesce(F.abs(F.col("a") - F.col("b")) <= eps, F.lit(False)))
+
+
+def bm25_grid(of: Weighed, grid: DataFrame) -> DataFrame:
+    """query_id, doc_id, k1, b, score of all matches under every setting (k1, b), in one plan."""
+    x = of._all().crossJoin(F.broadcast(grid.select("k1", "b")))  # a stated list of settings
+    tf = F.col("tf") * (F.col("k1") + 1) / (F.col("tf") + F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("doc_len") / F.col("avgdl")))
+    return x.groupBy("query_id", "doc_id", "k1", "b").agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score"))

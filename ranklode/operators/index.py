@@ -1,17 +1,21 @@
 """Indexes of a text field: tokens, postings, vocabulary, statistics, positions.
 
 Everything is one pass over the text with map-side combination; a field's postings are
-(doc_id, word, tf, doc_len) and can be written bucketed by word for repeated retrieval.
+(doc_id, word, tf, doc_len). ``stored`` writes the words of each document once, so that nothing
+that follows takes texts apart again, and only the columns it needs are read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ranklode.functions import text as T
+from ranklode.operators.ordering import numbered
+from ranklode.session import cut
 
 
 @dataclass
@@ -31,6 +35,11 @@ class Index:
     def stats(self) -> DataFrame:
         return self.docs.agg(F.count("*").cast("double").alias("n_docs"), F.sum("doc_len").alias("total_words"), F.avg("doc_len").alias("avgdl"))
 
+    @cached_property
+    def figures(self) -> Row:
+        """``stats`` on the driver: three numbers, read once."""
+        return self.stats.first()
+
     @property
     def vocab(self) -> DataFrame:
         """word, df, cf, idf. Words are counted once a document before anything is shuffled."""
@@ -54,6 +63,11 @@ def build(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> Index:
     return Index(w.withColumn("doc_len", F.size("w").cast("double")))
 
 
+def stored(idx: Index) -> Index:
+    """The index, written to the shared folder."""
+    return Index(cut(idx.docs, "index"))
+
+
 def query_terms(queries: DataFrame, id_: str = "item_id", text: str = "text") -> DataFrame:
     """query_id, word, qtf."""
     return queries.select(F.col(id_).alias("query_id"), F.explode(T.tokens(text)).alias("word")).groupBy("query_id", "word").agg(F.count("*").cast("double").alias("qtf"))
@@ -71,8 +85,8 @@ def vocabulary_counts(idx: Index) -> DataFrame:
 
 
 def with_word_ids(vocab: DataFrame) -> DataFrame:
-    """Ids from 1 in order of the words; the range sort is distributed, offsets are per partition."""
-    return vocab.withColumn("word_id", F.row_number().over(Window.orderBy("word")))
+    """Ids from 1 in order of the words, which are dealt by ranges."""
+    return numbered(vocab, "word", name="word_id").withColumn("word_id", F.col("word_id").cast("int"))
 
 
 def rebuilt_text(tokens: DataFrame) -> DataFrame:

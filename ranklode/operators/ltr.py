@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklode.operators.sampling import folds, uniform
+from ranklode.session import cut
 
 
 def linear(weights: list[float], feats="feats") -> Column:
@@ -75,23 +76,31 @@ def linear_regression(df: DataFrame, l2: float = 1e-10) -> list[float]:
     return np.linalg.solve(a + l2 * np.eye(n), np.array(got[-n:])).tolist()
 
 
-def _mean_metric(df: DataFrame, probes: list[list[float]], k: int) -> list[float]:
-    """NDCG at k (exponential gain, ideal of the retrieved) of each weight vector, in one plan."""
-    table = F.array(*(F.array(*map(F.lit, map(float, p))) for p in probes))
-    x = df.select("query_id", "doc_id", F.col("grade").cast("double").alias("g"), "feats", F.posexplode(table).alias("m", "w"))
-    x = x.withColumn("s", F.aggregate(F.zip_with("feats", "w", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y))
+def query_ndcg(df: DataFrame, scores: list[Column], k: int) -> DataFrame:
+    """m, query_id, v: NDCG at k (exponential gain, ideal of the retrieved) of each query by each
+    of a bounded list of scores, in one plan."""
+    x = df.select("query_id", "doc_id", F.col("grade").cast("double").alias("g"), F.posexplode(F.array(*(s.cast("double") for s in scores))).alias("m", "s"))
     q = Window.partitionBy("m", "query_id")
     x = x.withColumn("i", F.row_number().over(q.orderBy(F.desc(F.round("s", 9)), F.desc("doc_id")))).withColumn("j", F.row_number().over(q.orderBy(F.desc("g"), F.desc("doc_id"))))
     gain = F.pow(F.lit(2.0), F.col("g")) - 1
     part = lambda c: F.sum(F.when(F.col(c) <= k, gain / F.log2(F.col(c) + 1)).otherwise(0.0))
     per = x.groupBy("m", "query_id").agg(part("i").alias("d"), part("j").alias("z"))
-    got = per.groupBy("m").agg(F.avg(F.when(F.col("z") > 0, F.col("d") / F.col("z")).otherwise(0.0)).alias("v")).collect()
+    return per.select("m", "query_id", F.when(F.col("z") > 0, F.col("d") / F.col("z")).otherwise(0.0).alias("v"))
+
+
+def mean_ndcg(df: DataFrame, scores: list[Column], k: int) -> list[float]:
+    got = query_ndcg(df, scores, k).groupBy("m").agg(F.avg("v").alias("v")).collect()
     return [r.v for r in sorted(got, key=lambda r: r.m)]
 
 
+def _mean_metric(df: DataFrame, probes: list[list[float]], k: int) -> list[float]:
+    return mean_ndcg(df, [F.aggregate(F.zip_with("feats", F.array(*map(F.lit, map(float, p))), lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y) for p in probes], k)
+
+
 def coordinate_ascent(df: DataFrame, k: int = 10, restarts: int = 2, iterations: int = 5, step: float = 0.05, scale: float = 2.0, tolerance: float = 0.001, levels: int = 6, seed: int = 1) -> tuple[list[float], float]:
     """Weights and their metric. For one coordinate after another all steps of both signs, and
     zero, are tried at once; weights are scaled to sum 1 after each success."""
+    df = cut(df.select("query_id", "doc_id", "grade", "feats"), "ltr")
     n = df.select(F.max(F.size("feats"))).first()[0]
     best, best_value, r = [1.0 / n] * n, -1.0, random.Random(seed)
     for start in range(restarts):
@@ -115,25 +124,6 @@ def coordinate_ascent(df: DataFrame, k: int = 10, restarts: int = 2, iterations:
     return best, best_value
 
 
-def _vectors(df: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    return df.withColumn("features", array_to_vector("feats")).withColumn("label", F.col("grade").cast("double"))
-
-
-def mart(df: DataFrame, trees: int = 20, depth: int = 3, rate: float = 0.1):
-    """Boosted regression trees; ``score(model, df)`` ranks with it."""
-    from pyspark.ml.regression import GBTRegressor
-
-    return GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=rate, seed=1).fit(_vectors(df))
-
-
-def random_forest(df: DataFrame, bags: int = 20, depth: int = 5, rate: float = 0.3):
-    from pyspark.ml.regression import RandomForestRegressor
-
-    return RandomForestRegressor(numTrees=bags, maxDepth=depth, featureSubsetStrategy=str(rate), seed=1).fit(_vectors(df))
-
-
 def lambdas(df: DataFrame, k: int = 10) -> DataFrame:
     """lam, weight of each row (query_id, doc_id, grade, score): gradients of pairs of different
     grade, times the change of NDCG at k if the two changed places. Pairs form within a query's
@@ -152,29 +142,6 @@ def lambdas(df: DataFrame, k: int = 10) -> DataFrame:
     return p.groupBy("query_id", "doc_id").agg(F.sum(F.when(up, rho * delta).otherwise(-rho * delta)).alias("lam"), F.sum(rho * (1 - rho) * delta).alias("weight"))
 
 
-def lambda_mart(df: DataFrame, trees: int = 10, depth: int = 3, rate: float = 0.1, k: int = 10) -> list:
-    """Trees fitted to the gradients of NDCG; use ``boosted_score``."""
-    from pyspark.ml.regression import DecisionTreeRegressor
-
-    from ranklode.session import cut
-
-    x = cut(_vectors(df).withColumn("score", F.lit(0.0)).select("query_id", "doc_id", "grade", "features", "score"), "ltr")
-    out = []
-    for _ in range(trees):
-        g = x.join(lambdas(x, k), ["query_id", "doc_id"], "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(1e-6))).withColumn("label", F.coalesce("lam", F.lit(0.0)) / F.col("weight"))
-        model = DecisionTreeRegressor(maxDepth=depth, weightCol="weight", seed=1).fit(g)
-        out.append((rate, model))
-        x = cut(model.transform(x).select("query_id", "doc_id", "grade", "features", (F.col("score") + rate * F.col("prediction")).alias("score")), "ltr")
-    return out
-
-
-def boosted_score(df: DataFrame, models: list) -> DataFrame:
-    x = _vectors(df).withColumn("score", F.lit(0.0))
-    for rate, m in models:
-        x = m.transform(x).withColumn("score", F.col("score") + rate * F.col("prediction")).drop("prediction")
-    return x.drop("features", "label")
-
-
 def bag(df: DataFrame, rate: float, replace: bool, seed: str = "0") -> DataFrame:
     """Queries drawn for one bag; with replacement a query comes as often as its hash says
     (Poisson by inversion)."""

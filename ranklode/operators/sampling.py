@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklode.functions import text as T
+from ranklode.operators.ordering import numbered, running
+from ranklode.session import cut
 
 
 def order_key(id_, seed: str = "0") -> Column:
@@ -24,14 +26,18 @@ def sample(df: DataFrame, id_: str, n: int, seed: str = "0") -> DataFrame:
 
 
 def weighted_with_replacement(df: DataFrame, id_: str, weight: str, n: int, seed: str = "0") -> DataFrame:
-    """n draws with chance proportional to weight: draw, id. Cumulative sums meet uniform draws
-    by a range condition over a bounded number of draws."""
+    """n draws with chance proportional to weight: draw, id. A draw meets the running sums of the
+    one range of ids that it falls to."""
     bad = df.agg(F.min(weight), F.sum(weight)).first()
     if bad[0] is None or bad[0] < 0 or bad[1] <= 0:
         raise ValueError("weights must not be negative, nor all zero")
-    x = df.select(F.col(id_).alias("id"), F.col(weight).cast("double").alias("_w")).withColumn("_hi", F.sum("_w").over(Window.orderBy("id"))).withColumn("_lo", F.col("_hi") - F.col("_w"))
+    x = df.select(F.col(id_).alias("id"), F.col(weight).cast("double").alias("_w"))
+    x, ranges = running(x, "_w", "id", name="_hi")
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (uniform("id", seed) * float(bad[1])).alias("_u"))
-    return x.join(F.broadcast(draws), (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).select("draw", "id")
+    starts = F.array(*(F.lit(float(before)) for _, before, _ in ranges))  # one number for each range
+    at = F.size(F.filter(starts, lambda s: s <= F.col("_u"))) - 1
+    draws = draws.withColumn("_range", F.element_at(F.array(*(F.lit(r) for r, _, _ in ranges)), at + 1))
+    return x.join(draws, "_range").filter((F.col("_u") >= F.col("_hi") - F.col("_w")) & (F.col("_u") < F.col("_hi"))).select("draw", "id")
 
 
 def split_by_sizes(df: DataFrame, id_: str, sizes: dict[str, int | None], seed: str = "0") -> DataFrame:
@@ -40,7 +46,7 @@ def split_by_sizes(df: DataFrame, id_: str, sizes: dict[str, int | None], seed:
     known = sum(v for v in sizes.values() if v is not None)
     if sum(v is None for v in sizes.values()) > 1 or known > total or (None not in sizes.values() and known != total):
         raise ValueError(f"sizes {sizes} don't cover {total} rows")
-    x = df.withColumn("_r", F.row_number().over(Window.orderBy(order_key(id_, seed), id_)))
+    x = numbered(df, order_key(id_, seed), id_, name="_r")
     part, at = F.lit(None).cast("string"), 0
     for name, size in reversed(list(sizes.items())):
         part = F.when(F.col("_r") <= total - at, F.lit(name)).otherwise(part)
@@ -66,8 +72,8 @@ def folds(queries: DataFrame, n: int) -> DataFrame:
     """query_id, fold: contiguous in query order, the remainder to the last."""
     total = queries.count()
     size = max(total // n, 1)
-    at = F.row_number().over(Window.orderBy("query_id")) - 1
-    return queries.select("query_id", F.least(F.floor(at / size), F.lit(n - 1)).cast("int").alias("fold"))
+    at = F.col("_at") - 1
+    return numbered(queries.select("query_id"), "query_id", name="_at").select("query_id", F.least(F.floor(at / size), F.lit(n - 1)).cast("int").alias("fold"))
 
 
 def judged_or_sampled(docs: DataFrame, qrels: DataFrame, p: float, seed: str = "0") -> DataFrame:
@@ -143,12 +149,24 @@ def split_faults(whole: DataFrame, parts: list[DataFrame]) -> DataFrame:
 
 
 def token_overlap(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """a_id, b_id, jaccard >= least of rows (id, text): words meet by equality, so only pairs
-    that share one are formed; very common words are left to the length bound first."""
-    x, y = (d.select(F.col("id").alias(f"{s}_id"), F.array_distinct(T.tokens("text")).alias("_w")).select(f"{s}_id", F.size("_w").alias(f"_n{s}"), F.explode("_w").alias("word")) for d, s in ((a, "a"), (b, "b")))
-    fits = (F.col("_na") >= least * F.col("_nb")) & (F.col("_nb") >= least * F.col("_na"))
-    both = x.join(y, "word").filter(fits).groupBy("a_id", "b_id").agg(F.count("*").alias("n"), F.first("_na").alias("na"), F.first("_nb").alias("nb"))
-    j = F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))
+    """a_id, b_id, jaccard >= least of rows (id, text), ``least`` above 0.
+
+    A text's words are put in order from rare to common; two texts that are alike enough share one
+    of their first n - ceil(least * n) + 1 words. Only those words meet, so a word that most texts
+    have pairs nothing but texts made of such words; the pairs are then compared in full."""
+    x, y = (d.select(F.col("id").alias(f"{s}_id"), F.array_distinct(T.tokens("text")).alias(f"{s}_w")).filter(F.size(f"{s}_w") > 0) for d, s in ((a, "a"), (b, "b")))
+    x, y = cut(x, "words"), cut(y, "words")
+    df = cut(x.select(F.explode("a_w").alias("word")).unionByName(y.select(F.explode("b_w").alias("word"))).groupBy("word").agg(F.count("*").alias("_df")), "frequencies")
+
+    def first(d, s):
+        order = d.select(f"{s}_id", F.size(f"{s}_w").alias(f"{s}_n"), F.explode(f"{s}_w").alias("word")).join(df, "word")
+        order = order.groupBy(f"{s}_id", f"{s}_n").agg(F.sort_array(F.collect_list(F.struct("_df", "word")))["word"].alias("_o"))
+        return order.select(f"{s}_id", f"{s}_n", F.explode(F.slice("_o", F.lit(1), (F.col(f"{s}_n") - F.ceil(F.lit(least) * F.col(f"{s}_n") - 1e-9) + 1).cast("int"))).alias("word"))
+
+    fits = (F.col("a_n") >= least * F.col("b_n")) & (F.col("b_n") >= least * F.col("a_n"))
+    pairs = first(x, "a").join(first(y, "b"), "word").filter(fits).select("a_id", "b_id").distinct()
+    both = pairs.join(x, "a_id").join(y, "b_id").withColumn("_n", F.size(F.array_intersect("a_w", "b_w")))
+    j = F.col("_n") / (F.size("a_w") + F.size("b_w") - F.col("_n"))
     return both.select("a_id", "b_id", j.alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
@@ -157,3 +175,105 @@ def grid(df: DataFrame, **values: list) -> DataFrame:
     for name, v in values.items():
         df = df.withColumn(name, F.explode(F.array(*map(F.lit, v))))
     return df
+
+
+def scored_negatives(run: DataFrame, qrels: DataFrame, hard: int, medium: int, train_from: int, positives_from: int, seed: str = "0") -> DataFrame:
+    """query_id, doc_id, score, kind: candidates only, with their scores, of queries that have a
+    relevant one among the first max(train_from, positives_from): the relevant ones, the ``hard``
+    best others, and ``medium`` more drawn from the irrelevant ones of the first ``train_from``."""
+    good = qrels.filter("grade >= 1").select("query_id", "doc_id", F.lit(True).alias("_rel")).distinct()
+    x = run.filter(F.col("rank") <= max(train_from, positives_from)).select("query_id", "doc_id", "rank", "score").join(good, ["query_id", "doc_id"], "left")
+    rel = F.coalesce("_rel", F.lit(False))
+    x = x.withColumn("_any", F.max(rel).over(Window.partitionBy("query_id"))).filter("_any").withColumn("_rel", rel)
+    pool = (~F.col("_rel")) & (F.col("rank") <= train_from)
+    draw = Window.partitionBy("query_id", pool).orderBy(order_key(F.concat_ws("/", "query_id", "doc_id"), seed))
+    kind = F.when(F.col("_rel"), "positive").when(F.col("rank") <= hard, "hard").when(pool & (F.col("_m") <= medium), "medium")
+    return x.withColumn("_m", F.row_number().over(draw)).select("query_id", "doc_id", "score", kind.alias("kind")).filter("kind is not null")
+
+
+def export_training(queries: DataFrame, docs: DataFrame, pairs: DataFrame, path: str) -> None:
+    """Training texts and pairs below a folder: texts of the queries (id, text) and documents
+    (id, text) that the pairs (query_id, doc_id[, score]) name. Queries with empty texts go, with
+    their pairs."""
+    from ranklode.sources import files, formats
+
+    queries = queries.filter(F.trim("text") != "")
+    pairs = cut(pairs.join(queries.select(F.col("id").alias("query_id")), "query_id", "left_semi"), "pairs")
+    some = lambda d, c: d.join(pairs.select(F.col(c).alias("id")).distinct(), "id", "left_semi")
+    files.write_training_texts(some(queries, "query_id"), some(docs, "doc_id"), f"{path}/texts")
+    formats.write_pairs(pairs, f"{path}/pairs")
+
+
+def split_leaks(a: DataFrame, b: DataFrame, qrels_a: DataFrame, qrels_b: DataFrame, docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Queries (id, text) of two splits whose words are alike by ``least`` (a_id, b_id, jaccard), and
+    of their relevant documents the words' likeness (a_id, b_id, a_doc, b_doc, jaccard)."""
+    near = cut(token_overlap(a, b, least), "near")
+    w = docs.select("doc_id", F.array_distinct(T.tokens("text")).alias("w"))
+    side = lambda q, s: q.filter("grade > 0").select(F.col("query_id").alias(f"{s}_id"), "doc_id").distinct().join(w, "doc_id").withColumnsRenamed({"doc_id": f"{s}_doc", "w": f"{s}_w"})
+    x = near.select("a_id", "b_id").join(side(qrels_a, "a"), "a_id").join(side(qrels_b, "b"), "b_id")
+    both = F.size(F.array_intersect("a_w", "b_w"))
+    either = F.size("a_w") + F.size("b_w") - both
+    return near, x.select("a_id", "b_id", "a_doc", "b_doc", F.when(either > 0, both / either).otherwise(0.0).alias("jaccard"))
+
+
+# The quantiles of reports on leaks.
+LEAK_QUANTILES = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.91, 0.92, 0.93, 0.94, 0.95, 0.96, 0.97, 0.98, 0.99, 0.999)
+# End of fixed values.
+
+
+def quantile_report(df: DataFrame, value: str, at=LEAK_QUANTILES) -> DataFrame:
+    """quantile, value."""
+    q = df.agg(F.percentile(value, F.array(*map(F.lit, at))).alias("v"))
+    return q.select(F.posexplode("v").alias("k", "value")).select(F.element_at(F.array(*map(F.lit, at)), F.col("k") + 1).alias("quantile"), "value")
+
+
+def replaced_validation(entries: DataFrame, qrels: DataFrame, run: DataFrame, old: DataFrame, other_entries: DataFrame, other_qrels: DataFrame, other_run: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts (id, ...), judgements and run with the validation queries ``old`` (query_id) taken out
+    and another set's put in; texts that both have stay as they are."""
+    texts = entries.unionByName(other_entries.join(entries.select("id"), "id", "left_anti"))
+    without = lambda d: d.join(old.select("query_id"), "query_id", "left_anti")
+    return texts, without(qrels).unionByName(other_qrels), without(run).unionByName(other_run)
+
+
+def by_query(pairs: DataFrame, n_neg: int, seed: str = "0") -> DataFrame:
+    """query_id, step, pos_id, neg_id: a query is used up before the next: each of its positives in
+    turn with ``n_neg`` negatives, which go round. Rows (query_id, doc_id, positive)."""
+    key = order_key(F.concat_ws("/", "query_id", "doc_id"), seed)
+    x = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "positive").orderBy(key)) - 1)
+    pos = x.filter("positive").select("query_id", F.col("doc_id").alias("pos_id"), F.col("_r").alias("_p"))
+    neg = x.filter(~F.col("positive")).select("query_id", F.col("doc_id").alias("neg_id"), F.col("_r").alias("_k"), F.count("*").over(Window.partitionBy("query_id")).alias("_n"))
+    slots = pos.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n_neg - 1)))).withColumn("step", F.col("_p") * n_neg + F.col("_s"))
+    sizes = neg.select("query_id", "_n").distinct()
+    slots = slots.join(sizes, "query_id").withColumn("_k", F.pmod(F.col("step"), F.col("_n")))
+    return slots.join(neg.drop("_n"), ["query_id", "_k"]).select("query_id", "step", "pos_id", "neg_id")
+
+
+# Settings that are tried for BM25, the translation model and feedback.
+BM25_B, BM25_K1 = tuple(round(0.3 + 0.1 * i, 1) for i in range(8)), tuple(round(0.4 + 0.2 * i, 1) for i in range(7))
+MODEL1_SELF = (0.05, 0.1, 0.15, 0.25, 0.3, 0.35, 0.45, 0.5, 0.55, 0.6, 0.7, 0.75)
+MODEL1_LAMBDA = (0.05, 0.1, 0.15, 0.25, 0.3, 0.35, 0.45, 0.5)
+MODEL1_MORE = ((0.6, 0.05), (0.7, 0.05), (0.8, 0.05), (0.9, 0.05), (0.9, 0.01), (0.9, 0.001), (0.9, 0.0001))
+RM3_WEIGHT, RM3_SIZES = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 16, 24)
+# End of fixed values.
+
+
+def bm25_settings(spark) -> DataFrame:
+    return spark.createDataFrame([(k1, b) for b in BM25_B for k1 in BM25_K1], "k1 double, b double")
+
+
+def model1_settings(spark) -> DataFrame:
+    return spark.createDataFrame([*((s, x) for s in MODEL1_SELF for x in MODEL1_LAMBDA), *MODEL1_MORE], "p_self double, lam double")
+
+
+def rm3_settings(spark) -> DataFrame:
+    return spark.createDataFrame([(w, d, t) for w in RM3_WEIGHT for d in RM3_SIZES for t in RM3_SIZES], "weight double, top_docs int, top_terms int")
+
+
+def annotated(questions: DataFrame, notes: DataFrame) -> DataFrame:
+    """id, note of questions (id, text): the first note (place, text, note) with the same text, else
+    the first with the same set of words."""
+    key = lambda c: F.sort_array(F.array_distinct(T.tokens(c)))
+    q, n = questions.select("id", "text", key("text").alias("_k")), notes.select("place", "note", F.col("text").alias("_t"), key("text").alias("_k"))
+    exact = q.join(n.drop("_k"), F.col("text") == F.col("_t")).select("id", F.struct(F.lit(0).alias("o"), "place", "note").alias("_n"))
+    alike = q.join(n.drop("_t"), "_k").select("id", F.struct(F.lit(1).alias("o"), "place", "note").alias("_n"))
+    return exact.unionByName(alike).groupBy("id").agg(F.min("_n")["note"].alias("note"))

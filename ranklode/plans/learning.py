@@ -10,6 +10,7 @@ from ranklode.functions import text as T
 from ranklode.functions import vectors as V
 from ranklode.operators import ltr as R
 from ranklode.operators import scoring as S
+from ranklode.operators import trees as B
 from ranklode.plans.registry import Tables, query
 from ranklode.plans.retrieval import EMB, KNN, RUN, knn_run, rounded, run, vectors
 
@@ -61,20 +62,21 @@ def r3_coordinate_ascent(t):
 
 @query(None)
 def r5_mart(t):
-    m = R.mart(feature_rows(t), trees=5)
-    return m.transform(R._vectors(feature_rows(t))).select("query_id", "doc_id", F.col("prediction").alias("score"))
+    x = feature_rows(t)
+    return x.select("query_id", "doc_id", R.tree_score(B.mart(x, trees=2, leaves=4)).alias("score"))
 
 
 @query(None)
 def r6_random_forest(t):
-    m = R.random_forest(feature_rows(t), bags=5)
-    return m.transform(R._vectors(feature_rows(t))).select("query_id", "doc_id", F.col("prediction").alias("score"))
+    x = feature_rows(t)
+    bags = B.random_forest(x, bags=2, leaves=4)
+    return x.select("query_id", "doc_id", (sum(map(R.tree_score, bags), F.lit(0.0)) / len(bags)).alias("score"))
 
 
 @query(None)
 def r4_lambda_mart(t):
     x = feature_rows(t)
-    return R.boosted_score(x, R.lambda_mart(x, trees=3)).select("query_id", "doc_id", "score")
+    return x.select("query_id", "doc_id", R.tree_score(B.lambda_mart(x, trees=2, leaves=4)).alias("score"))
 
 
 @query("""SELECT query_id, doc_id, round(sum(CASE WHEN g > h THEN rho * dl ELSE -rho * dl END), 6) AS lam FROM (SELECT query_id, doc_id, g, h, abs((pow(2, g) - pow(2, h)) * (CASE WHEN i <= 10 THEN 1 / log2(i + 1) ELSE 0 END - CASE WHEN i2 <= 10 THEN 1 / log2(i2 + 1) ELSE 0 END)) / greatest(z, 1e-12::DOUBLE) AS dl,
@@ -97,10 +99,17 @@ def groups(t: Tables) -> DataFrame:
     return vectors(t).groupBy(F.floor(F.col("id") / 5).alias("g")).agg(F.sort_array(F.collect_list(F.struct("id", "v")))["v"].alias("vs"))
 
 
-@query("SELECT g, round(list_sum([list_max([list_dot_product(q, x) for x in n]) for q in vs]), 6) AS score FROM (SELECT g, vs, (SELECT vs FROM vg WHERE g = 0) AS n FROM vg)", GROUPS)
+NEXT = "nx AS (SELECT a.g, a.vs, b.vs AS n FROM vg a JOIN vg b ON b.g = a.g + 1),"
+
+
+def with_next(t: Tables) -> DataFrame:
+    """Each group's vectors with the next group's."""
+    return groups(t).join(groups(t).select((F.col("g") - 1).alias("g"), F.col("vs").alias("n")), "g")
+
+
+@query("SELECT g, round(list_sum([list_max([list_dot_product(q, x) for x in n]) for q in vs]), 6) AS score FROM nx", GROUPS + NEXT)
 def v6_late_interaction(t):
-    one = F.broadcast(groups(t).filter("g = 0").select(F.col("vs").alias("n")))
-    return rounded(groups(t).crossJoin(one).select("g", S.late_interaction("vs", "n").alias("score")), "score")
+    return rounded(with_next(t).select("g", S.late_interaction("vs", "n").alias("score")), "score")
 
 
 @query("SELECT g, [round(list_avg([x[k] for x in vs]), 6) for k in range(1, 65)] AS mean, [round(list_max([x[k] for x in vs]), 6) for k in range(1, 65)] AS top FROM vg", GROUPS)
@@ -129,11 +138,10 @@ def f14_soft_alignment(t):
     return Q.soft_alignments(x.join(y, "g").select("g", V.distance_matrix("vs", "ws").alias("m")), "m", 0.8)
 
 
-@query("""SELECT g, round(list_sum([list_min([1 - list_cosine_similarity(x, y) for y in n]) for x in vs]), 6) AS "left", round(list_sum([list_min([1 - list_cosine_similarity(x, y) for x in vs]) for y in n]), 6) AS "right" FROM (SELECT g, vs, (SELECT vs FROM vg WHERE g = 0) AS n FROM vg)""", GROUPS)
+@query("""SELECT g, round(list_sum([list_min([1 - list_cosine_similarity(x, y) for y in n]) for x in vs]), 6) AS "left", round(list_sum([list_min([1 - list_cosine_similarity(x, y) for x in vs]) for y in n]), 6) AS "right" FROM nx""", GROUPS + NEXT)
 def f16_emd_bounds(t):
-    one = F.broadcast(groups(t).filter("g = 0").select(F.col("vs").alias("n")))
     ones = lambda c: F.transform(F.col(c), lambda _: F.lit(1.0))
-    x = groups(t).crossJoin(one).select("g", V.emd_bounds(V.distance_matrix("vs", "n"), ones("vs"), ones("n")).alias("b"))
+    x = with_next(t).select("g", V.emd_bounds(V.distance_matrix("vs", "n"), ones("vs"), ones("n")).alias("b"))
     return rounded(x.select("g", "b.left", "b.right"), "left", "right")
 
 

@@ -9,9 +9,11 @@ from ranklode.functions import text as T
 from ranklode.functions import vectors as V
 from ranklode.operators import candidates as C
 from ranklode.operators import features as X
+from ranklode.operators import index as I
 from ranklode.operators import ltr as R
 from ranklode.operators import passes as P
 from ranklode.operators import sampling as S
+from ranklode.operators import stages as G
 from ranklode.operators import tranmodel as M
 from ranklode.plans.learning import TREES
 from ranklode.plans.preparation import BITEXT, RESCALED, W, bitext
@@ -26,9 +28,9 @@ def t3_index_no_case(t):
     return t.documents.select("doc_id", T.index_no_case("THE", T.words("text")).alias("at"))
 
 
-@query("SELECT event_id, CASE WHEN tag LIKE 'JJ%' THEN 'A' WHEN tag LIKE 'NN%' THEN 'N' WHEN tag LIKE 'RB%' THEN 'R' WHEN tag LIKE 'VB%' THEN 'V' END AS kind FROM (SELECT event_id, ['JJR', 'NNS', 'RB', 'VBZ', 'DT'][event_id % 5 + 1] AS tag FROM events)")
+@query("SELECT event_id, CASE WHEN tag IN ('JJ', 'JJR', 'JJS', 'jj', 'jjr', 'jjs') THEN 'A' WHEN tag IN ('NN', 'NNS', 'NNP', 'NNPS', 'nn', 'nns', 'nnp', 'nnps') THEN 'N' WHEN tag IN ('RB', 'RBR', 'RBS', 'rb', 'rbr', 'rbs') THEN 'R' WHEN tag IN ('VB', 'VBD', 'VBG', 'VBN', 'VBP', 'VBZ', 'vb', 'vbd', 'vbg', 'vbn', 'vbp', 'vbz') THEN 'V' END AS kind FROM (SELECT event_id, ['JJR', 'nns', 'RB', 'VBZ', 'DT', 'NNX', 'vbd', 'Rbs'][event_id % 8 + 1] AS tag FROM events)")
 def t20_pos_class(t):
-    tag = F.element_at(F.array(*map(F.lit, ("JJR", "NNS", "RB", "VBZ", "DT"))), (F.col("event_id") % 5 + 1).cast("int"))
+    tag = F.element_at(F.array(*map(F.lit, ("JJR", "nns", "RB", "VBZ", "DT", "NNX", "vbd", "Rbs"))), (F.col("event_id") % 8 + 1).cast("int"))
     return t.events.select("event_id", T.pos_class(tag).alias("kind"))
 
 
@@ -37,19 +39,20 @@ def t23_json_attribute(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query(None)
+@query("SELECT doc_id, sentence, (unnest_at - 1)::INT AS at FROM (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS unnest_at FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM documents))")
 def t13_sentences(t):
     return t.documents.select("doc_id", F.posexplode(T.sentences("text")).alias("at", "sentence"))
 
 
 @query("SELECT p_partkey AS docno, p_name AS title FROM part")
 def p4_renamed(t):
-    return t.part.select(F.col("p_partkey").alias("docno"), F.col("p_name").alias("title"))
+    plan = [[("rename", {"mapping": {"p_partkey": "docno", "p_name": "title"}})]]
+    return G.run(t.part, "p_partkey", plan).select("docno", "title")
 
 
 @query("SELECT c_custkey, concat_ws(' ', coalesce(c_name, ''), coalesce(c_mktsegment, '')) AS text FROM customer")
 def p5_concatenated(t):
-    return t.customer.select("c_custkey", F.concat_ws(" ", F.coalesce("c_name", F.lit("")), F.coalesce("c_mktsegment", F.lit(""))).alias("text"))
+    return G.run(t.customer, "c_custkey", [[("concat", {"fields": ["c_name", "c_mktsegment"], "output": "text"})]])
 
 
 @query("SELECT word, count(*) AS n FROM (SELECT query_id, unnest(w) AS word FROM q) WHERE word IN (SELECT word FROM tok) GROUP BY word", DOCS + TERMS)
@@ -120,19 +123,19 @@ def j16_relevant_pairs(t):
 
 @query(None)
 def x4_sdm(t):
-    r = run(t)
-    parts = X.sdm_parts(index(t), terms(t), query_tokens(t), r)
-    x = parts.join(t.benchmark.select(F.col("item_id").alias("query_id"), T.tokens("text").alias("qw")), "query_id").join(index(t).docs.select("doc_id", "w"), "doc_id")
+    of = X.Weighed(I.stored(index(t)), terms(t))
+    parts = X.sdm_parts(of.idx, of.terms, query_tokens(t), of.run)
+    x = parts.join(t.benchmark.select(F.col("item_id").alias("query_id"), T.tokens("text").alias("qw")), "query_id").join(of.idx.docs.select("doc_id", "w"), "doc_id")
     return rounded(P.with_sdm(x), "unordered", "sdm")
 
 
 @query(f"SELECT query_id, doc_id, round(sum(qtf * idf * {NORM}), 6) AS bm25 FROM m JOIN run USING (query_id, doc_id), stats GROUP BY ALL", RUN)
 def f21_bm25_of_texts(t):
     """BM25 of query and document texts, the index giving idf and average length only."""
-    idx = index(t)
-    x = run(t).join(t.documents.select("doc_id", T.tokens("text").alias("w")), "doc_id").withColumn("doc_len", F.size("w").cast("double"))
+    of = X.Weighed(I.stored(index(t)), terms(t))
+    x = of.run.join(t.documents.select("doc_id", T.tokens("text").alias("w")), "doc_id").withColumn("doc_len", F.size("w").cast("double"))
     tf = x.select("query_id", "doc_id", "doc_len", F.explode("w").alias("word")).groupBy("query_id", "doc_id", "doc_len", "word").agg(F.count("*").cast("double").alias("tf"))
-    s = tf.join(C.bounded(X.weighted_terms(idx, terms(t))), ["query_id", "word"]).crossJoin(F.broadcast(idx.stats.select("avgdl")))
+    s = tf.join(of.weights, ["query_id", "word"]).withColumn("avgdl", F.lit(of.idx.figures.avgdl))
     return rounded(s.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * C.norm_tf()).alias("bm25")), "bm25")
 
 
@@ -146,14 +149,15 @@ st AS (SELECT query_id, doc_id, word, qtf, idf, any_value(doc_len) AS doc_len, s
 @query(f"SELECT query_id, doc_id, round(sum(qtf * idf * {NORM}), 6) AS soft FROM st, stats GROUP BY query_id, doc_id", RUN + SOFT)
 def f3_soft_bm25(t):
     """BM25 in which a document's words count for near query words, by similarity."""
-    idx, r, q = index(t), run(t), terms(t)
+    of = X.Weighed(I.stored(index(t)), terms(t))
+    idx, r, q = of.idx, of.run, of.terms
     v = idx.vocab.join(q.select("word").distinct(), "word", "left_semi").select("word", "idf", F.array(F.log1p(F.length("word")), 1.0 / (1 + F.col("df")), F.ascii("word") / 100.0).alias("v"))
     qs = r.select("query_id", "doc_id").join(q, "query_id").join(v, "word")
     few = idx.docs.join(C.bounded(r.select("doc_id").distinct()), "doc_id", "left_semi")
     ds = few.select("doc_id", "doc_len", F.explode("w").alias("word")).groupBy("doc_id", "doc_len", "word").agg(F.count("*").cast("double").alias("tf")).join(v.select("word", F.col("v").alias("dv")), "word").drop("word")
     sim = 0.5 * (1 + V.cosine("v", "dv"))
     x = qs.join(ds, "doc_id").withColumn("_s", F.when(sim >= 0.999, F.col("tf") * sim).otherwise(0.0))
-    x = x.groupBy("query_id", "doc_id", "word", "qtf", "idf").agg(F.first("doc_len").alias("doc_len"), F.sum("_s").alias("tf")).crossJoin(F.broadcast(idx.stats.select("avgdl")))
+    x = x.groupBy("query_id", "doc_id", "word", "qtf", "idf").agg(F.first("doc_len").alias("doc_len"), F.sum("_s").alias("tf")).withColumn("avgdl", F.lit(idx.figures.avgdl))
     return rounded(x.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * C.norm_tf()).alias("soft")), "soft")
 
 
@@ -167,23 +171,22 @@ def x9_sparse_embeddings(t):
 # --- translation model ------------------------------------------------------------------
 
 
-@query("SELECT pair, array_to_string(src, ' ') AS src, array_to_string(dst[k * 5 + 1:k * 5 + 5], ' ') AS dst FROM bi, range(0, 3) r(k) WHERE k * 5 < len(dst)", BITEXT)
+@query("SELECT pair, array_to_string(src, ' ') AS src, array_to_string(dst[k * 5 + 1:k * 5 + 5], ' ') AS dst FROM bi, range(0, 10000) r(k) WHERE k * 5 < len(dst)", BITEXT)
 def m1_bitext_chunks(t):
     return M.chunked(bitext(t), 5).select("pair", F.array_join("src", " ").alias("src"), F.array_join("dst", " ").alias("dst"))
 
 
-@query("SELECT src, dst, round(p, 6) AS p FROM rs WHERE p >= 0.1::DOUBLE AND src = (SELECT min(src) FROM rs)", BITEXT + RESCALED)
+@query("SELECT src, dst, round(p, 6) AS p FROM rs WHERE p >= 0.1::DOUBLE AND src IN (SELECT word FROM qt)", TERMS + BITEXT + RESCALED)
 def m8_associations(t):
     table = M.rescaled(M.filtered(M.train(bitext(t), 2), 0.01), 0.5)
-    first = table.agg(F.min("src").alias("_s"))
-    return rounded(table.filter("p >= 0.1").join(F.broadcast(first), F.col("src") == F.col("_s"), "left_semi"), "p")
+    return rounded(M.associations(table, terms(t), 0.1), "p")
 
 
-@query("SELECT a AS src, b AS dst, round(greatest(coalesce(p, 0), CASE WHEN a = b THEN 0.05::DOUBLE ELSE 0 END), 6) AS p FROM (SELECT x.word AS a, y.word AS b FROM (SELECT DISTINCT word FROM qt WHERE query_id = 0) x, (SELECT DISTINCT word FROM qt WHERE query_id = 1) y) LEFT JOIN rs ON src = a AND dst = b", TERMS + BITEXT + RESCALED)
+@query("SELECT a AS src, b AS dst, round(greatest(coalesce(p, 0), CASE WHEN a = b THEN 0.05::DOUBLE ELSE 0 END), 6) AS p FROM (SELECT DISTINCT x.word AS a, y.word AS b FROM qt x JOIN qt y ON y.query_id = x.query_id + 1) LEFT JOIN rs ON src = a AND dst = b", TERMS + BITEXT + RESCALED)
 def m4b_lookup(t):
-    """Pairs of one item's words with another's: two bounded lists."""
+    """Pairs of each item's words with the next item's."""
     q = terms(t)
-    pairs = q.filter("query_id = 0").select(F.lit(1).alias("k"), F.col("word").alias("src")).join(q.filter("query_id = 1").select(F.lit(1).alias("k"), F.col("word").alias("dst")), "k").drop("k")
+    pairs = q.select("query_id", F.col("word").alias("src")).join(q.select((F.col("query_id") - 1).alias("query_id"), F.col("word").alias("dst")), "query_id").select("src", "dst").distinct()
     return rounded(M.looked_up(pairs, M.rescaled(M.filtered(M.train(bitext(t), 2), 0.01), 0.5), 0.05).select("src", "dst", "p"), "p")
 
 
@@ -222,9 +225,9 @@ def q19_exact_overlap(t):
     return t.benchmark.join(t.documents.select("text"), "text", "left_semi").select("item_id")
 
 
-@query(f"SELECT doc_id::VARCHAR AS \"DOCNO\", array_to_string({W('lower(text)')}, ' ') AS text, substring(text, 1, 2000) AS text_raw FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id::VARCHAR AS \"DOCNO\", array_to_string({W('lower(text)')}, ' ') AS text, substring(text, 1, 2000) AS text_raw FROM documents")
 def q22_converted_documents(t):
-    return t.documents.filter("lang = 'en'").select(F.col("doc_id").cast("string").alias("DOCNO"), F.array_join(T.tokens("text"), " ").alias("text"), T.truncate_chars("text", 2000).alias("text_raw"))
+    return t.documents.select(F.col("doc_id").cast("string").alias("DOCNO"), F.array_join(T.tokens("text"), " ").alias("text"), T.truncate_chars("text", 2000).alias("text_raw"))
 
 
 @query("SELECT part, count(*) AS n FROM (SELECT 'set_0:' || item_id AS part FROM benchmark UNION ALL SELECT 'set_1:' || doc_id FROM labels) GROUP BY part")

@@ -16,7 +16,8 @@ from ranklode.operators import evaluate as E
 from ranklode.operators import features as X
 from ranklode.operators import index as I
 from ranklode.plans.registry import Tables, query
-from ranklode.session import cut
+from ranklode.session import cut, shared_dir
+from ranklode.sources import files as S
 
 K = 10
 
@@ -24,11 +25,11 @@ K = 10
 
 WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\r\f]+'), lambda x: x <> '')"
 DOCS = f"""
-d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+d AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents),
 tok AS (SELECT doc_id, unnest(w) AS word, len(w)::DOUBLE AS doc_len FROM d),
-post AS (SELECT doc_id, word, count(*)::DOUBLE AS tf, any_value(doc_len) AS doc_len FROM tok GROUP BY ALL),
+post AS MATERIALIZED (SELECT doc_id, word, count(*)::DOUBLE AS tf, any_value(doc_len) AS doc_len FROM tok GROUP BY ALL),
 stats AS (SELECT count(*)::DOUBLE AS n_docs, sum(len(w))::DOUBLE AS total_words, avg(len(w)::DOUBLE) AS avgdl FROM d),
-voc AS (SELECT word, count(*)::DOUBLE AS df, ln(1.0::DOUBLE + (n_docs - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM post, stats GROUP BY word, n_docs),
+voc AS MATERIALIZED (SELECT word, count(*)::DOUBLE AS df, ln(1.0::DOUBLE + (n_docs - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM post, stats GROUP BY word, n_docs),
 """
 TERMS = f"""
 q AS (SELECT item_id AS query_id, {WORDS} AS w FROM benchmark),
@@ -55,12 +56,18 @@ def terms(t: Tables) -> DataFrame:
 
 
 def run(t: Tables, k: int = K) -> DataFrame:
-    return C.bm25_topk(index(t), terms(t), k)
+    return C.bm25_topk(I.stored(index(t)), terms(t), k)
+
+
+def weighed(t: Tables, k: int = K) -> X.Weighed:
+    """The index, the query words' postings and the run, each written once: texts are read once,
+    and feature blocks share what they read."""
+    return X.Weighed(I.stored(index(t)), cut(terms(t), "terms"), k=k)
 
 
 def stored(t: Tables, k: int = K) -> DataFrame:
-    """A run written once: feature blocks read it several times."""
-    return cut(run(t, k), "run")
+    """A run written once."""
+    return weighed(t, k).run
 
 
 def query_tokens(t: Tables) -> DataFrame:
@@ -68,9 +75,7 @@ def query_tokens(t: Tables) -> DataFrame:
 
 
 def qrels(t: Tables) -> DataFrame:
-    """Containment is no equality: the items, a stated bounded set, go to every document."""
-    b = C.bounded(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("_t")))
-    return t.documents.join(b, F.contains("text", "_t")).select("query_id", "doc_id", F.lit(1.0).alias("grade"))
+    return C.containing(t.documents, t.benchmark.select(F.col("item_id").alias("query_id"), "text")).withColumn("grade", F.lit(1.0))
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -150,10 +155,10 @@ def c6_found(t):
 
 
 @query("""SELECT query_id, doc_id, 1.0::DOUBLE AS score, (row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC))::INT AS rank
-FROM (SELECT s_suppkey AS query_id, c_custkey AS doc_id FROM supplier JOIN customer ON c_nationkey = s_nationkey WHERE s_suppkey <= 20) QUALIFY rank <= 10""")
+FROM (SELECT s_suppkey AS query_id, c_custkey AS doc_id FROM supplier JOIN customer ON c_nationkey = s_nationkey) QUALIFY rank <= 10""")
 def c2_exact_match(t):
     docs = t.customer.select(F.col("c_custkey").alias("doc_id"), F.col("c_nationkey").alias("nation"))
-    return C.exact_match(docs, t.supplier.filter("s_suppkey <= 20").select(F.col("s_suppkey").alias("query_id"), F.col("s_nationkey").alias("key")), "nation", 10)
+    return C.exact_match(docs, t.supplier.select(F.col("s_suppkey").alias("query_id"), F.col("s_nationkey").alias("key")), "nation", 10)
 
 
 EMB = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),"
@@ -176,9 +181,19 @@ def c3_knn(t):
     return knn_run(t)
 
 
-@query("SELECT query_id, doc_id, score, rank FROM run WHERE rank <= 3", RUN)
+@query("SELECT query_id::VARCHAR AS query_id, doc_id::VARCHAR AS doc_id, score, rank FROM run WHERE rank <= 3", RUN)
 def c4_stored_run(t):
-    return run(t).filter("rank <= 3")
+    """A run file, written and read back; the first three of each query."""
+    path = shared_dir(t.spark, "run")
+    S.write_run(run(t).select(F.col("query_id").cast("string"), F.col("doc_id").cast("string"), "rank", "score"), path, "bm25")
+    return S.run(t.spark, path).filter("rank <= 3").select("query_id", "doc_id", "score", "rank")
+
+
+@query("SELECT query_id, doc_id, score, rank FROM run", "cleaned AS (SELECT item_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(text, '[!-/:-@\\[-`{-~]+', ' ', 'g'), '[ \\t\\n\\r\\f]+'), lambda x: x NOT IN ('', 'OR', 'AND', 'NOT', 'TO')), ' ') AS text FROM benchmark)," + RUN.replace("FROM benchmark", "FROM cleaned"))
+def c1_cleaned_queries(t):
+    """Punctuation and operators taken from the queries first, as a lexical provider does."""
+    q = t.benchmark.select("item_id", C.clean_query("text").alias("text"))
+    return C.bm25_topk(I.stored(index(t)), I.query_terms(q), K)
 
 
 PARENTS = "par AS (SELECT doc_id, doc_id // 5 AS parent FROM documents),"
@@ -240,10 +255,11 @@ def u1_hybrid_run(t):
     return rounded(C.hybrid(line_run(t).filter("rank <= 2"), line_grades(t).withColumnRenamed("grade", "score")), "score")
 
 
-@query("""SELECT query_id, coalesce(doc_id::VARCHAR, 'FAKE_DOC') AS doc_id, coalesce(score, 0.0) AS score, coalesce(rank, 1)::INT AS rank
-FROM (SELECT o_orderkey AS query_id FROM orders) LEFT JOIN (SELECT query_id, doc_id, round(score, 6) AS score, rank FROM lr WHERE query_id % 2 = 0) USING (query_id)""", L)
+@query("""SELECT query_id, coalesce(doc_id::VARCHAR, 'FAKE_DOC') AS doc_id, coalesce(score, 0.0) AS score, coalesce(rank, 1)::INT AS rank FROM (SELECT c_custkey AS query_id FROM customer) LEFT JOIN
+ (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank FROM (SELECT o_custkey AS query_id, o_orderkey AS doc_id, round(o_totalprice, 6) AS score FROM orders) QUALIFY rank <= 3) USING (query_id)""")
 def k5_run_with_fake(t):
-    return C.with_fake(t.orders.select(F.col("o_orderkey").alias("query_id")), line_run(t).filter("query_id % 2 = 0"))
+    orders = t.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("score"))
+    return C.with_fake(t.customer.select(F.col("c_custkey").alias("query_id")), C.top(orders, 3))
 
 
 # --- similarities and features ----------------------------------------------------------
@@ -251,18 +267,18 @@ def k5_run_with_fake(t):
 
 @query(f"SELECT query_id, doc_id, {r('bm25', 'bm25_norm')} FROM (SELECT query_id, doc_id, s AS bm25, s / idf_sum AS bm25_norm FROM run JOIN bm USING (query_id, doc_id) JOIN qi USING (query_id))", RUN + WT)
 def x1_bm25(t):
-    return rounded(X.bm25(index(t), terms(t), stored(t)), "bm25", "bm25_norm")
+    return rounded(X.bm25(weighed(t)), "bm25", "bm25_norm")
 
 
 @query("""SELECT query_id, doc_id, round(up / sqrt(greatest(1e-6::DOUBLE, d2 * q2)), 6) AS cosine FROM (SELECT query_id, doc_id, sum(qtf * tf * idf * idf) AS up FROM m JOIN run USING (query_id, doc_id) GROUP BY ALL)
  JOIN (SELECT doc_id, sum(tf * tf * idf * idf) AS d2 FROM post JOIN voc USING (word) GROUP BY ALL) USING (doc_id) JOIN qi USING (query_id)""", RUN + WT)
 def x1_cosine(t):
-    return rounded(X.cosine_tfidf(index(t), terms(t), stored(t)), "cosine")
+    return rounded(X.cosine_tfidf(weighed(t)), "cosine")
 
 
 @query("SELECT query_id, doc_id, round(sum(qtf) / greatest(any_value(known), 1.0), 6) AS overlap FROM m JOIN run USING (query_id, doc_id) JOIN qi USING (query_id) GROUP BY ALL", RUN + WT)
 def x2_overlap(t):
-    return rounded(X.overlap(index(t), terms(t), stored(t)), "overlap")
+    return rounded(X.overlap(weighed(t)), "overlap")
 
 
 PAIR_SQL = """
@@ -282,7 +298,7 @@ def _pair(a: str, b: str, name: str) -> str:
 @query(f"""SELECT query_id, doc_id, round(coalesce(o, 0) / idf_sum, 6) AS ordered, round(coalesce(u, 0) / idf_sum, 6) AS unordered FROM run JOIN qi USING (query_id)
  LEFT JOIN {_pair('w1', 'w2', 'o')} USING (query_id, doc_id) LEFT JOIN {_pair('least(w1, w2)', 'greatest(w1, w2)', 'u')} USING (query_id, doc_id)""", RUN + WT + PAIR_SQL)
 def x3_close_pairs(t):
-    return rounded(X.close_pairs(index(t), terms(t), query_tokens(t), stored(t)), "ordered", "unordered")
+    return rounded(X.close_pairs(weighed(t), query_tokens(t)), "ordered", "unordered")
 
 
 @query("""SELECT query_id, doc_id, round(coalesce(i, 0), 6) AS independent, round(coalesce(o, 0), 6) AS ordered FROM run
@@ -292,7 +308,8 @@ LEFT JOIN (SELECT query_id, doc_id, sum(ln((coalesce(n, 0) + 1) / (doc_len + 1))
 RUN + """qn AS (SELECT query_id, word, pos, lead(word) OVER (PARTITION BY query_id ORDER BY pos) AS s FROM qpos), succ AS (SELECT query_id, word, arg_max(s, pos) AS s FROM qn WHERE s IS NOT NULL GROUP BY ALL),
 dn AS (SELECT doc_id, unnest(w) AS word, unnest(list_append(w[2:], NULL)) AS s FROM d WHERE doc_id IN (SELECT doc_id FROM run)), nb AS (SELECT query_id, doc_id, word, s FROM dn JOIN run USING (doc_id)),""")
 def x4_sdm_parts(t):
-    return rounded(X.sdm_parts(index(t), terms(t), query_tokens(t), stored(t)), "independent", "ordered")
+    of = weighed(t)
+    return rounded(X.sdm_parts(of.idx, of.terms, query_tokens(t), of.run), "independent", "ordered")
 
 
 @query("SELECT query_id, doc_id, score AS retrieval FROM run", RUN)
@@ -308,15 +325,16 @@ def x8_dense_dot(t):
 @query("""SELECT query_id, doc_id, score AS retrieval, round(s / idf_sum, 6) AS bm25_norm, round(hit / greatest(known, 1.0), 6) AS overlap FROM run JOIN bm USING (query_id, doc_id) JOIN qi USING (query_id)
  JOIN (SELECT query_id, doc_id, sum(qtf) AS hit FROM m GROUP BY ALL) USING (query_id, doc_id)""", RUN + WT)
 def x12_composite(t):
-    idx, q, x = index(t), terms(t), stored(t)
-    return rounded(X.composite(X.passed_scores(x), X.bm25(idx, q, x).drop("bm25"), X.overlap(idx, q, x)), "bm25_norm", "overlap")
+    of = weighed(t)
+    return rounded(X.composite(X.passed_scores(of.run), X.bm25(of).drop("bm25"), X.overlap(of)), "bm25_norm", "overlap")
 
 
 @query("""SELECT query_id, word, round(0.5 * coalesce(q, 0) + 0.5 * coalesce(p, 0), 6) AS w FROM (SELECT query_id, word, qtf / sum(qtf) OVER (PARTITION BY query_id) AS q FROM qt)
 FULL JOIN (SELECT query_id, word, p / sum(p) OVER (PARTITION BY query_id) AS p FROM (SELECT query_id, word, sum(tf * score / doc_len) AS p, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(tf * score / doc_len), 9) DESC, word) AS r
  FROM run JOIN post USING (doc_id) WHERE (query_id, rank) IN (SELECT query_id, max(rank) FROM run WHERE rank <= 5 GROUP BY ALL) GROUP BY query_id, word QUALIFY r <= 10)) USING (query_id, word)""", RUN)
 def x5_rm3_terms(t):
-    return rounded(X.rm3(index(t), terms(t), stored(t)), "w")
+    of = weighed(t)
+    return rounded(X.rm3(of.idx, of.terms, of.run), "w")
 
 
 @query("SELECT query_id, doc_id, round(s, 6) AS dot FROM bm", RUN)
@@ -437,7 +455,8 @@ def e13_report(t):
 
 @query(None)
 def r17_permutation_test(t):
-    a, b = E.per_query(run(t), qrels(t), K), E.per_query(C.bm25_topk(index(t), terms(t), K, k1=0.4, b=0.3), qrels(t), K)
+    of, q = weighed(t), cut(qrels(t), "qrels")
+    a, b = E.per_query(of.run, q, K), E.per_query(C.top(C.summed(of._all(), k1=0.4, b=0.3), K), q, K)
     return E.permutation_test(a, b, "map", 1000)
 
 
