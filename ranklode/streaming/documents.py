@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklode.functions import text as T
+from ranklode.operators.candidates import bounded
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def tokenized(docs: DataFrame) -> DataFrame:
 
 def matched(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """query_id, doc_id, hits: queries (static query_id, word) whose words a new document has."""
-    return tokenized(docs).select("doc_id", F.explode(F.array_distinct("w")).alias("word")).join(F.broadcast(terms), "word")
+    return tokenized(docs).select("doc_id", F.explode(F.array_distinct("w")).alias("word")).join(bounded(terms), "word")
 
 
 def first_events(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
