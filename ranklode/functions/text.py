@@ -169,3 +169,15 @@ def html_links(c) -> Column:
     pattern = F.lit("(?is)<a [^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>")
     href, text = F.regexp_extract_all(col(c), pattern, F.lit(1)), F.regexp_extract_all(col(c), pattern, F.lit(2))
     return F.arrays_zip(href.alias("href"), F.transform(text, lambda t: F.trim(F.regexp_replace(t, "<[^>]*>", ""))).alias("text"))
+
+
+def anchor_text(c) -> Column:
+    """The texts of all links, joined by blanks."""
+    return F.array_join(F.transform(html_links(c), lambda a: a["text"]), " ")
+
+
+def json_attribute(c, name: str, kind: str = "string", default=None) -> Column:
+    """A top-level attribute of a JSON object as ``kind``; where it is absent or of another kind, the
+    default."""
+    x = F.get_json_object(col(c), f"$.{name}").try_cast(kind)
+    return x if default is None else F.coalesce(x, F.lit(default).cast(kind))

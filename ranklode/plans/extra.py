@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ranklode.functions import parse as P
+from ranklode.functions import text as T
 from ranklode.functions import vectors as V
 from ranklode.operators import candidates as C
 from ranklode.operators import evaluate as E
@@ -99,6 +100,21 @@ def t25_masked_pooling(t):
     return groups(t).select("g", F.transform(V.mean_pool("vs", mask), lambda x: F.round(x, 6)).alias("v"))
 
 
+@query(r"SELECT doc_id, regexp_replace(text, '[\n\r]+', ' ', 'g') AS one_line, regexp_replace(text, '\t', ' ', 'g') AS no_tabs FROM documents")
+def t9_spaces(t):
+    return t.documents.select("doc_id", T.newlines_to_spaces("text").alias("one_line"), T.tabs_to_spaces("text").alias("no_tabs"))
+
+
+@query(r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '(?is)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))), ' ') AS anchors FROM pages""")
+def t19_anchor_text(t):
+    return t.pages.select("page_id", T.anchor_text("html").alias("anchors"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, 7::BIGINT AS missing FROM events")
+def t23_json_default(t):
+    return t.events.select("event_id", T.json_attribute("props", "k", "long").alias("k"), T.json_attribute("props", "absent", "long", 7).alias("missing"))
+
+
 # --- candidates and features ------------------------------------------------------------
 
 

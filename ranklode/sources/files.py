@@ -169,6 +169,15 @@ def run(spark: SparkSession, path, strict: bool = False) -> DataFrame:
     return x.filter(F.col("doc_id") != FAKE_DOC)
 
 
+def run_file_faults(spark: SparkSession, path) -> DataFrame:
+    """line, fault: lines that haven't six columns, and run ids after the first of the file order."""
+    x = lines(spark, path).select("value", F.split(F.trim(F.regexp_replace("value", BLANK, " ")), " ").alias("f"))
+    ids = x.filter(F.size("f") == 6).select(_part(5).alias("id")).agg(F.min("id").alias("_id"))
+    short = x.filter(F.size("f") != 6).select(F.col("value").alias("line"), F.lit("not six columns").alias("fault"))
+    other = x.filter(F.size("f") == 6).crossJoin(F.broadcast(ids)).filter(_part(5) != F.col("_id"))  # one row
+    return short.unionByName(other.select(F.col("value").alias("line"), F.lit("another run id").alias("fault")))
+
+
 def write_run(r: DataFrame, path: str, run_id: str) -> None:
     """query Q0 doc rank score id, ordered by query and rank."""
     _text(r, F.concat_ws(" ", "query_id", F.lit("Q0"), "doc_id", "rank", F.format_string("%f", F.col("score").cast("double")), F.lit(run_id)), path, ["query_id", "rank"])

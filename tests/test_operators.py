@@ -399,3 +399,9 @@ def test_converters(spark):
     assert converters.queries(lines("1\tone", "2\ttwo words"), 2).first().DOCNO == "2"
     a = converters.abstracts(spark.createDataFrame([(1, "T", "A", "S", "B")], "id int, title string, author string, source string, body string")).first()
     assert (a.DOCNO, a.text) == ("1", "t a s b")
+
+
+def test_faults_of_a_run_file(spark, tmp_path):
+    (tmp_path / "run").write_text("q Q0 d 1 2.5 a\nq Q0 e 2 2.0 a\nq Q0 f 3\nq Q0 g 4 1.0 b\n")
+    got = sorted(tuple(r) for r in files.run_file_faults(spark, f"file://{tmp_path}/run").collect())
+    assert got == [("q Q0 f 3", "not six columns"), ("q Q0 g 4 1.0 b", "another run id")]
