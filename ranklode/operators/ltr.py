@@ -142,6 +142,17 @@ def lambdas(df: DataFrame, k: int = 10) -> DataFrame:
     return p.groupBy("query_id", "doc_id").agg(F.sum(F.when(up, rho * delta).otherwise(-rho * delta)).alias("lam"), F.sum(rho * (1 - rho) * delta).alias("weight"))
 
 
+def lambda_mart(df: DataFrame, trees: int = 1000, **how) -> list[dict]:
+    """Trees fitted to the gradients of NDCG (``trees.lambda_mart``); ``boosted_score`` ranks by them."""
+    from ranklode.operators import trees as grown  # that module takes its gradients from this one
+
+    return grown.lambda_mart(df, trees, **how)
+
+
+def boosted_score(df: DataFrame, model: list[dict]) -> DataFrame:
+    return df.withColumn("score", tree_score(model))
+
+
 def bag(df: DataFrame, rate: float, replace: bool, seed: str = "0") -> DataFrame:
     """Queries drawn for one bag; with replacement a query comes as often as its hash says
     (Poisson by inversion)."""

@@ -66,7 +66,8 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     if not _made:
         atexit.register(_clean, sc._jvm, sc._jsc.hadoopConfiguration(), _made)
     path = sc._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}")
-    _made.append(path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString())
+    whole = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    _made.append(re.sub("^file:/(?!/)", "file:///", whole))
     return _made[-1]
 
 

@@ -28,7 +28,7 @@ def test_folders_are_removed(spark):
 def test_a_path_without_scheme_is_qualified(spark, tmp_path):
     sc = spark.sparkContext
     fake = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d=None: str(tmp_path)))
-    assert session.shared_dir(fake, "x").startswith(f"file:{tmp_path}/x-")
+    assert session.shared_dir(fake, "x").startswith(f"file://{tmp_path}/x-")
     session._made.pop()
 
 
