@@ -119,14 +119,19 @@ def _words(t: Texts, inside: np.ndarray, hashed: bool) -> Words:
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     h = None
     if hashed:
-        p, inv = _powers(n + 1)
-        c = np.empty(n + 1, U64)
-        c[0] = 0
-        np.cumsum(_BYTE[t.data] * p[:n], out=c[1:])
-        h = mix((c[end] - c[start]) * inv[start] + (end - start).astype(U64))
+        h = span_hashes(t.data, start, end)
     return Words(start, end, h, np.searchsorted(start, t.offsets))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans, by the bytes and their number."""
+    p, inv = _powers(len(data) + 1)
+    c = np.empty(len(data) + 1, U64)
+    c[0] = 0
+    np.cumsum(_BYTE[data] * p[: len(data)], out=c[1:])
+    return mix((c[end] - c[start]) * inv[start] + (end - start).astype(U64))
+
+
 def slices(offsets: np.ndarray, limit: int = SPLIT_BYTES):
     """Ranges of whole texts of about ``limit`` bytes; a longer text is a range alone."""
     i, n = 0, len(offsets) - 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranklode.llm import chat, decontam, langid, mixing, ngram_join, quality, secrets, substring_dedup, token_counts, warc
+from ranklode.llm import chat, decontam, hard_negatives, langid, mixing, ngram_join, packing, quality, secrets, substring_dedup, token_counts, vector_codes, warc
 from ranklode.session import table
 
 
@@ -51,9 +51,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.of_embeddings(spark, sf_dir)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.of_embeddings(spark, sf_dir)
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.of_documents(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.SQL, "op7_chat_format": chat.SQL, "op10_mixing": mixing.SQL.replace("$DOCS", "documents")}
+    return {"op4_warc": warc.SQL, "op7_chat_format": chat.SQL, "op10_mixing": mixing.SQL.replace("$DOCS", "documents"), "op11_hard_negatives": hard_negatives.SQL, "op12_vector_codes": vector_codes.SQL}
