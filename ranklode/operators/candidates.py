@@ -10,20 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklode.functions import text as T
-from ranklode.functions import vectors as V
+from ranklode.operators.containment import containing  # noqa: F401
 from ranklode.operators.index import Index, idf
-from ranklode.session import cut, written_bytes
+from ranklode.session import bounded, cut
 
 K1, B = 1.2, 0.75
-#: Written tables of at most so many bytes (compressed; some 100 MB in memory) are broadcast.
-BROADCAST_BYTES = 8 << 20
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    """The table, written once, with a broadcast hint if its files are small; beyond that Spark's
-    own join takes over."""
-    x = cut(df, "side")
-    return F.broadcast(x) if written_bytes(x) <= BROADCAST_BYTES else x
 
 
 def top(scored: DataFrame, k: int, *keep: str) -> DataFrame:
@@ -45,9 +36,7 @@ def clean_query(c) -> Column:
 def postings_of(idx: Index, words: DataFrame) -> DataFrame:
     """doc_id, word, tf, doc_len of the given words (word), written: documents' words meet them
     before they are counted, so only words that are asked for are shuffled."""
-    asked = bounded(words.select("word").distinct())
-    hits = idx.docs.select("doc_id", "doc_len", F.explode("w").alias("word")).join(asked, "word")
-    return cut(hits.groupBy("doc_id", "word").agg(F.first("doc_len").alias("doc_len"), F.count("*").cast("double").alias("tf")), "postings")
+    return cut(idx.postings_of(words), "postings")
 
 
 def weighed(idx: Index, terms: DataFrame, postings: DataFrame) -> DataFrame:
@@ -80,35 +69,11 @@ def exact_match(docs: DataFrame, queries: DataFrame, field: str, k: int) -> Data
     return top(queries.select("query_id", F.col("key").alias(field)).join(docs, field).select("query_id", "doc_id", F.lit(1.0).alias("score")), k)
 
 
-def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """query_id, doc_id where a document's text holds an item's text. Rows (doc_id, text) and
-    (query_id, text).
-
-    What stands between an item's first and last blank are whole words of any text that holds it:
-    documents meet an item by the rarest of those words only, and are then compared. Items without
-    such a word, a stated set, are compared with every document. Null texts hold nothing and are
-    held by none; each document holds an empty item."""
-    words = lambda c: F.array_remove(F.split(F.col(c), "[ \\t\\n\\r\\f]+"), "")
-    inner = F.split("text", "[ \\t\\n\\r\\f]+")
-    items = items.filter("text is not null").select("query_id", "text", F.array_distinct(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))).alias("_inner"))
-    asked = items.select("query_id", F.explode("_inner").alias("word"))
-    have = cut(docs.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("word")).join(bounded(asked.select("word").distinct()), "word"), "words")
-    df = have.groupBy("word").agg(F.count("*").alias("_df"))
-    rarest = asked.join(df, "word", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "word"))["word"].alias("word"))
-    pairs = have.join(bounded(rarest), "word").select("query_id", "doc_id")
-    texts = items.select("query_id", F.col("text").alias("_t"))
-    pairs = pairs.join(texts, "query_id").join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "_t")).select("query_id", "doc_id").distinct()
-    plain = bounded(items.filter(F.size("_inner") == 0).select("query_id", F.col("text").alias("_t")))
-    return pairs.unionByName(docs.join(plain, F.contains("text", "_t")).select("query_id", "doc_id"))
-
-
-def knn(docs: DataFrame, queries: DataFrame, k: int, score=V.dot, drop_self: bool = False) -> DataFrame:
-    """Nearest vectors by brute force: a stated set of queries against all rows, the queries
-    broadcast in bounded number. Rows (id, v)."""
-    q = bounded(queries.select(F.col("id").alias("query_id"), V.dense("v").alias("_q")))
-    on = F.col("query_id") != F.col("doc_id") if drop_self else F.lit(True)
-    pairs = docs.select(F.col("id").alias("doc_id"), V.dense("v").alias("_d")).join(q, on)
-    return top(pairs.select("query_id", "doc_id", score("_q", "_d").alias("score")), k)
+def knn(docs: DataFrame, queries: DataFrame, k: int, metric: str = "dot", drop_self: bool = False) -> DataFrame:
+    """Nearest vectors, all compared; rows (id, v). See ``nearest``."""
+    from ranklode.operators import nearest
+
+    return nearest.knn(docs, queries, k, metric, drop_self)
 
 
 def mapped(run: DataFrame, parents: DataFrame, k: int, how: str = "max") -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ranklode.functions import text as T
 from ranklode.functions import vectors as V
-from ranklode.operators.candidates import B, K1, bounded, norm_tf, postings_of, summed, top, weighed
+from ranklode.operators.candidates import B, K1, norm_tf, postings_of, summed, top, weighed
 from ranklode.operators.index import Index
-from ranklode.session import cut
+from ranklode.session import bounded, cut
 
 
 def _filled(pairs: DataFrame, scores: DataFrame, *names: str) -> DataFrame:

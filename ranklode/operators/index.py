@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ranklode.functions import text as T
 from ranklode.operators.ordering import numbered
-from ranklode.session import cut
+from ranklode.session import bounded, cut
 
 
 @dataclass
@@ -31,6 +31,12 @@ class Index:
     def postings(self) -> DataFrame:
         return self.docs.select("doc_id", "doc_len", F.explode("w").alias("word")).groupBy("doc_id", "word").agg(F.first("doc_len").alias("doc_len"), F.count("*").cast("double").alias("tf"))
 
+    def postings_of(self, words: DataFrame) -> DataFrame:
+        """doc_id, word, tf, doc_len of the given words (word), taken from the texts' words."""
+        asked = bounded(words.select("word").distinct())
+        hits = self.docs.select("doc_id", "doc_len", F.explode("w").alias("word")).join(asked, "word")
+        return hits.groupBy("doc_id", "word").agg(F.first("doc_len").alias("doc_len"), F.count("*").cast("double").alias("tf"))
+
     @property
     def stats(self) -> DataFrame:
         return self.docs.agg(F.count("*").cast("double").alias("n_docs"), F.sum("doc_len").alias("total_words"), F.avg("doc_len").alias("avgdl"))

@@ -271,9 +271,10 @@ def rm3_settings(spark) -> DataFrame:
 
 def annotated(questions: DataFrame, notes: DataFrame) -> DataFrame:
     """id, note of questions (id, text): the first note (place, text, note) with the same text, else
-    the first with the same set of words."""
+    the first with the same set of words. Notes of one text, or of one set, become one before they
+    meet questions."""
     key = lambda c: F.sort_array(F.array_distinct(T.tokens(c)))
-    q, n = questions.select("id", "text", key("text").alias("_k")), notes.select("place", "note", F.col("text").alias("_t"), key("text").alias("_k"))
-    exact = q.join(n.drop("_k"), F.col("text") == F.col("_t")).select("id", F.struct(F.lit(0).alias("o"), "place", "note").alias("_n"))
-    alike = q.join(n.drop("_t"), "_k").select("id", F.struct(F.lit(1).alias("o"), "place", "note").alias("_n"))
-    return exact.unionByName(alike).groupBy("id").agg(F.min("_n")["note"].alias("note"))
+    one = lambda k, by: notes.filter("text is not null").groupBy(k.alias(by)).agg(F.min(F.struct("place", "note"))["note"].alias(f"_n{by}"))
+    q = questions.filter("text is not null").select("id", F.col("text").alias("_t"), key("text").alias("_k"))
+    both = q.join(one(F.col("text"), "_t"), "_t", "left").join(one(key("text"), "_k"), "_k", "left")
+    return both.select("id", F.coalesce("_n_t", "_n_k").alias("note")).filter("note is not null")

@@ -120,7 +120,7 @@ def t23_json_default(t):
 
 @query("SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC))::INT AS rank FROM (SELECT a.id AS query_id, b.id AS doc_id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 50 = 0)) WHERE rank <= 10", EMB)
 def c7_knn_cosine(t):
-    return C.knn(vectors(t), vectors(t).filter("id % 50 = 0"), 10, score=V.cosine, drop_self=True)
+    return C.knn(vectors(t), vectors(t).filter("id % 50 = 0"), 10, "cosine", drop_self=True)
 
 
 @query("SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 7")
@@ -266,9 +266,9 @@ def _normal(k: int, of: str) -> str:
     return of.replace("?", f"f{k}")
 
 
-@query("SELECT query_id, doc_id, [" + ", ".join(_normal(k, "round(CASE WHEN stddev_samp(?) OVER w > 0 THEN (? - avg(?) OVER w) / stddev_samp(?) OVER w ELSE ? END, 5)") for k in (1, 2, 3)) + "] AS feats FROM fe WINDOW w AS (PARTITION BY query_id)", FEATS)
+@query("SELECT query_id, doc_id, [" + ", ".join(_normal(k, "round(CASE WHEN stddev_samp(?) OVER w > 0 THEN (? - avg(?) OVER w) / stddev_samp(?) OVER w ELSE ? END, 5) + 0.0::DOUBLE") for k in (1, 2, 3)) + "] AS feats FROM fe WINDOW w AS (PARTITION BY query_id)", FEATS)
 def w7_standard_features(t):
-    return R.normalized(feature_rows(t), "zscore").select("query_id", "doc_id", F.transform("feats", lambda x: F.round(x, 5)).alias("feats"))
+    return R.normalized(feature_rows(t), "zscore").select("query_id", "doc_id", F.transform("feats", lambda x: F.round(x, 5) + 0.0).alias("feats"))
 
 
 @query("SELECT query_id, doc_id, [" + ", ".join(_normal(k, "round(CASE WHEN max(?) OVER w > min(?) OVER w THEN (? - min(?) OVER w) / (max(?) OVER w - min(?) OVER w) ELSE 0 END, 6)") for k in (1, 2, 3)) + "] AS feats FROM fe WINDOW w AS (PARTITION BY query_id)", FEATS)
@@ -317,9 +317,13 @@ def q18_quantile_report(t):
     return rounded(S.quantile_report(t.documents, "n_chars"), "value")
 
 
-@query("SELECT id, coalesce(e, s) AS note FROM (SELECT doc_id AS id, min(CASE WHEN d.text = b.text THEN item_id END) AS e, min(item_id) AS s FROM (SELECT doc_id, text, list_sort(list_distinct(" + W("lower(text)") + ")) AS k FROM documents) d JOIN (SELECT item_id, text, list_sort(list_distinct(" + W("lower(text)") + ")) AS k FROM benchmark) b ON d.k = b.k OR d.text = b.text GROUP BY doc_id)")
+@query(f"""SELECT id, coalesce(any_value(e.note), any_value(s.note)) AS note FROM (SELECT doc_id AS id, text, list_sort(list_distinct({W("lower(text)")})) AS k FROM documents WHERE text IS NOT NULL) d
+ LEFT JOIN (SELECT text, arg_min(quality, doc_id) AS note FROM documents JOIN labels USING (doc_id) GROUP BY text) e USING (text)
+ LEFT JOIN (SELECT list_sort(list_distinct({W("lower(text)")})) AS k, arg_min(quality, doc_id) AS note FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL GROUP BY k) s USING (k)
+ WHERE e.note IS NOT NULL OR s.note IS NOT NULL GROUP BY id""")
 def j15_annotated_exact_first(t):
-    notes = t.benchmark.select(F.col("item_id").alias("place"), "text", F.col("item_id").alias("note"))
+    """Documents with the quality of the first labelled one of the same text, or of the same words."""
+    notes = t.documents.join(t.labels, "doc_id").select(F.col("doc_id").alias("place"), "text", F.col("quality").alias("note"))
     return S.annotated(t.documents.select(F.col("doc_id").alias("id"), "text"), notes)
 
 

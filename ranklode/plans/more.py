@@ -18,7 +18,8 @@ from ranklode.operators import tranmodel as M
 from ranklode.plans.learning import TREES
 from ranklode.plans.preparation import BITEXT, RESCALED, W, bitext
 from ranklode.plans.registry import query
-from ranklode.plans.retrieval import DOCS, NORM, QRELS, RUN, TERMS, WT, index, qrels, query_tokens, rounded, run, terms
+from ranklode.plans.retrieval import DOCS, NORM, QRELS, RUN, TERMS, WT, index, opened, qrels, query_tokens, rounded, run, terms
+from ranklode.session import bounded
 
 # --- text and fields --------------------------------------------------------------------
 
@@ -67,7 +68,7 @@ def p10_vocabulary_union(t):
     return index(t).docs.select(F.explode("w").alias("word")).distinct().join(either, "word", "left_semi")
 
 
-@query("SELECT src, dst, round(p, 6) AS p FROM t2 WHERE p >= 0.05::DOUBLE AND src IN (SELECT word FROM post) AND dst IN (SELECT word FROM post)", BITEXT + DOCS)
+@query("SELECT src, dst, round(p, 6) AS p FROM t2 JOIN kw x ON x.word = src JOIN kw y ON y.word = dst WHERE p >= 0.05::DOUBLE", BITEXT + DOCS + "kw AS MATERIALIZED (SELECT DISTINCT word FROM tok),")
 def p11_filtered_table(t):
     v = index(t).docs.select(F.explode("w").alias("word")).distinct()
     return rounded(M.filtered(M.train(bitext(t), 2), 0.05, v), "p")
@@ -104,12 +105,11 @@ def j8_merged_entries(t):
     return both.filter(F.col("o_orderstatus").isNotNull() & F.col("n").isNotNull())
 
 
-@query("SELECT doc_id, arg_min(item_id, item_id) AS item_id FROM (SELECT doc_id, item_id FROM (SELECT doc_id, list_sort(list_distinct(w)) AS s FROM d) JOIN (SELECT query_id AS item_id, list_sort(list_distinct(w)) AS s FROM q) USING (s)) GROUP BY doc_id", DOCS + TERMS)
+@query("SELECT doc_id, min(first_id) AS first_id FROM (SELECT doc_id, list_sort(list_distinct(w)) AS s FROM d) JOIN (SELECT doc_id AS first_id, list_sort(list_distinct(w)) AS s FROM d SEMI JOIN labels USING (doc_id)) USING (s) GROUP BY doc_id", DOCS)
 def j15_annotated(t):
-    """Documents with the first item of the same set of words."""
-    key = lambda c: F.sort_array(F.array_distinct(c))
-    items = t.benchmark.select("item_id", key(T.tokens("text")).alias("s"))
-    return index(t).docs.select("doc_id", key("w").alias("s")).join(items, "s").groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
+    """Documents with the first labelled one of the same set of words."""
+    notes = t.documents.join(t.labels, "doc_id", "left_semi").select(F.col("doc_id").alias("place"), F.array_join(F.sort_array(F.array_distinct(T.tokens("text"))), " ").alias("text"), F.col("doc_id").alias("note"))
+    return S.annotated(t.documents.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")), notes).select(F.col("id").alias("doc_id"), F.col("note").alias("first_id"))
 
 
 @query("SELECT a.doc_id AS a_id, b.doc_id AS b_id FROM qrels a JOIN qrels b ON b.query_id = a.query_id + 1", QRELS)
@@ -123,7 +123,7 @@ def j16_relevant_pairs(t):
 
 @query(None)
 def x4_sdm(t):
-    of = X.Weighed(I.stored(index(t)), terms(t))
+    of = X.Weighed(opened(t), terms(t))
     parts = X.sdm_parts(of.idx, of.terms, query_tokens(t), of.run)
     x = parts.join(t.benchmark.select(F.col("item_id").alias("query_id"), T.tokens("text").alias("qw")), "query_id").join(of.idx.docs.select("doc_id", "w"), "doc_id")
     return rounded(P.with_sdm(x), "unordered", "sdm")
@@ -132,7 +132,7 @@ def x4_sdm(t):
 @query(f"SELECT query_id, doc_id, round(sum(qtf * idf * {NORM}), 6) AS bm25 FROM m JOIN run USING (query_id, doc_id), stats GROUP BY ALL", RUN)
 def f21_bm25_of_texts(t):
     """BM25 of query and document texts, the index giving idf and average length only."""
-    of = X.Weighed(I.stored(index(t)), terms(t))
+    of = X.Weighed(opened(t), terms(t))
     x = of.run.join(t.documents.select("doc_id", T.tokens("text").alias("w")), "doc_id").withColumn("doc_len", F.size("w").cast("double"))
     tf = x.select("query_id", "doc_id", "doc_len", F.explode("w").alias("word")).groupBy("query_id", "doc_id", "doc_len", "word").agg(F.count("*").cast("double").alias("tf"))
     s = tf.join(of.weights, ["query_id", "word"]).withColumn("avgdl", F.lit(of.idx.figures.avgdl))
@@ -149,11 +149,11 @@ st AS (SELECT query_id, doc_id, word, qtf, idf, any_value(doc_len) AS doc_len, s
 @query(f"SELECT query_id, doc_id, round(sum(qtf * idf * {NORM}), 6) AS soft FROM st, stats GROUP BY query_id, doc_id", RUN + SOFT)
 def f3_soft_bm25(t):
     """BM25 in which a document's words count for near query words, by similarity."""
-    of = X.Weighed(I.stored(index(t)), terms(t))
+    of = X.Weighed(opened(t), terms(t))
     idx, r, q = of.idx, of.run, of.terms
     v = idx.vocab.join(q.select("word").distinct(), "word", "left_semi").select("word", "idf", F.array(F.log1p(F.length("word")), 1.0 / (1 + F.col("df")), F.ascii("word") / 100.0).alias("v"))
     qs = r.select("query_id", "doc_id").join(q, "query_id").join(v, "word")
-    few = idx.docs.join(C.bounded(r.select("doc_id").distinct()), "doc_id", "left_semi")
+    few = idx.docs.join(bounded(r.select("doc_id").distinct()), "doc_id", "left_semi")
     ds = few.select("doc_id", "doc_len", F.explode("w").alias("word")).groupBy("doc_id", "doc_len", "word").agg(F.count("*").cast("double").alias("tf")).join(v.select("word", F.col("v").alias("dv")), "word").drop("word")
     sim = 0.5 * (1 + V.cosine("v", "dv"))
     x = qs.join(ds, "doc_id").withColumn("_s", F.when(sim >= 0.999, F.col("tf") * sim).otherwise(0.0))
@@ -220,9 +220,11 @@ def k14_triplets(t):
     return x.select("anchor", "positive", "negative")
 
 
-@query("SELECT item_id FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE d.text = b.text)")
+@query("SELECT doc_id FROM documents SEMI JOIN labels USING (doc_id) WHERE text IN (SELECT text FROM documents ANTI JOIN labels USING (doc_id) WHERE text IS NOT NULL)")
 def q19_exact_overlap(t):
-    return t.benchmark.join(t.documents.select("text"), "text", "left_semi").select("item_id")
+    """Labelled documents whose text an unlabelled one has."""
+    other = t.documents.join(t.labels, "doc_id", "left_anti").select("text").distinct()
+    return t.documents.join(t.labels, "doc_id", "left_semi").join(other, "text", "left_semi").select("doc_id")
 
 
 @query(f"SELECT doc_id::VARCHAR AS \"DOCNO\", array_to_string({W('lower(text)')}, ' ') AS text, substring(text, 1, 2000) AS text_raw FROM documents")

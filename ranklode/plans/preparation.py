@@ -12,7 +12,7 @@ from ranklode.operators import index as I
 from ranklode.operators import sampling as S
 from ranklode.operators import tranmodel as M
 from ranklode.plans.registry import Tables, query
-from ranklode.plans.retrieval import DOCS, LG, L, QRELS, RUN, index, line_grades, line_run, qrels, rounded, run, terms
+from ranklode.plans.retrieval import DOCS, LG, L, QRELS, RUN, index, line_grades, line_run, opened, qrels, rounded, run, terms
 
 B = r"'[ \t\n\r\f]+'"
 
@@ -207,10 +207,10 @@ def j13_contained_answers(t):
 
 @query("""SELECT a.id AS a_id, b.id AS b_id, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE, 6) AS jaccard FROM
  (SELECT item_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS w FROM benchmark) a, (SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS w FROM documents) b
- WHERE len(list_intersect(a.w, b.w)) >= 0.5::DOUBLE * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AND len(a.w) > 0 AND len(b.w) > 0""".replace("\\\\", "\\"))
+ WHERE len(list_intersect(a.w, b.w)) >= 0.1::DOUBLE * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AND len(a.w) > 0 AND len(b.w) > 0""".replace("\\\\", "\\"))
 def j14_token_overlap(t):
     a, b = t.benchmark.select(F.col("item_id").alias("id"), "text"), t.documents.select(F.col("doc_id").alias("id"), "text")
-    return rounded(S.token_overlap(a, b, 0.5), "jaccard")
+    return rounded(S.token_overlap(a, b, 0.1), "jaccard")
 
 
 @query("SELECT doc_id, 'labelled' AS part FROM labels UNION ALL SELECT doc_id, 'unlabelled' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -348,6 +348,6 @@ def m7_collection_probabilities(t):
  LEFT JOIN (SELECT query_id, doc_id, dst AS word, sum(p * tf / greatest(doc_len, 1)) AS tr FROM run JOIN post USING (doc_id) JOIN rs ON rs.src = post.word WHERE p >= 0.001::DOUBLE GROUP BY ALL) USING (query_id, doc_id, word)
  LEFT JOIN (SELECT word, sum(tf) / (SELECT sum(tf) FROM post) AS pc FROM post GROUP BY word) USING (word)) GROUP BY ALL""", RUN + BITEXT + RESCALED)
 def x6_model1(t):
-    of = X.Weighed(I.stored(index(t)), terms(t))
+    of = X.Weighed(opened(t), terms(t))
     table = M.rescaled(M.filtered(M.train(bitext(t), 2), 0.01), 0.5)
     return rounded(M.score(of.run, of.idx.postings, of.terms, table, M.collection_probabilities(of.idx.postings)), "model1")

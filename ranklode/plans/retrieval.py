@@ -14,6 +14,7 @@ from ranklode.functions import vectors as V
 from ranklode.operators import candidates as C
 from ranklode.operators import evaluate as E
 from ranklode.operators import features as X
+from ranklode.operators import impact as M
 from ranklode.operators import index as I
 from ranklode.plans.registry import Tables, query
 from ranklode.session import cut, shared_dir
@@ -55,14 +56,19 @@ def terms(t: Tables) -> DataFrame:
     return I.query_terms(t.benchmark)
 
 
+def opened(t: Tables) -> M.Impact:
+    """The documents' index: built by the first query that asks for it, then opened by its path."""
+    return M.kept(t.spark, f"{t.dir}/documents.parquet", "text", lambda: index(t))
+
+
 def run(t: Tables, k: int = K) -> DataFrame:
-    return C.bm25_topk(I.stored(index(t)), terms(t), k)
+    return M.Ranking(opened(t), terms(t), k).run
 
 
 def weighed(t: Tables, k: int = K) -> X.Weighed:
     """The index, the query words' postings and the run, each written once: texts are read once,
     and feature blocks share what they read."""
-    return X.Weighed(I.stored(index(t)), cut(terms(t), "terms"), k=k)
+    return X.Weighed(opened(t), cut(terms(t), "terms"), k=k)
 
 
 def stored(t: Tables, k: int = K) -> DataFrame:
@@ -109,7 +115,7 @@ def a4_vocabulary_counts(t):
     return I.vocabulary_counts(index(t))
 
 
-@query("SELECT word, df FROM voc WHERE df >= (SELECT min(df) FROM (SELECT df FROM voc ORDER BY df DESC LIMIT 100))", DOCS)
+@query("SELECT word, df FROM (SELECT word, df, rank() OVER (ORDER BY df DESC) AS r FROM voc) WHERE r <= 100", DOCS)
 def p8_frequent_words(t):
     return I.frequent_words(index(t).vocab, 100).select("word", "df")
 
@@ -193,7 +199,7 @@ def c4_stored_run(t):
 def c1_cleaned_queries(t):
     """Punctuation and operators taken from the queries first, as a lexical provider does."""
     q = t.benchmark.select("item_id", C.clean_query("text").alias("text"))
-    return C.bm25_topk(I.stored(index(t)), I.query_terms(q), K)
+    return M.Ranking(opened(t), I.query_terms(q), K).run
 
 
 PARENTS = "par AS (SELECT doc_id, doc_id // 5 AS parent FROM documents),"

@@ -10,7 +10,9 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 BATCH_ROWS = 512
@@ -101,6 +103,22 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+#: Written tables of at most so many bytes, and so many in memory, are broadcast.
+BROADCAST_BYTES, BROADCAST_WHOLE = 8 << 20, 128 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The table, written once, with a broadcast hint if it is small; beyond that Spark's own join
+    takes over. What its rows are in memory is summed up while they are written: texts that
+    repeat take little of a file."""
+    plain = (NumericType, BooleanType, DateType, TimestampType)
+    long = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, plain)]
+    size = sum((F.coalesce(F.octet_length(c.cast("string")), F.lit(0)) for c in long), F.lit(16 * len(df.columns)))
+    seen = Observation()
+    x = cut(df.observe(seen, F.sum(size.cast("long")).alias("bytes")), "side")
+    return F.broadcast(x) if written_bytes(x) <= BROADCAST_BYTES and (seen.get["bytes"] or 0) <= BROADCAST_WHOLE else x
+
+
 def written_bytes(table: DataFrame) -> int:
     """Bytes of the files of a table that ``cut`` has returned."""
     sc = table.sparkSession.sparkContext

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklode.functions import text as T
-from ranklode.operators.candidates import bounded
+from ranklode.session import bounded
 
 
 def tokenized(docs: DataFrame) -> DataFrame:

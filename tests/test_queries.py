@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB over the smallest tables; the others give rows."""
+"""Every query with SQL against DuckDB, values as they are; the others give rows."""
 
 import glob
 import os
@@ -8,15 +8,18 @@ import pytest
 
 from ranklode.plans import QUERIES, SQL
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
+#: Queries that rightly give nothing over these tables.
+EMPTY = {"k1_empty_documents"}
 
 
 def same(v):
+    """A value as text: floats with all digits and the sign of zero."""
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(map(same, v)) + "]"
     if v is None or v != v:
         return "NULL"
-    return f"{v:.5f}".replace("-0.00000", "0.00000") if isinstance(v, float) else str(v)
+    return repr(v) if isinstance(v, float) else str(v)
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +36,9 @@ def test_against_sql(spark, con, name):
     want = con.sql(SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     at = [want.columns.index(c) for c in sorted(want.columns)]
-    assert sorted(tuple(same(r[c]) for c in sorted(df.columns)) for r in df.collect()) == sorted(tuple(same(r[i]) for i in at) for r in want.fetchall())
+    got = df.collect()
+    assert got or name in EMPTY
+    assert sorted(tuple(same(r[c]) for c in sorted(df.columns)) for r in got) == sorted(tuple(same(r[i]) for i in at) for r in want.fetchall())
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
