@@ -39,10 +39,9 @@ def postings_of(idx: Index, words: DataFrame) -> DataFrame:
     return cut(idx.postings_of(words), "postings")
 
 
-def weighed(idx: Index, terms: DataFrame, postings: DataFrame) -> DataFrame:
+def weighed(idx: Index, terms: DataFrame, postings: DataFrame | None) -> DataFrame:
     """query_id, word, qtf, df, idf of the query words that some document has."""
-    df = postings.groupBy("word").agg(F.count("*").cast("double").alias("df"))
-    return terms.join(df, "word").select("query_id", "word", "qtf", "df", idf(n=F.lit(idx.figures.n_docs)).alias("idf"))
+    return terms.join(idx.frequencies(postings), "word").select("query_id", "word", "qtf", "df", idf(n=F.lit(idx.figures.n_docs)).alias("idf"))
 
 
 def matches(idx: Index, terms: DataFrame) -> DataFrame:

@@ -1,16 +1,18 @@
 """An index that is kept on disk, and a top-k that leaves out blocks below the k-th score.
 
 Below its path an index has ``docs`` (each document's words, for what needs positions), ``figures``
-(one row: documents, words, BM25's settings) and ``blocks``. Documents are dealt into ranges of some
+(one row: documents, words, BM25's settings), ``words`` (how many documents have each) and ``blocks``. Documents are dealt into ranges of some
 ``RANGE_DOCS`` by a hash of their id; a block holds a word's postings of one range, with the
 largest BM25 factor among them. Blocks lie in buckets of words, sorted by word and then by that
 impact, largest first: a query reads the buckets and row groups of its words only, and of those first
 the impacts alone.
 
 What a range can add to a query is at most the sum of its words' block impacts by their weights.
-``ranked`` scores the ranges with the highest bounds first (``AHEAD`` a query), takes the k-th
+``Ranking`` scores the ranges with the highest bounds first (``AHEAD`` a query), takes the k-th
 score so far, and then the ranges whose bounds reach it. All blocks of a range and query are scored
-together, so scores are whole and results the same as without bounds.
+together, so scores are whole and results the same as without bounds. In an index of fewer than
+``LEAST_RANGES`` ranges bounds cost more than they save: all blocks of the queries' words are scored
+in one pass, unless ``prune`` says otherwise. The fewer words queries have, the more is left out.
 
 Building reads texts once and shuffles the documents by range, which all counting shares; blocks are
 sorted into buckets by ranges of word and impact, so that a word that a third of all documents have
@@ -26,14 +28,14 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ranklode.operators import candidates as C
-from ranklode.operators.index import Index
+from ranklode.operators.index import Index, idf
 from ranklode.session import bounded, cut, shared_dir
 
-RANGE_DOCS, BUCKETS, AHEAD = 32, 16, 2
+RANGE_DOCS, BUCKETS, AHEAD, LEAST_RANGES = 128, 16, 2, 1_000
 #: Row groups are small, so that those of other words can be left out.
 GROUP_BYTES = 4 << 20
 #: Up to so many words are told to the scan itself.
-PUSHED_WORDS = 2_000
+PUSHED_WORDS = 100
 
 
 def bucket(word) -> Column:
@@ -57,7 +59,9 @@ def build(idx: Index, path: str, k1: float = C.K1, b: float = C.B) -> Impact:
     ).select(bucket("word").alias("bucket"), "word", "range", "impact", F.size("postings").alias("n"), "postings")
     order = ("bucket", "word", F.desc("impact"), "range")
     blocks.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").option("parquet.block.size", str(GROUP_BYTES)).parquet(f"{path}/blocks")
-    return Impact(spark, path)
+    out = Impact(spark, path)
+    out.blocks.groupBy("word").agg(F.sum("n").cast("double").alias("df")).write.parquet(f"{path}/words")
+    return out
 
 
 class Impact(Index):
@@ -71,6 +75,18 @@ class Impact(Index):
     def figures(self) -> Row:
         return self.spark.read.parquet(f"{self.path}/figures").first()
 
+    @cached_property
+    def words(self) -> DataFrame:
+        """word, df."""
+        return self.spark.read.schema("word string, df double").parquet(f"{self.path}/words")
+
+    @property
+    def vocab(self) -> DataFrame:
+        return self.words.select("word", "df", idf("df", F.lit(self.figures.n_docs)).alias("idf"))
+
+    def frequencies(self, postings: DataFrame) -> DataFrame:
+        return self.words
+
     @cached_property
     def blocks(self) -> DataFrame:
         doc_id = self.docs.schema["doc_id"].dataType.simpleString()
@@ -97,37 +113,37 @@ class Impact(Index):
 
 
 class Ranking:
-    """The best k documents of each query (``run``), and what it took."""
+    """The best k documents of each query (``run``), and what it took (``share``)."""
 
-    def __init__(self, idx: Impact, terms: DataFrame, k: int):
+    def __init__(self, idx: Impact, terms: DataFrame, k: int, prune: bool | None = None):
         f = idx.figures
-        blocks = idx.blocks_of(terms)
-        known = cut(blocks.select("word", "range", "impact", "n"), "impacts")
-        df = known.groupBy("word").agg(F.sum("n").cast("double").alias("df"))
-        self.weights = bounded(terms.join(df, "word").select("query_id", "word", "qtf", "df", C.idf(n=F.lit(f.n_docs)).alias("idf")))
-        weight = F.col("qtf") * F.col("idf")
-        self.bounds = cut(known.join(self.weights, "word").groupBy("query_id", "range").agg(F.sum(weight * F.col("impact")).alias("most"), F.count("*").alias("blocks")), "bounds")
+        self.weights = bounded(C.weighed(idx, terms, None))
+        blocks = idx.blocks_of(self.weights).join(self.weights, "word").withColumn("_w", F.col("qtf") * F.col("idf"))
         factor = C.norm_tf(avgdl=F.lit(f.avgdl), k1=f.k1, b=f.b)
-
-        def scored(ranges: DataFrame) -> DataFrame:
-            x = blocks.join(self.weights, "word").join(ranges, ["query_id", "range"])
-            x = x.select("query_id", weight.alias("_w"), F.inline("postings"))
-            return x.groupBy("query_id", "doc_id").agg(F.sum(F.col("_w") * factor).alias("score"))
-
+        scored = lambda x: x.select("query_id", "_w", F.inline("postings")).groupBy("query_id", "doc_id").agg(F.sum(F.col("_w") * factor).alias("score"))
+        if prune is None:
+            prune = f.ranges >= LEAST_RANGES
+        bound = blocks.groupBy("query_id", "range").agg(F.sum(F.col("_w") * F.col("impact")).alias("most"), F.count("*").alias("blocks"))
+        if not prune:
+            self.bounds = self.read = bound
+            self.run = cut(C.top(scored(blocks), k), "run")
+            return
+        self.bounds = cut(bound, "bounds")
+        of = lambda ranges: scored(blocks.join(ranges.select("query_id", "range"), ["query_id", "range"]))
         first = Window.partitionBy("query_id").orderBy(F.desc("most"), "range")
-        ahead = bounded(self.bounds.withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= AHEAD).select("query_id", "range", F.col("blocks").alias("_blocks")))
-        some = cut(C.top(scored(ahead), k), "some")
+        ahead = bounded(self.bounds.withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= AHEAD).drop("_at"))
+        some = cut(C.top(of(ahead), k), "some")
         floor = some.filter(F.col("rank") == k).select("query_id", F.col("score").alias("_floor"))
         # Scores are compared by six decimals; sums differ in their last bits.
         rest = self.bounds.join(ahead.select("query_id", "range"), ["query_id", "range"], "left_anti").join(floor, "query_id", "left")
-        rest = bounded(rest.filter("_floor is null or most * (1 + 1e-12) + 1e-6 >= _floor").select("query_id", "range", F.col("blocks").alias("_blocks")))
+        rest = bounded(rest.filter("_floor is null or most * (1 + 1e-12) + 1e-6 >= _floor").drop("_floor"))
         self.read = ahead.unionByName(rest)
-        self.run = cut(C.top(some.select("query_id", "doc_id", "score").unionByName(scored(rest)), k), "run")
+        self.run = cut(C.top(some.select("query_id", "doc_id", "score").unionByName(of(rest)), k), "run")
 
     def share(self) -> DataFrame:
         """query_id, blocks of its words, and how many of them were scored."""
         every = self.bounds.groupBy("query_id").agg(F.sum("blocks").alias("blocks"))
-        return every.join(self.read.groupBy("query_id").agg(F.sum("_blocks").alias("scored")), "query_id")
+        return every.join(self.read.groupBy("query_id").agg(F.sum("blocks").alias("scored")), "query_id")
 
 
 #: Indexes of this process: (application, table, settings) to (files of the table, folder).

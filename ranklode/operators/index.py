@@ -37,6 +37,10 @@ class Index:
         hits = self.docs.select("doc_id", "doc_len", F.explode("w").alias("word")).join(asked, "word")
         return hits.groupBy("doc_id", "word").agg(F.first("doc_len").alias("doc_len"), F.count("*").cast("double").alias("tf"))
 
+    def frequencies(self, postings: DataFrame) -> DataFrame:
+        """word, df of the words of these postings, which are all of theirs."""
+        return postings.groupBy("word").agg(F.count("*").cast("double").alias("df"))
+
     @property
     def stats(self) -> DataFrame:
         return self.docs.agg(F.count("*").cast("double").alias("n_docs"), F.sum("doc_len").alias("total_words"), F.avg("doc_len").alias("avgdl"))

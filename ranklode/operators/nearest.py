@@ -210,7 +210,7 @@ class Cells:
         each = spark.createDataFrame([(c, c * most + p) for c, n in self.groups.items() for p in range(n)], "cell int, g int")
         asked = self._nearest(_vectors(queries), probes).join(F.broadcast(each), "cell").select("id", "v", "g")
         blocks = _packed(asked.repartition("g").sortWithinPartitions("g"), self.dims, QUERIES, "g")
-        return top(_found(cut(blocks, "queries").repartition(min(4 * len(self.groups) * most, MOST_TASKS), "g", F.xxhash64("x")), self.path, self.dims, k, metric, drop_self), k)
+        return top(_found(cut(blocks, "queries").repartition(max(1, min(4 * len(self.groups) * most, MOST_TASKS)), "g", F.xxhash64("x")), self.path, self.dims, k, metric, drop_self), k)
 
 
 def fitted(x: np.ndarray, cells: int) -> np.ndarray:

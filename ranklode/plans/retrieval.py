@@ -16,6 +16,7 @@ from ranklode.operators import evaluate as E
 from ranklode.operators import features as X
 from ranklode.operators import impact as M
 from ranklode.operators import index as I
+from ranklode.operators import nearest as N
 from ranklode.plans.registry import Tables, query
 from ranklode.session import cut, shared_dir
 from ranklode.sources import files as S
@@ -182,6 +183,18 @@ def knn_run(t: Tables) -> DataFrame:
     return C.knn(vectors(t), vectors(t).filter("id % 50 = 0"), 10, drop_self=True)
 
 
+@query("SELECT a.id AS query_id, b.id AS doc_id, round(list_dot_product(a.v, b.v), 6) AS score, (row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.v, b.v), 6) DESC, b.id DESC))::INT AS rank FROM e a JOIN e b ON a.id <> b.id QUALIFY rank <= 5", EMB)
+def c3_knn_of_all(t):
+    """The five nearest of every vector."""
+    return C.knn(vectors(t), vectors(t), 5, drop_self=True)
+
+
+@query(None)
+def c3_cells(t):
+    """Nearest vectors from the nearest cells of an inverted file; tests hold its recall."""
+    return N.Cells(vectors(t), 16).search(vectors(t).filter("id % 50 = 0"), 10, 8, drop_self=True)
+
+
 @query("SELECT query_id, doc_id, score, rank FROM kr", KNN)
 def c3_knn(t):
     return knn_run(t)
@@ -202,6 +215,19 @@ def c1_cleaned_queries(t):
     return M.Ranking(opened(t), I.query_terms(q), K).run
 
 
+@query("SELECT word, doc_id, round(idf * ntf, 6) AS score, rank FROM (SELECT word, doc_id, idf, ntf, (row_number() OVER (PARTITION BY word ORDER BY round(idf * ntf, 6) DESC, doc_id DESC))::INT AS rank FROM (SELECT DISTINCT word, doc_id, idf, ntf FROM m)) WHERE rank <= 10", RUN)
+def c1_word_champions(t):
+    """The ten best documents of each word of the items, a query each: most blocks stay unread."""
+    words = t.benchmark.select(F.explode(T.tokens("text")).alias("word")).distinct()
+    return M.Ranking(opened(t), words.select(F.col("word").alias("query_id"), "word", F.lit(1.0).alias("qtf")), K, prune=True).run.withColumnRenamed("query_id", "word")
+
+
+@query(None)
+def k1_blocks_scored(t):
+    """Of each item: blocks of its words, and those that its ten best documents took."""
+    return M.Ranking(opened(t), terms(t), K, prune=True).share()
+
+
 PARENTS = "par AS (SELECT doc_id, doc_id // 5 AS parent FROM documents),"
 
 
