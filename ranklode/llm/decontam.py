@@ -5,9 +5,12 @@ and its row holds, for every term, the ascending positions of its postings (a po
 the words of the shard). It knows nothing of any benchmark: it is written once and searched as
 often as needed, without the corpus. The test items are written to the shared folder too, as blocks
 of bounded size; a task that searches some shards reads the blocks one after the other, so neither
-the driver nor a task ever holds the benchmark. For each window of an item a shard starts from the term with the fewest postings there, shifts that list by
+the driver nor a task ever holds the benchmark. A shard looks up each distinct word of a block once,
+which leaves the windows all of whose words it has; each distinct window is searched once,
+however many items repeat it. It starts from the term with the fewest postings in the shard, shifts that list by
 the term's offset, and intersects it with the shifted lists of the other terms, rarest first;
-all windows advance together. What is left are exact phrase matches. Proximity matches relax
+some windows advance together, of no more postings than ``SLICE_SEEDS`` at a time, so that one word
+said over and over takes no more memory than any text. What is left are exact phrase matches. Proximity matches relax
 the offsets to a distance. No text is shuffled and no key is gathered, so common terms, shared
 passages and large groups of copies only cost the shard they are in.
 
@@ -37,8 +40,10 @@ WINDOW = 10
 SHARD_BYTES = 2 << 20
 #: A block of test items has at most so many words (some 30 MB with its windows), or one item.
 BLOCK_WORDS = 400_000
-#: Text of the shards that a task searches while it reads the blocks once.
-TAKE_BYTES = 8 << 20
+#: Text of the shards, or rows, that a task searches while it reads the blocks once.
+TAKE_BYTES = 48 << 20
+#: Windows and seeds that are followed at a time.
+SLICE_WINDOWS, SLICE_SEEDS = 1 << 15, 1 << 20
 INDEX = pa.schema([(k, pa.binary()) for k in ("doc_ids", "nulls", "bounds", "terms", "counts", "positions")])
 INDEX_DDL = "doc_ids binary, nulls binary, bounds binary, terms binary, counts binary, positions binary"
 BLOCKS = pa.schema([("names", pa.list_(pa.string())), ("bounds", pa.binary()), ("terms", pa.binary())])
@@ -123,71 +128,100 @@ class Shard:
         at[at == len(self._keys)] = 0
         return self._keys[at] == key
 
-    def _seeds(self, ranks: np.ndarray, size: np.ndarray):
-        """Windows all of whose terms are here, with the postings of their rarest terms."""
-        width = ranks.shape[1]
-        real = np.arange(width) < size[:, None]
-        win = np.flatnonzero((ranks >= 0).all(1, where=real) & (size > 0))
-        df = np.where(real[win], self.counts[np.maximum(ranks[win], 0)] if len(self.counts) else 0, 1 << 40)
-        order = np.argsort(df, axis=1, kind="stable")  # of each window: places, rarest term first
-        rare = ranks[win, order[:, 0]] if len(win) else np.zeros(0, np.int64)
-        count = self.counts[rare] if len(win) else np.zeros(0, np.int64)
-        who = np.repeat(np.arange(len(win)), count)
-        place = self.positions[K.ranges(self.first[rare] if len(win) else rare, count)].astype(np.int64)
-        return win, order, who, place
-
-    def phrases(self, terms: np.ndarray, size: np.ndarray):
-        """(window, position) of each exact occurrence within one document."""
-        ranks = self.ranks(terms)
-        win, order, who, place = self._seeds(ranks, size)
-        start = place - order[who, 0]
-        text = np.searchsorted(self.bounds, place, side="right") - 1
-        ok = (start >= self.bounds[text]) & (start + size[win[who]] <= self.bounds[text + 1])
-        who, start = who[ok], start[ok]
-        for k in range(1, terms.shape[1]):
-            todo = k < size[win[who]]
-            at = order[who, k]
-            keep = ~todo
-            keep[todo] = self.has(ranks[win[who[todo]], at[todo]], start[todo] + at[todo])
-            who, start = who[keep], start[keep]
-            if not len(who):
-                break
-        return win[who], start
-
-    def close(self, terms: np.ndarray, size: np.ndarray, distance: int):
+    def _slices(self, test: Items):
+        """Windows all of whose terms are here, in slices of bounded numbers of windows and seeds:
+        (windows, their terms' ranks, places of their terms from rarest to most common, which
+        window each seed is of, and its position)."""
+        rank = self.ranks(test.vocabulary)[test.words]
+        have = np.r_[0, np.cumsum(rank >= 0)]
+        every = np.flatnonzero(have[test.start + test.size] - have[test.start] == test.size)
+        width = np.arange(test.window)
+        for at in range(0, len(every), SLICE_WINDOWS):
+            win = every[at : at + SLICE_WINDOWS]
+            size = test.size[win][:, None]
+            ranks = rank[test.start[win][:, None] + np.minimum(width, size - 1)]
+            df = np.where(width < size, self.counts[ranks], 1 << 40)
+            order = np.argsort(df, axis=1, kind="stable")
+            rare = np.take_along_axis(ranks, order[:, :1], axis=1)[:, 0]
+            upto = np.cumsum(self.counts[rare])
+            i = 0
+            while i < len(win):
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SLICE_SEEDS, side="right")))
+                count = self.counts[rare[i:j]]
+                place = self.positions[K.ranges(self.first[rare[i:j]], count)].astype(np.int64)
+                yield win[i:j], ranks[i:j], order[i:j], np.repeat(np.arange(j - i), count), place
+                i = j
+
+    def phrases(self, test: Items):
+        """(window, position) of each exact occurrence within one document, slice by slice."""
+        for win, ranks, order, who, place in self._slices(test):
+            start = place - order[who, 0]
+            text = np.searchsorted(self.bounds, place, side="right") - 1
+            ok = (start >= self.bounds[text]) & (start + test.size[win[who]] <= self.bounds[text + 1])
+            who, start = who[ok], start[ok]
+            for k in range(1, test.window):
+                if not len(who):
+                    break
+                todo = k < test.size[win[who]]
+                at = order[who, k]
+                keep = ~todo
+                keep[todo] = self.has(ranks[who[todo], at[todo]], start[todo] + at[todo])
+                who, start = who[keep], start[keep]
+            if len(who):
+                yield win[who], start
+
+    def close(self, test: Items, distance: int):
         """(window, position of its rarest term) where all its terms come within ``distance``
         words of that position, in one document."""
-        ranks = self.ranks(terms)
-        win, order, who, place = self._seeds(ranks, size)
-        keep = np.ones(len(who), bool)
-        text = np.searchsorted(self.bounds, place, side="right") - 1
-        for k in range(1, terms.shape[1]):
-            todo = np.flatnonzero(keep & (k < size[win[who]]))
-            if not len(todo):
-                break
-            rank = ranks[win[who[todo]], order[who[todo], k]]
-            lo = np.maximum(place[todo] - distance, self.bounds[text[todo]])
-            hi = np.minimum(place[todo] + distance, self.bounds[text[todo] + 1] - 1)
-            self.has(rank[:1], lo[:1])
-            base = rank.astype(np.int64) << 32
-            keep[todo] = np.searchsorted(self._keys, base | hi, side="right") > np.searchsorted(self._keys, base | lo)
-        return win[who[keep]], place[keep]
+        for win, ranks, order, who, place in self._slices(test):
+            keep = np.ones(len(who), bool)
+            text = np.searchsorted(self.bounds, place, side="right") - 1
+            for k in range(1, test.window):
+                todo = np.flatnonzero(keep & (k < test.size[win[who]]))
+                if not len(todo):
+                    break
+                rank = ranks[who[todo], order[who[todo], k]]
+                lo = np.maximum(place[todo] - distance, self.bounds[text[todo]])
+                hi = np.minimum(place[todo] + distance, self.bounds[text[todo] + 1] - 1)
+                self.has(rank[:1], lo[:1])
+                base = rank.astype(np.int64) << 32
+                keep[todo] = np.searchsorted(self._keys, base | hi, side="right") > np.searchsorted(self._keys, base | lo)
+            if keep.any():
+                yield win[who[keep]], place[keep]
 
 
 class Items:
-    """Windows of a block of test items."""
+    """The distinct windows of a block of test items, and which items have each. A window is some
+    places of the block's words; a shard looks up each distinct word of the block once."""
 
     def __init__(self, names: list, bounds: np.ndarray, terms: np.ndarray, window: int):
+        self.names, self.window = names, window
+        self.vocabulary, self.words = np.unique(terms, return_inverse=True)
         n = np.diff(bounds)
         size = np.minimum(n, window)
         count = np.where(n > 0, n - size + 1, 0)
-        self.item = np.repeat(np.arange(len(n)), count)
-        start = K.ranges(bounds[:-1], count)
-        self.size = size[self.item]
-        at = start[:, None] + np.arange(window)
-        at = np.where(np.arange(window) < self.size[:, None], at, start[:, None])
-        self.terms = terms[at] if len(start) else np.zeros((0, window), K.U64)
-        self.names = names
+        item, start = np.repeat(np.arange(len(n)), count), K.ranges(bounds[:-1], count)
+        size = size[item]
+        key = np.zeros((len(start), 2), K.U64)
+        for length in np.unique(size):
+            at = np.flatnonzero(size == length)
+            for side, base in enumerate((K.GRAM1, K.GRAM2)):
+                key[at, side] = K.mix(K.grams(terms, int(length), base), int(length))[start[at]]
+        order = np.lexsort((item, key[:, 1], key[:, 0]))
+        key, item = key[order], item[order]
+        head = np.ones(len(order), bool)
+        head[1:] = (key[1:] != key[:-1]).any(1)
+        self.start, self.size = start[order][head], size[order][head]
+        # Of window w: owners[first[w]:first[w + 1]], each item once.
+        which = np.cumsum(head) - 1
+        once = head.copy()
+        once[1:] |= item[1:] != item[:-1]
+        self.owners, self.first = item[once], np.searchsorted(which[once], np.arange(len(self.start) + 1))
+
+    def items_of(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the windows, item) of each."""
+        count = self.first[windows + 1] - self.first[windows]
+        return np.repeat(np.arange(len(windows)), count), self.owners[K.ranges(self.first[windows], count)]
 
 
 def _pieces(batches):
@@ -244,12 +278,12 @@ def _blocks(path: str, window: int):
 
 
 def _taken(batches):
-    """Shards in lists of about TAKE_BYTES."""
+    """Shards in lists of about TAKE_BYTES of text (six bytes a word)."""
     shards, size = [], 0
     for b in batches:
         for row in b.to_pylist():
             shards.append(Shard(row))
-            size += 4 * len(shards[-1].positions)
+            size += 6 * len(shards[-1].positions)
             if size >= TAKE_BYTES:
                 yield shards
                 shards, size = [], 0
@@ -257,31 +291,36 @@ def _taken(batches):
         yield shards
 
 
+def _judged(shards: list[Shard], blocks):
+    """Rows of HITS of some shards, after one pass over the blocks."""
+    hits = [np.zeros(int(s.bounds[-1]) + 1, np.int64) for s in shards]
+    found: list[list[set[str]]] = [[set() for _ in s.ids] for s in shards]
+    for test in blocks:
+        for shard, hit, names in zip(shards, hits, found, strict=True):
+            for win, start in shard.phrases(test):
+                hit += np.bincount(start, minlength=len(hit)) - np.bincount(start + test.size[win], minlength=len(hit))
+                doc, w = np.unique(np.stack([np.searchsorted(shard.bounds, start, side="right") - 1, win]), axis=1)
+                at, item = test.items_of(w)
+                for d, i in np.unique(np.stack([doc[at], item]), axis=1).T.tolist():
+                    if test.names[i] is not None:
+                        names[d].add(test.names[i])
+    none = hashlib.sha256(b"").hexdigest()
+    for shard, hit, names in zip(shards, hits, found, strict=True):
+        n_hit = K.sums(np.cumsum(hit)[:-1] > 0, shard.bounds)
+        digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() if x else none for x in names]
+        yield pa.RecordBatch.from_arrays(
+            [K.id_array(shard.ids, shard.nulls), pa.array(np.diff(shard.bounds)), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0)],
+            schema=HITS,
+        )
+
+
 def search(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each indexed document."""
     path = write_items(items)
 
     def look(batches):
         for shards in _taken(batches):
-            hits = [np.zeros(int(s.bounds[-1]) + 1, np.int64) for s in shards]
-            found: list[list[set[str]]] = [[set() for _ in s.ids] for s in shards]
-            for test in _blocks(path, window):
-                for shard, hit, names in zip(shards, hits, found, strict=True):
-                    win, start = shard.phrases(test.terms, test.size)
-                    np.add.at(hit, start, 1)
-                    np.add.at(hit, start + test.size[win], -1)
-                    pairs = np.unique(np.stack([np.searchsorted(shard.bounds, start, side="right") - 1, test.item[win]]), axis=1)
-                    for d, i in pairs.T.tolist():
-                        if test.names[i] is not None:
-                            names[d].add(test.names[i])
-            none = hashlib.sha256(b"").hexdigest()
-            for shard, hit, names in zip(shards, hits, found, strict=True):
-                n_hit = K.sums(np.cumsum(hit)[:-1] > 0, shard.bounds)
-                digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() if x else none for x in names]
-                yield pa.RecordBatch.from_arrays(
-                    [K.id_array(shard.ids, shard.nulls), pa.array(np.diff(shard.bounds)), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(digest, pa.string()), pa.array(n_hit > 0)],
-                    schema=HITS,
-                )
+            yield from _judged(shards, _blocks(path, window))
 
     return index.mapInArrow(look, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
@@ -295,10 +334,12 @@ def proximity(index: DataFrame, items: DataFrame, distance: int, window: int = W
         for shards in _taken(batches):
             for test in _blocks(path, window):
                 for shard in shards:
-                    win, place = shard.close(test.terms, test.size, distance)
-                    text = np.searchsorted(shard.bounds, place, side="right") - 1
-                    got = np.unique(np.stack([text, test.item[win], place - shard.bounds[text]]), axis=1)
-                    yield pa.RecordBatch.from_arrays([K.id_array(shard.ids[got[0]], shard.nulls[got[0]]), pa.array([test.names[i] for i in got[1].tolist()], pa.string()), pa.array(got[2], pa.int64())], names=["doc_id", "item_id", "position"])
+                    for win, place in shard.close(test, distance):
+                        at, item = test.items_of(win)
+                        place = place[at]
+                        text = np.searchsorted(shard.bounds, place, side="right") - 1
+                        got = np.unique(np.stack([text, item, place - shard.bounds[text]]), axis=1)
+                        yield pa.RecordBatch.from_arrays([K.id_array(shard.ids[got[0]], shard.nulls[got[0]]), pa.array([test.names[i] for i in got[1].tolist()], pa.string()), pa.array(got[2], pa.int64())], names=["doc_id", "item_id", "position"])
 
     return index.mapInArrow(look, "doc_id long, item_id string, position long").distinct()
 
@@ -322,17 +363,37 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
-            t = K.texts(b.column(at).cast(pa.string()))
-            keep = np.ones(b.num_rows, bool)
-            shards = []
-            for i, j in K.slices(t.offsets, SHARD_BYTES):
-                a = t.offsets[i]
-                shards.append((i, Shard(_postings(np.arange(i, j), np.zeros(j - i, bool), K.Texts(t.data[a : t.offsets[j]], t.offsets[i : j + 1] - a)))))
-            for test in _blocks(path, window):
-                for i, shard in shards:
-                    _, start = shard.phrases(test.terms, test.size)
-                    keep[i + np.searchsorted(shard.bounds, start, side="right") - 1] = False
-            yield b.filter(pa.array(keep))
+        for some in _gathered(batches, at):
+            yield from _kept(some, at, _blocks(path, window))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _gathered(batches, at: int):
+    """Batches in lists of about TAKE_BYTES of the text column."""
+    some, size = [], 0
+    for b in batches:
+        some.append(b)
+        size += b.column(at).nbytes
+        if size >= TAKE_BYTES:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def _kept(some: list[pa.RecordBatch], at: int, blocks):
+    """The batches without the rows that a window occurs in, after one pass over the blocks."""
+    keep = [np.ones(b.num_rows, bool) for b in some]
+    shards = []
+    for b, kept in zip(some, keep, strict=True):
+        t = K.texts(b.column(at).cast(pa.string()))
+        for i, j in K.slices(t.offsets, SHARD_BYTES):
+            a = t.offsets[i]
+            shards.append((kept[i:j], Shard(_postings(np.arange(i, j), np.zeros(j - i, bool), K.Texts(t.data[a : t.offsets[j]], t.offsets[i : j + 1] - a)))))
+    for test in blocks:
+        for kept, shard in shards:
+            for _, start in shard.phrases(test):
+                kept[np.searchsorted(shard.bounds, start, side="right") - 1] = False
+    for b, kept in zip(some, keep, strict=True):
+        yield b.filter(pa.array(kept))
