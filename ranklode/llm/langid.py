@@ -7,10 +7,11 @@ vectors and a language's prototype the bundle of its documents' unit vectors. Th
 is the prototype of greatest cosine; the mean of all prototypes is taken off first, as what all
 languages share says nothing.
 
-Texts that are null or hold no letter are ``und`` with score 0. Ties go to the language first
+Texts that are null or hold no letter are ``und`` with score 0 (a learned language of that name
+can only be told from it by the score). Ties, cosines that differ by less than ``TIE``, go to the language first
 by code point. Labels that are null teach nothing; with no labelled text at all every prediction
 is ``und``. Every labelled document is learned from, in sums of one vector for each language and
-task. Rows are judged one by one, so repeats and null ids need no care; a null doc_id counts as
+task, which are added in two steps: no task adds more than some ``PARTS``-th of them. Rows are judged one by one, so repeats and null ids need no care; a null doc_id counts as
 the text "null" for the split. Empty tables give empty results; extra columns are ignored.
 """
 
@@ -20,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,10 @@ BLOCK = 2048
 #: Prototypes are held on the driver and in each task: at most so many languages (4 MB).
 MOST_LANGUAGES = 1000
 END = 0x20
+#: Cosines are sums of floats: so near they count as equal.
+TIE = 1e-6
+#: Into so many parts the sums of a language are dealt before they meet.
+PARTS = 1000
 
 
 @lru_cache(maxsize=1 << 16)
@@ -127,14 +133,15 @@ def train(labelled: DataFrame, dimension: int = DIMENSION) -> dict[str, np.ndarr
                     total.setdefault(lang, np.zeros(dimension))
                     total[lang] += v[rows].sum(0, dtype=np.float64)
         langs = sorted(total)
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([K.blob(total[x]) for x in langs], pa.binary())], names=["lang", "v"])
+        part = TaskContext.get().partitionId() % PARTS
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([part] * len(langs), pa.int32()), pa.array([K.blob(total[x]) for x in langs], pa.binary())], names=["lang", "part", "v"])
 
     def add(key, table):
         v = np.sum([np.frombuffer(x, np.float64) for x in table.column("v").to_pylist()], axis=0)
         return pa.table([pa.array([key[0].as_py()]), pa.array([K.blob(v)], pa.binary())], names=["lang", "v"])
 
     narrow = labelled.filter("lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    got = narrow.mapInArrow(sums, "lang string, v binary").groupBy("lang").applyInArrow(add, "lang string, v binary").limit(MOST_LANGUAGES + 1).toArrow()
+    got = narrow.mapInArrow(sums, "lang string, part int, v binary").groupBy("lang", "part").applyInArrow(add, "lang string, v binary").groupBy("lang").applyInArrow(add, "lang string, v binary").limit(MOST_LANGUAGES + 1).toArrow()
     if got.num_rows > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     out = {k: np.frombuffer(v, np.float64) for k, v in zip(got.column("lang").to_pylist(), got.column("v").to_pylist(), strict=True)}
@@ -164,7 +171,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *carry: str) ->
                 v = v - mean
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
                 cos = v @ centred.T if names else np.zeros((j - i, 1))
-                best = cos.argmax(1)
+                best = (cos >= cos.max(1, keepdims=True) - TIE).argmax(1)
                 lang += [names[k] if ok else "und" for k, ok in zip(best, some, strict=True)]
                 score += np.where(some, np.clip(cos[np.arange(j - i), best], 0, 1), 0).astype(float).tolist()
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*carry, "lang_pred", "score"])
