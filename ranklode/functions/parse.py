@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ranklode.functions import text as T
+from ranklode.functions.html import page as parsed_page
+from ranklode.functions.stem import stems
 from ranklode.functions.text import col
 
 #: Suffix rules of the light stemmer, in order, over a text of a-z, 0-9 and single blanks.
@@ -45,6 +47,11 @@ def stemmed(c, stop: list[str] = ()) -> Column:
     return x
 
 
+def porter_stemmed(c, stop: list[str] = ()) -> Column:
+    """The stems of a text's words by Porter's steps; stop words go before."""
+    return F.array_join(stems(F.split(without(clean_latin(c), [w.lower() for w in stop]), " ")), " ")
+
+
 LEMMATIZERS: dict[str, Callable[[], Callable[[list[str]], list[str]]]] = {}
 
 
@@ -113,7 +120,8 @@ def html_document(body, content_type, most: int = MOST_CHARS) -> Column:
     x = F.substring(F.make_valid_utf8(col(body).cast("string")), 1, most)
     kind, none = col(content_type), F.lit("")
     html = kind.isin(*HTML_TYPES)
-    return F.struct(F.when(html, T.strip_html(x)).when(kind == PLAIN_TYPE, x).otherwise(none).alias("body"), F.when(html, T.html_title(x)).otherwise(none).alias("title"))
+    page = F.when(html, parsed_page(F.when(html, x)))
+    return F.struct(F.when(html, page["text"]).when(kind == PLAIN_TYPE, x).otherwise(none).alias("body"), F.when(html, page["title"]).otherwise(none).alias("title"))
 
 
 def charset(headers) -> Column:

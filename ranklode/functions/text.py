@@ -126,6 +126,43 @@ def normalize_url(c) -> Column:
     return F.regexp_replace(x, "^([a-zA-Z]+://[^/]+)/$", "$1")
 
 
+def _url_part(c, k: int) -> Column:
+    """Scheme, authority, path, query or fragment (2, 4, 5, 7, 9), the last three with nothing before."""
+    return F.regexp_extract(col(c), r"^(([a-zA-Z][a-zA-Z0-9+.-]*):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?", k)
+
+
+def without_dots(path) -> Column:
+    """A path with its . and .. segments carried out."""
+    x = col(path)
+    parts = F.split(F.regexp_replace(x, "^/", ""), "/", -1)
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(parts, none, lambda a, p: F.when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(p == ".", a).otherwise(F.concat(a, F.array(p))))
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.when(x.startswith("/"), "/").otherwise(""), F.array_join(kept, "/"))
+
+
+def resolved_url(ref, base) -> Column:
+    """A reference within a page at an absolute URL, by the rules of RFC 3986."""
+    ref, base = F.trim(col(ref)), col(base)
+    scheme, host, path = (_url_part(ref, k) for k in (2, 4, 5))
+    has_host, has_query = ref.rlike("^([a-zA-Z][a-zA-Z0-9+.-]*:)?//"), ref.rlike(r"^[^#]*\?")
+    base_path, base_host = _url_part(base, 5), base.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://")
+    merged = F.when(base_host & (base_path == ""), F.concat(F.lit("/"), path)).otherwise(F.concat(F.regexp_extract(base_path, "^(.*/)?", 0), path))
+    own = (scheme != "") | has_host
+    to_path = F.when(own | path.startswith("/"), without_dots(path)).when(path == "", base_path).otherwise(without_dots(merged))
+    query = F.when(has_query, _url_part(ref, 6)).when(~own & (path == ""), _url_part(base, 6)).otherwise("")
+    to_scheme = F.when(scheme != "", _url_part(ref, 1)).otherwise(_url_part(base, 1))
+    to_host = F.when(own, _url_part(ref, 3)).otherwise(_url_part(base, 3))
+    return F.concat(to_scheme, to_host, to_path, query, _url_part(ref, 8))
+
+
+def url_words(c) -> Column:
+    """The words of a URL's host and path, lower-cased; what is escaped is decoded."""
+    x = normalize_url(c)
+    x = F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
+    return F.array_remove(F.split(F.lower(F.regexp_replace(x, "^[a-zA-Z][a-zA-Z0-9+.-]*://(www\\.)?", "")), r"[^\p{L}\p{N}]+"), "")
+
+
 #: Coarse classes of Penn part-of-speech tags; tags may be in lower case as well.
 POS_CLASS = {
     "JJ": "A", "JJR": "A", "JJS": "A",
@@ -143,15 +180,11 @@ def pos_class(c) -> Column:
 
 
 def strip_html(c) -> Column:
-    """Text of a page: scripts, styles and comments dropped, block tags to line ends, other tags
-    to nothing, common entities decoded."""
-    x = F.regexp_replace(col(c), "(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    x = F.regexp_replace(x, "(?s)<!--.*?-->", " ")
-    x = F.regexp_replace(x, "(?is)<title[^>]*>.*?</title>", " ")
-    x = F.regexp_replace(x, "(?i)</?(p|div|br|li|ul|ol|h[1-6]|table|tr|td|article|nav|section)[^>]*>", "\n")
-    x = decode_entities(F.regexp_replace(x, "<[^>]*>", ""))
-    x = F.regexp_replace(x, "[ \\t\\u00A0]+", " ")
-    return F.trim(F.regexp_replace(x, " ?\\n[ \\n]*", "\n"))
+    """Text of a page: scripts, styles, comments and the title dropped, block tags to line ends, other
+    tags to nothing, references decoded (see ``html``)."""
+    from ranklode.functions.html import page
+
+    return page(c)["text"]
 
 
 def decode_entities(x: Column) -> Column:
@@ -161,14 +194,16 @@ def decode_entities(x: Column) -> Column:
 
 
 def html_title(c) -> Column:
-    return F.trim(decode_entities(F.regexp_extract(col(c), "(?is)<title[^>]*>(.*?)</title>", 1)))
+    from ranklode.functions.html import page
+
+    return page(c)["title"]
 
 
 def html_links(c) -> Column:
-    """Array of (href, anchor text)."""
-    pattern = F.lit("(?is)<a [^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>")
-    href, text = F.regexp_extract_all(col(c), pattern, F.lit(1)), F.regexp_extract_all(col(c), pattern, F.lit(2))
-    return F.arrays_zip(href.alias("href"), F.transform(text, lambda t: F.trim(F.regexp_replace(t, "<[^>]*>", ""))).alias("text"))
+    """Array of (href, anchor text): any quotes, references decoded, frames too."""
+    from ranklode.functions.html import page
+
+    return page(c)["links"]
 
 
 def anchor_text(c) -> Column:

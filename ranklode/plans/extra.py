@@ -18,7 +18,7 @@ from ranklode.operators import scoring, stages
 from ranklode.operators import tranmodel as M
 from ranklode.plans.learning import FEATS, GROUPS, TREES, feature_rows, groups
 from ranklode.plans.more import SOFT
-from ranklode.plans.preparation import BITEXT, RESCALED, W, bitext
+from ranklode.plans.preparation import BITEXT, LINK, RESCALED, WHOLE, W, bitext, entities
 from ranklode.plans.registry import SQL, query
 from ranklode.plans.retrieval import DOCS, EMB, EVAL, KNN, LG, L, NORM, QRELS, RUN, TERMS, WT, index, line_grades, line_run, qrels, rounded, run, terms, vectors, weighed
 from ranklode.session import shared_dir
@@ -48,6 +48,11 @@ def t12_lemmas(t):
     return x.select("doc_id", "p.lemmas", "p.tokens")
 
 
+@query(None)
+def t11_porter_stems(t):
+    return t.documents.select("doc_id", P.porter_stemmed("text", ["the", "of", "and"]).alias("stems"))
+
+
 @query(None)
 def t15_subwords(t):
     return t.benchmark.select("item_id", P.subwords("text", "/opt/tokenizers/piece_bpe_32k.model").alias("pieces"))
@@ -57,9 +62,10 @@ _HTML = SQL["t16_html_text"].split("SELECT page_id, ", 1)[1].rsplit(" AS text FR
 _TITLE = SQL["t16_html_title_links"].split("SELECT page_id, ", 1)[1].split(" AS title", 1)[0].replace("regexp_extract(html,", "regexp_extract(substring(html, 1, 32768),")
 
 
-@query(f"SELECT page_id, CASE page_id % 3 WHEN 0 THEN {_HTML} WHEN 1 THEN substring(html, 1, 32768) ELSE '' END AS body, CASE page_id % 3 WHEN 0 THEN {_TITLE} ELSE '' END AS title FROM pages")
+@query(f"SELECT page_id, CASE WHEN html LIKE '<%' THEN {_HTML} ELSE substring(html, 1, 32768) END AS body, CASE WHEN html LIKE '<%' THEN {_TITLE} ELSE '' END AS title FROM pages")
 def t17_html_documents(t):
-    kind = F.element_at(F.array(*map(F.lit, ("text/html", "text/plain", "image/png"))), (F.col("page_id") % 3 + 1).cast("int"))
+    """What begins with a tag is HTML, anything else plain text."""
+    kind = F.when(F.col("html").startswith("<"), "text/html").otherwise("text/plain")
     x = t.pages.select("page_id", P.html_document(F.col("html").cast("binary"), kind).alias("d"))
     return x.select("page_id", "d.body", "d.title")
 
@@ -105,7 +111,7 @@ def t9_spaces(t):
     return t.documents.select("doc_id", T.newlines_to_spaces("text").alias("one_line"), T.tabs_to_spaces("text").alias("no_tabs"))
 
 
-@query(r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '(?is)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g'))), ' ') AS anchors FROM pages""")
+@query(f"SELECT page_id, array_to_string(list_transform(regexp_extract_all({WHOLE}, '{LINK}', 2), lambda x: trim({entities('x')})), ' ') AS anchors FROM pages".replace("trim(regexp_replace(", "trim(regexp_replace(", 1))
 def t19_anchor_text(t):
     return t.pages.select("page_id", T.anchor_text("html").alias("anchors"))
 

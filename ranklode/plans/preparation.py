@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ranklode.functions import html as H
 from ranklode.functions import text as T
 from ranklode.operators import features as X
 from ranklode.operators import index as I
@@ -76,26 +77,52 @@ def t18_normalized_url(t):
     return t.pages.select("page_id", T.normalize_url("url").alias("url"))
 
 
-@query(r"""SELECT page_id, trim(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS title,
- len(regexp_extract_all(html, '(?is)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1))::INT AS links FROM pages""")
+def entities(x: str) -> str:
+    """SQL: the references that pages have, decoded; the last letters of a page may be cut off."""
+    for name, value in (("copy", "chr(169)"), ("middot", "chr(183)"), ("nbsp", "' '"), ("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("amp", "'&'")):
+        x = f"regexp_replace({x}, '&{name};?', {value}, 'g')"
+    return x
+
+
+#: Without the tag that a page which is cut off ends with.
+WHOLE = "regexp_replace(html, '<[a-zA-Z/!][^>]*$', '')"
+LINK = '(?is)<a [^>]*href="([^"]*)"[^>]*>(.*?)(?:</a>|$)'
+
+
+@query(f"""SELECT page_id, trim({entities("regexp_extract(html, '(?is)<title[^>]*>(.*?)(?:</title>|$)', 1)")}) AS title,
+ len(regexp_extract_all({WHOLE}, '{LINK}', 1))::INT AS links FROM pages""")
 def t16_html_title_links(t):
-    return t.pages.select("page_id", T.html_title("html").alias("title"), F.size(T.html_links("html")).alias("links"))
+    return t.pages.select("page_id", H.page("html").alias("p")).select("page_id", "p.title", F.size("p.links").alias("links"))
+
 
+TAGLESS = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({WHOLE}, '(?is)<(script|style)[^>]*>.*?(</(script|style)>|$)', ' ', 'g'), '(?s)<!--.*?(-->|$)', ' ', 'g'), '(?is)<title[^>]*>.*?(</title>|$)', ' ', 'g'),
+ '(?i)</?(p|div|br|li|ul|ol|h[1-6]|table|tr|td|article|nav|section|footer|main|header)(\\s[^>]*)?>', chr(10), 'g'), '<[a-zA-Z/!][^>]*>', '', 'g')"""
+TEXT = f"trim(regexp_replace(regexp_replace({entities(TAGLESS)}, '[ \\t\\x{{A0}}]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ')".replace("\\\\", "\\")
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(
- regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?is)<title[^>]*>.*?</title>', ' ', 'g'),
- '(?i)</?(p|div|br|li|ul|ol|h[1-6]|table|tr|td|article|nav|section)[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'),
- '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ \t\x{A0}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ') AS text FROM pages""")
+
+@query(f"SELECT page_id, {TEXT} AS text FROM pages")
 def t16_html_text(t):
     return t.pages.select("page_id", T.strip_html("html").alias("text"))
 
 
-@query(r"""SELECT href, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href FROM pages) GROUP BY href""")
+@query(f"SELECT href, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, {entities('unnest(regexp_extract_all(' + WHOLE + ', ' + repr(LINK) + ', 1))')} AS href FROM pages) GROUP BY href")
 def t19_link_targets(t):
     links = t.pages.select("page_id", F.explode(T.html_links("html")).alias("a"))
     return links.groupBy(F.col("a.href").alias("href")).agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
 
 
+@query(f"SELECT page_id, host || href AS target, count(*) AS n FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS host, {entities('unnest(regexp_extract_all(' + WHOLE + ', ' + repr(LINK) + ', 1))')} AS href FROM pages) GROUP BY ALL")
+def t18_resolved_links(t):
+    """Where the links of a page lead: relative ones by the page's own URL, or its base's."""
+    x = t.pages.select("page_id", "url", H.page("html").alias("p")).select("page_id", F.coalesce(T.resolved_url("p.base", "url"), "url").alias("at"), F.explode("p.links").alias("a"))
+    return x.groupBy("page_id", T.resolved_url("a.href", "at").alias("target")).agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT page_id, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://(www\.)?', '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM pages".replace("\\\\", "\\"))
+def t18_url_words(t):
+    return t.pages.select("page_id", T.url_words("url").alias("words"))
+
+
 @query(f"SELECT doc_id, array_to_string({W('text')}[1:20], ' ') AS head, substring(text, 1, 100) AS chars FROM documents")
 def p16_truncated(t):
     return t.documents.select("doc_id", T.truncate_words("text", 20).alias("head"), T.truncate_chars("text", 100).alias("chars"))
@@ -145,8 +172,9 @@ def a9_collection_statistics(t):
 
 @query("SELECT round(quantile_cont(n_chars, 0.1), 6) AS q10, round(quantile_cont(n_chars, 0.5), 6) AS q50, round(quantile_cont(n_chars, 0.9), 6) AS q90, max(n_chars) AS top FROM documents")
 def a11_quantiles(t):
-    q = t.documents.agg(F.percentile("n_chars", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"), F.max("n_chars").alias("top"))
-    return rounded(q.select(F.col("q")[0].alias("q10"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q90"), "top"), "q10", "q50", "q90")
+    q = S.quantiles(t.documents, "n_chars", (0.1, 0.5, 0.9))
+    each = [F.max(F.when(F.col("quantile") == x, F.col("value"))).alias(f"q{int(100 * x)}") for x in (0.1, 0.5, 0.9)]
+    return rounded(q.agg(*each).crossJoin(t.documents.agg(F.max("n_chars").alias("top"))), "q10", "q50", "q90")
 
 
 @query("SELECT lang, arg_max(doc_id, n_chars * 1000000 + doc_id) AS best FROM documents GROUP BY lang")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ranklode import session
-from ranklode.operators import candidates, containment, impact, index, nearest
+from ranklode.operators import candidates, containment, impact, index, nearest, sampling, tranmodel
 from ranklode.session import shared_dir
 
 
@@ -167,3 +167,32 @@ def test_broadcasts_by_what_rows_are(spark, monkeypatch):
     assert not hinted(session.bounded(many)) and hinted(session.bounded(many.select("id")))
     monkeypatch.setattr(session, "BROADCAST_BYTES", 10)
     assert not hinted(session.bounded(many.select("id")))
+
+
+@pytest.mark.parametrize("sizes", [(1024, 4096), (3, 2)])
+def test_quantiles(spark, sizes, monkeypatch):
+    monkeypatch.setattr(sampling, "BRACKETS", sizes[0])
+    monkeypatch.setattr(sampling, "FEW_VALUES", sizes[1])
+    r = random.Random(8)
+    at = (0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0)
+    for values in ([r.gauss(0, 1) ** 3 for _ in range(300)], [7.0] * 200 + [1.0, 9.0], [1e308, -1e308, 0.0, 5e-324], [3.0], [float("-inf"), float("inf"), 1.0, 2.0, 2.0]):
+        df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double").repartition(3)
+        got = {x.quantile: x.value for x in sampling.quantiles(df, "v", at).collect()}
+        s = sorted(values)
+        for q in at:
+            p = q * (len(s) - 1)
+            a, b = s[int(p)], s[-int(-p // 1)]
+            assert got[q] == (a if a == b else a + (b - a) * (p - int(p))) or (got[q] != got[q]), (q, values[:3])
+    assert {x.value for x in sampling.quantiles(df.limit(0), "v", at).collect()} == {None}
+
+
+def test_word_pairs_of_long_turns(spark, monkeypatch):
+    """Parts of target words change nothing."""
+    r = random.Random(9)
+    say = lambda n: [r.choice("abcdefghij") for _ in range(n)]
+    df = spark.createDataFrame([(k, say(r.randint(1, 9)), say(r.randint(1, 30))) for k in range(30)], "pair long, src array<string>, dst array<string>")
+    want = {(x.src, x.dst): x.p for x in tranmodel.train(df, 3).collect()}
+    monkeypatch.setattr(tranmodel, "PART_WORDS", 4)
+    got = {(x.src, x.dst): x.p for x in tranmodel.train(df, 3).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert abs(sum(p for (src, _), p in got.items() if src == "a") - 1) < 1e-9
