@@ -13,6 +13,7 @@ from ranklode.operators import evaluate as E
 from ranklode.operators import features as X
 from ranklode.operators import index as I
 from ranklode.operators import ltr as R
+from ranklode.operators import matching as D
 from ranklode.operators import sampling as S
 from ranklode.operators import scoring, stages
 from ranklode.operators import tranmodel as M
@@ -20,8 +21,8 @@ from ranklode.plans.learning import FEATS, GROUPS, TREES, feature_rows, groups
 from ranklode.plans.more import SOFT
 from ranklode.plans.preparation import BITEXT, LINK, RESCALED, WHOLE, W, bitext, entities
 from ranklode.plans.registry import SQL, query
-from ranklode.plans.retrieval import DOCS, EMB, EVAL, KNN, LG, L, NORM, QRELS, RUN, TERMS, WT, index, line_grades, line_run, qrels, rounded, run, terms, vectors, weighed
-from ranklode.session import shared_dir
+from ranklode.plans.retrieval import DOCS, EMB, EVAL, KNN, LG, L, NORM, QRELS, RUN, TERMS, WT, index, line_grades, line_run, qrels, query_tokens, rounded, run, terms, vectors, weighed
+from ranklode.session import bounded, shared_dir
 from ranklode.sources import converters, models
 
 # --- parsers and pipelines --------------------------------------------------------------
@@ -361,3 +362,66 @@ def q22_encyclopedia_passages(t):
 def q22_answers(t):
     record = F.concat(F.lit("<document><uri>"), "item_id", F.lit("</uri><subject>"), "text", F.lit("</subject><nbestanswers><answer_item>One</answer_item><answer_item>TWO</answer_item></nbestanswers></document>"))
     return converters.questions(t.benchmark.select(record.alias("value")))[1].select("DOCNO", "text")
+
+
+# --- matches of words by vectors ---------------------------------------------------------
+
+MATCH_SQL = SOFT.split("sm AS")[0] + """
+mm AS (SELECT query_id, doc_id, pos, p.word, tf AS n, round(list_cosine_similarity(qv.v, dv.v), 9) AS sim FROM run JOIN qpos USING (query_id) JOIN wv qv USING (word) JOIN post p USING (doc_id) JOIN wv dv ON dv.word = p.word),
+"""
+
+
+def match_vectors(t, of):
+    """Vectors of the queries' words, made of what the table says of them."""
+    v = of.idx.vocab.join(of.terms.select("word").distinct(), "word", "left_semi")
+    return v.select("word", F.array(F.log1p(F.length("word")), 1.0 / (1 + F.col("df")), F.ascii("word") / 100.0).alias("v"))
+
+
+def matched(t, of=None):
+    of = of or weighed(t)
+    return D.matches(of.pairs, query_tokens(t), of.postings, match_vectors(t, of), sim=lambda a, b: F.round(V.cosine(a, b), 9))
+
+
+@query("SELECT query_id, doc_id, [" + ", ".join(f"round(k{k}, 4)" for k in range(11)) + "] AS kernels FROM (SELECT query_id, doc_id, " + ", ".join(f"sum(ln(k{k} + 1e-6::DOUBLE)) AS k{k}" for k in range(11))
+ + " FROM (SELECT query_id, doc_id, pos, " + ", ".join(f"sum(n * exp(-0.5::DOUBLE * ((sim - ({c}::DOUBLE)) / {w}::DOUBLE) * ((sim - ({c}::DOUBLE)) / {w}::DOUBLE))) AS k{k}" for k, (c, w) in enumerate(zip(D.CENTRES, D.WIDTHS, strict=True)))
+ + " FROM mm GROUP BY ALL) GROUP BY query_id, doc_id)", RUN + MATCH_SQL)
+def x14_kernel_pooling(t):
+    return D.kernels(matched(t)).select("query_id", "doc_id", F.transform("kernels", lambda x: F.round(x, 4) + 0.0).alias("kernels"))
+
+
+@query("SELECT query_id, doc_id, pos, [" + ", ".join(f"round(ln(sum(CASE WHEN b = {k} THEN n ELSE 0 END) + 1e-5::DOUBLE), 6)" for k in range(11)) + "] AS histogram FROM (SELECT *, least(floor((sim + 1.000001::DOUBLE) / 2.0::DOUBLE * 10), 10)::INT AS b FROM mm) GROUP BY query_id, doc_id, pos", RUN + MATCH_SQL)
+def x14_match_histograms(t):
+    return D.histograms(matched(t)).select("query_id", "doc_id", F.col("pos").cast("long").alias("pos"), F.transform("histogram", lambda x: F.round(x, 6)).alias("histogram"))
+
+
+@query("""SELECT query_id, doc_id, pos, list_concat(list(sim ORDER BY sim DESC, word, i)[1:4], [0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE])[1:4] AS best FROM (SELECT query_id, doc_id, pos, word, sim, unnest(range(least(n, 4)::BIGINT)) AS i FROM mm) GROUP BY query_id, doc_id, pos""", RUN + MATCH_SQL)
+def x14_best_matches(t):
+    return D.best_matches(matched(t), 4).select("query_id", "doc_id", F.col("pos").cast("long").alias("pos"), "best")
+
+
+_LEXICAL = "(tf / 2.0::DOUBLE) / (tf / 2.0::DOUBLE + greatest(0.0::DOUBLE, 0.75::DOUBLE * doc_len / 100.0::DOUBLE + 0.25::DOUBLE) + 1e-6::DOUBLE) * idf"
+
+
+@query(f"SELECT query_id, doc_id, round(sum(qtf * {_LEXICAL}), 6) AS lexical FROM m SEMI JOIN run USING (query_id, doc_id) GROUP BY ALL", RUN)
+def x15_lexical_weight(t):
+    return rounded(D.lexical(weighed(t).matches(), tf_scale=2.0, length_scale=100.0, weight=0.75, bias=0.25), "lexical")
+
+
+@query(f"SELECT query_id, doc_id, round(sum(0.1::DOUBLE + 0.7::DOUBLE * (best - 0.5::DOUBLE) / sqrt(0.04::DOUBLE + 1e-5::DOUBLE) + 0.3::DOUBLE * (lex - 2.0::DOUBLE) / sqrt(4.0::DOUBLE + 1e-5::DOUBLE)), 6) AS fused FROM (SELECT query_id, doc_id, word, {_LEXICAL} AS lex FROM m SEMI JOIN run USING (query_id, doc_id)) JOIN (SELECT query_id, doc_id, q.word, max(sim) AS best FROM mm JOIN qpos q USING (query_id, pos) GROUP BY ALL) USING (query_id, doc_id, word) GROUP BY query_id, doc_id", RUN + MATCH_SQL)
+def x15_fused_terms(t):
+    """Each common word's lexical weight and its best match, fused by given parameters."""
+    of = weighed(t)
+    lex = of.matches().select("query_id", "doc_id", "word", D.lexical_weight("tf", "doc_len", "idf", 2.0, 100.0, 0.75, 0.25).alias("lex"))
+    near = matched(t, of).drop("word").join(query_tokens(t), ["query_id", "pos"]).groupBy("query_id", "doc_id", "word").agg(F.max("sim").alias("best"))
+    return rounded(D.fused(lex.join(near, ["query_id", "doc_id", "word"]), ["best", "lex"], [0.5, 2.0], [0.04, 4.0], [0.7, 0.3], 0.1), "fused")
+
+
+@query("""SELECT query_id, doc_id, sample, list(word ORDER BY pos) AS dst FROM (SELECT query_id, doc_id, sample, pos, arg_min(word, -ln(greatest(u, 2.0::DOUBLE ** -33)) / w) AS word FROM
+ (SELECT *, ('0x' || substr(md5('0:' || query_id || '/' || doc_id || '/' || pos || '/' || sample || '/' || word), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM
+  (SELECT query_id, doc_id, pos, p.word, sqrt((1 + (1 - greatest(-1.0::DOUBLE, least(1.0::DOUBLE, list_cosine_similarity(qv.v, dv.v))))) * tf) AS w, unnest(range(2))::INT AS sample FROM qrels JOIN qpos USING (query_id) JOIN wv qv USING (word) JOIN post p USING (doc_id) JOIN wv dv ON dv.word = p.word))
+ GROUP BY query_id, doc_id, sample, pos) GROUP BY query_id, doc_id, sample""", RUN + QRELS + SOFT.split("sm AS")[0])
+def m1_sampled_bitext(t):
+    """For each word of an item, a word of the document that holds it, drawn by distance and count."""
+    of, held = weighed(t), qrels(t)
+    docs = I.Index(of.idx.docs.join(bounded(held.select("doc_id").distinct()), "doc_id", "left_semi")).postings
+    return M.sampled(held, query_tokens(t), docs, match_vectors(t, of), 2).select("query_id", "doc_id", "sample", "dst")
