@@ -99,6 +99,30 @@ def rank_boost(df: DataFrame, rounds: int = 300, n_thresholds: int = 10) -> list
     return model
 
 
+#: Pairs of documents whose gradients are held at once.
+PAIRS = 1 << 21
+
+
+def _pairwise(kind: str, s: np.ndarray, g: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+    """Gradient by scores and loss over a query's pairs of different grades, some rows of pairs at a time."""
+    n, step = len(s), max(1, PAIRS // max(len(s), 1))
+    if kind == "lambdarank":
+        place = np.empty(n)
+        place[np.argsort(-s, kind="stable")] = np.arange(1, n + 1)
+        disc = np.where(place <= k, 1 / np.log2(place + 1), 0.0)
+        ideal = max((np.sort(2.0**g - 1)[::-1][:k] / np.log2(np.arange(2, min(n, k) + 2))).sum(), 1e-12)
+    d, loss = np.zeros(n), 0.0
+    for i in range(0, n, step):
+        j = slice(i, i + step)
+        rho = np.where(g[j, None] > g, 1 / (1 + np.exp(np.clip(s[j, None] - s, -500, 500))), 0.0)
+        if kind == "lambdarank":
+            rho *= np.abs((2.0 ** g[j, None] - 2.0**g) * (disc[j, None] - disc)) / ideal
+        d += rho.sum(0)
+        d[j] -= rho.sum(1)
+        loss += float(rho.sum())
+    return d, loss
+
+
 def _gradient(kind: str, w: list[np.ndarray], x: np.ndarray, g: np.ndarray, k: int) -> tuple[list[np.ndarray], float]:
     """Gradient of one query's loss and the loss."""
     hidden = 1 / (1 + np.exp(-(x @ w[0] + w[1]))) if len(w) > 1 else None
@@ -107,15 +131,7 @@ def _gradient(kind: str, w: list[np.ndarray], x: np.ndarray, g: np.ndarray, k: i
         p, q = (np.exp(v - v.max()) / np.exp(v - v.max()).sum() for v in (g, s))
         d, loss = q - p, float(-(p * np.log(np.maximum(q, 1e-300))).sum())
     else:
-        up = g[:, None] > g[None, :]
-        rho = np.where(up, 1 / (1 + np.exp(np.clip(s[:, None] - s[None, :], -500, 500))), 0.0)
-        if kind == "lambdarank":
-            place = np.empty(len(s))
-            place[np.argsort(-s, kind="stable")] = np.arange(1, len(s) + 1)
-            disc = np.where(place <= k, 1 / np.log2(place + 1), 0.0)
-            ideal = (np.sort(2.0**g - 1)[::-1][:k] / np.log2(np.arange(2, min(len(g), k) + 2))).sum()
-            rho = rho * np.abs((2.0 ** g[:, None] - 2.0 ** g[None, :]) * (disc[:, None] - disc[None, :])) / max(ideal, 1e-12)
-        d, loss = rho.sum(0) - rho.sum(1), float(rho.sum())
+        d, loss = _pairwise(kind, s, g, k)
     if len(w) == 1:
         return [(x.T @ d)[:, None]], loss
     back = (d[:, None] * w[2][None, :]) * hidden * (1 - hidden)

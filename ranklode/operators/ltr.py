@@ -10,8 +10,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ranklode.operators.sampling import folds, uniform
 from ranklode.session import cut
@@ -30,6 +32,61 @@ def reranked(df: DataFrame, score: Column, k: int) -> DataFrame:
     return df.select("query_id", "doc_id", F.round(score, 6).alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def feature_statistics(df: DataFrame) -> DataFrame:
+    """feature (from 1), n, least, most, mean, median, variance of the features of rows (feats). Medians
+    are exact, by brackets; there is a pass for each feature."""
+    from ranklode.operators.sampling import quantiles
+
+    long = df.select(F.posexplode("feats").alias("k", "x"))
+    per = long.groupBy("k").agg(F.count("x").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), F.avg("x").alias("mean"), F.var_samp("x").alias("variance"))
+    features = df.agg(F.max(F.size("feats"))).first()[0] or 0
+    middle = [(k, quantiles(df.select(F.col("feats")[k].alias("x")), "x", (0.5,)).first().value) for k in range(features)]
+    middle = df.sparkSession.createDataFrame(middle, "k int, median double")
+    return per.join(F.broadcast(middle), "k").select((F.col("k") + 1).alias("feature"), "n", "least", "most", "mean", "median", "variance")
+
+
+#: Trees of so many nodes at most are scored by one expression, larger models in Arrow batches.
+MOST_NODES = 1_000
+
+
+def _flat(tree: dict) -> list[np.ndarray]:
+    """Feature (from 0, -1 at leaves), threshold or value, left and right of each node."""
+    rows: list[list] = []
+
+    def walk(n: dict) -> int:
+        at = len(rows)
+        rows.append([-1, float(n["value"]), 0, 0] if "value" in n else [n["feature"] - 1, float(n["threshold"]), 0, 0])
+        if "value" not in n:
+            rows[at][2], rows[at][3] = walk(n["left"]), walk(n["right"])
+        return at
+
+    walk(tree)
+    return [np.array(c) for c in zip(*rows, strict=True)]
+
+
+def with_tree_score(df: DataFrame, model: list[dict], name: str = "score") -> DataFrame:
+    """Rows (feats, ...) with the model's score, however many trees it has."""
+    flat = [(float(t.get("weight", 1.0)), *_flat(t["tree"])) for t in model]
+    if sum(len(f[1]) for f in flat) <= MOST_NODES:
+        return df.withColumn(name, tree_score(model))
+    at = df.columns.index("feats")
+
+    def run(batches):
+        for b in batches:
+            x = np.array(b.column(at).to_pylist(), float).reshape(b.num_rows, -1)
+            total, every = np.zeros(b.num_rows), np.arange(b.num_rows)
+            for weight, feature, value, left, right in flat:
+                node = np.zeros(b.num_rows, int)
+                while (inner := feature[node] >= 0).any():
+                    go = every[inner]
+                    n = node[go]
+                    node[go] = np.where(x[go, feature[n]] <= value[n], left[n], right[n])
+                total += weight * value[node]
+            yield b.append_column(name, pa.array(total))
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
 def tree_score(model: list[dict], feats="feats") -> Column:
     """Sum of weighted trees as one conditional expression. A tree is {'feature', 'threshold',
     'left', 'right'} or {'value'}; feature ids count from 1; left is at or below the threshold."""

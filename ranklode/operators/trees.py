@@ -1,9 +1,10 @@
 """Regression trees grown by leaves from histograms, and the rankers made of them.
 
 Feature values become numbers of threshold bins once. A tree grows by splitting the leaf of
-greatest deviance at the threshold that explains most of it; the sums for that come from one
-aggregate a split, of the smaller child alone (the other is what is left of the parent). Only
-histograms (features x thresholds) are on the driver; rows stay where they are. Trees have the
+greatest deviance at the threshold that explains most of it. Where a leaf would be split doesn't depend on
+the others, so one aggregate gives the sums for the children of all leaves that wait (of
+the smaller child alone; the other is what is left of the parent): about one a level of the tree, not
+one a split. Only histograms (features x thresholds) are on the driver; rows stay where they are. Trees have the
 form that ``ltr.tree_score`` takes.
 """
 
@@ -52,14 +53,15 @@ def _leaf(node: dict) -> Column:
     return F.when(F.col("bins")[node["f"]] <= node["bin"], _leaf(node["left"])).otherwise(_leaf(node["right"]))
 
 
-def _histogram(rows: DataFrame, where: Column, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
-    """Counts and sums of y by feature and bin, and the sum of squares, of some rows."""
-    x = rows.filter(where).select(F.posexplode("bins").alias("f", "b"), "y")
-    n, s, square = np.zeros((len(sizes), max(sizes))), np.zeros((len(sizes), max(sizes))), 0.0
-    for r in x.groupBy("f", "b").agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")).collect():
-        n[r.f, r.b], s[r.f, r.b] = r.n, r.s
-        square += r.q if r.f == 0 else 0.0
-    return n, s, square
+def _histograms(rows: DataFrame, key: Column, sizes: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """For each key, counts and sums of y by feature and bin, and the sum of squares; rows without key count for none."""
+    x = rows.select(key.alias("_key"), "bins", "y").filter("_key is not null").select("_key", F.posexplode("bins").alias("f", "b"), "y")
+    out: dict[int, list] = {}
+    for r in x.groupBy("_key", "f", "b").agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")).collect():
+        h = out.setdefault(r["_key"], [np.zeros((len(sizes), max(sizes))), np.zeros((len(sizes), max(sizes))), 0.0])
+        h[0][r.f, r.b], h[1][r.f, r.b] = r.n, r.s
+        h[2] += r.q if r.f == 0 else 0.0
+    return {k: tuple(h) for k, h in out.items()}
 
 
 def _best(h, edges, least: int, allowed) -> tuple[float, int, int] | None:
@@ -94,22 +96,32 @@ def grown(rows: DataFrame, edges: list[np.ndarray], leaves: int = 10, least: int
     def deviance(h):
         return h[2] - h[1][0].sum() ** 2 / max(h[0][0].sum(), 1)
 
-    state = {0: (root, _histogram(rows, F.lit(True), sizes))}
+    none = (np.zeros((len(sizes), max(sizes))), np.zeros((len(sizes), max(sizes))), 0.0)
+    state = {0: (root, _histograms(rows, F.lit(0), sizes).get(0, none))}
     root["value"] = mean(state[0][1])
-    stuck: set[int] = set()
-    while len(state) < leaves and len(stuck) < len(state):
-        at = max((k for k in state if k not in stuck), key=lambda k: (deviance(state[k][1]), -k))
-        node, h = state[at]
-        split = _best(h, edges, least, allowed)
-        if split is None:
-            stuck.add(at)
-            continue
-        _, f, b = split
-        small = F.col("bins")[f] <= b if h[0][f, : b + 1].sum() <= h[0][f, b + 1 :].sum() else F.col("bins")[f] > b
-        one = _histogram(rows, (_leaf(root) == at) & small, sizes)
-        other = tuple(x - y for x, y in zip(h, one, strict=True))
-        left, right = (one, other) if h[0][f, : b + 1].sum() <= h[0][f, b + 1 :].sum() else (other, one)
-        new = max(state) + 1
+    split: dict[int, tuple | None] = {}  # of a leaf: gain, feature, bin
+    ready: dict[int, tuple] = {}  # of a leaf: its children's histograms
+    while len(state) < leaves:
+        for k, (_, h) in state.items():
+            if k not in split:
+                split[k] = _best(h, edges, least, allowed)
+        at = max((k for k in state if split[k]), key=lambda k: (deviance(state[k][1]), -k), default=None)
+        if at is None:
+            break
+        if at not in ready:
+            leaf, key, small_left = _leaf(root), F.lit(None).cast("int"), {}
+            for k in (k for k in state if split[k] and k not in ready):
+                _, f, b = split[k]
+                h = state[k][1]
+                small_left[k] = h[0][f, : b + 1].sum() <= h[0][f, b + 1 :].sum()
+                side = F.col("bins")[f] <= b if small_left[k] else F.col("bins")[f] > b
+                key = F.when((leaf == k) & side, k).otherwise(key)
+            found = _histograms(rows, key, sizes)
+            for k, is_left in small_left.items():
+                one = found.get(k, none)
+                other = tuple(x - y for x, y in zip(state[k][1], one, strict=True))
+                ready[k] = (one, other) if is_left else (other, one)
+        (_, f, b), (left, right), node, new = split.pop(at), ready.pop(at), state[at][0], max(state) + 1
         node.pop("leaf"), node.pop("value")
         node |= {"f": f, "bin": b, "left": {"leaf": at, "value": mean(left)}, "right": {"leaf": new, "value": mean(right)}}
         state[at], state[new] = (node["left"], left), (node["right"], right)
@@ -149,6 +161,9 @@ def lambda_mart(df: DataFrame, trees: int = 1000, leaves: int = 10, rate: float
     ends when it hasn't risen for ``patience`` trees."""
     rows, edges = _prepared(df, n_thresholds)
     model, best, best_at = [], -1.0, 0
+    if valid is not None:  # its scores are carried along, too
+        held = valid.select("query_id", "doc_id", F.col("grade").cast("double").alias("grade"), F.col("feats").cast("array<double>").alias("feats"))
+        held = cut(binned(held, edges).withColumn("score", F.lit(0.0)), "ltr")
     for t in range(trees):
         g = ltr.lambdas(rows, k).select("query_id", "doc_id", F.col("lam").alias("y"), "weight")
         now = cut(rows.join(g, ["query_id", "doc_id"], "left").withColumns({"y": F.coalesce("y", F.lit(0.0)), "weight": F.coalesce("weight", F.lit(0.0))}), "ltr")
@@ -159,7 +174,9 @@ def lambda_mart(df: DataFrame, trees: int = 1000, leaves: int = 10, rate: float
         forget(before, now)
         model.append({"weight": rate, "tree": outer(tree, edges)})
         if valid is not None:
-            value = ltr.mean_ndcg(valid, [ltr.tree_score(model)], k)[0]
+            old, held = held, cut(held.withColumn("score", F.col("score") + rate * _value(tree)), "ltr")
+            forget(old)
+            value = ltr.mean_ndcg(held, [F.col("score")], k)[0]
             if value > best + 1e-9:
                 best, best_at = value, t
             elif t - best_at >= patience:

@@ -88,9 +88,11 @@ def p6_stages(t):
     return stages.run(t.part, "p_partkey", plan).withColumnRenamed("p_partkey", "docno")
 
 
-@query("SELECT g, array_to_string([7, 7, 7], ' ') AS filled FROM vg", GROUPS)
+@query("SELECT id, array_to_string(list_transform(v, lambda x: floor(256 * x)::INT), ' ') AS text, array_to_string(list_transform(range(len(v)), lambda x: label), ',') AS filled FROM (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings)")
 def t24_vector_text(t):
-    return groups(t).select("g", V.to_text(V.filled(7, 3)).alias("filled"))
+    """Vectors as text: their components as integers, and as many times their label."""
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(256 * x).cast("int"))
+    return t.embeddings.select(F.col("vec_id").alias("id"), V.to_text(whole).alias("text"), V.to_text(F.array_repeat("label", F.size("embedding")), ",").alias("filled"))
 
 
 _ATT = "ae AS (SELECT g, vs, list_transform(vs, lambda v: exp(list_dot_product(v, vs[1]) - list_max(list_transform(vs, lambda u: list_dot_product(u, vs[1]))))) AS e FROM vg),"

@@ -15,7 +15,7 @@ from ranklode.operators import passes as P
 from ranklode.operators import sampling as S
 from ranklode.operators import stages as G
 from ranklode.operators import tranmodel as M
-from ranklode.plans.learning import TREES
+from ranklode.plans.learning import FEATS, TREES, feature_rows
 from ranklode.plans.preparation import BITEXT, RESCALED, W, bitext
 from ranklode.plans.registry import query
 from ranklode.plans.retrieval import DOCS, NORM, QRELS, RUN, TERMS, WT, index, opened, qrels, query_tokens, rounded, run, terms
@@ -261,6 +261,12 @@ def a14_feature_use(t):
     return t.spark.createDataFrame(sorted(R.feature_use([TREES]).items()), "feature int, n int")
 
 
+@query("SELECT feature::INT AS feature, count(x) AS n, min(x) AS least, max(x) AS most, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(sqrt(var_samp(x)), 4) AS deviation FROM (SELECT unnest([1, 2, 3]) AS feature, unnest([f1, f2, f3]) AS x FROM fe) GROUP BY feature", FEATS)
+def a14_feature_statistics(t):
+    x = rounded(R.feature_statistics(feature_rows(t)), "mean", "median")
+    return x.withColumn("deviation", F.round(F.sqrt("variance"), 4)).drop("variance")
+
+
 @query("SELECT query_id, round(idf_sum, 6) AS idf_sum FROM qi", DOCS + TERMS + WT)
 def f2_query_normaliser(t):
     return rounded(X.known_idf(index(t), terms(t)), "idf_sum")

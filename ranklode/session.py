@@ -67,10 +67,18 @@ def shared_dir(spark: SparkSession, what: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _made:
         atexit.register(_clean, sc._jvm, sc._jsc.hadoopConfiguration(), _made)
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}")
-    whole = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    _made.append(re.sub("^file:/(?!/)", "file:///", whole))
-    return _made[-1]
+    path = qualified(spark, f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}")
+    if path.startswith("file:") and not re.match("local", sc.master) and base.split(":")[0] != "file":
+        raise RuntimeError(f"{path} lies on each machine's own disk: set spark.checkpoint.dir to a shared folder, with its scheme")
+    _made.append(path)
+    return path
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme: without one, it is a path of the cluster's default file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    x = jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub("^file:/(?!/)", "file:///", x.getFileSystem(conf).makeQualified(x).toString())
 
 
 def _clean(jvm, conf, paths: list[str]) -> None:

@@ -53,35 +53,12 @@ def parallel_queries(text: DataFrame, binary: DataFrame) -> DataFrame:
     return one.withColumn(DOCNO, F.when(bad, F.raise_error(F.concat(F.lit("no single match for "), DOCNO)).cast("string")).otherwise(F.col(DOCNO))).drop("_n", "_m")
 
 
-def bson_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Length-prefixed BSON files as (DOCNO, field, value): strings and binaries only."""
-    import struct
-
-    def parse(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            out = []
-            for data in b.column("content").to_pylist():
-                at = 0
-                while at < len(data):
-                    size = struct.unpack_from("<i", data, at)[0]
-                    doc, p, end = {}, at + 4, at + size - 1
-                    while p < end:
-                        kind, stop = data[p], data.index(0, p + 1)
-                        name, p = data[p + 1 : stop].decode(), stop + 1
-                        n = struct.unpack_from("<i", data, p)[0]
-                        if kind == 2:
-                            doc[name], p = data[p + 4 : p + 3 + n].decode(), p + 4 + n
-                        elif kind == 5:
-                            doc[name], p = data[p + 5 : p + 5 + n], p + 5 + n
-                        else:
-                            raise ValueError(f"field {name}: neither string nor binary")
-                    out += [(doc[DOCNO], k, v) for k, v in doc.items() if k != DOCNO]
-                    at += size
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out]), pa.array([r[1] for r in out]), pa.array([r[2] for r in out], pa.binary())], names=[DOCNO, "field", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, f"{DOCNO} string, field string, value binary")
+def bson_entries(spark: SparkSession, path: str, range_bytes: int = 0) -> DataFrame:
+    """Length-prefixed BSON files as (DOCNO, field, value): strings and binaries only; large files by
+    ranges."""
+    from ranklode.sources import ranges
+
+    return ranges.bson(spark, path, range_bytes)
 
 
 def dense_from_packed(c: str) -> Column:
@@ -288,5 +265,9 @@ def cranfield(spark: SparkSession, path) -> DataFrame:
 
 
 def json_array(spark: SparkSession, path, schema: str) -> DataFrame:
-    """Objects of files that are one JSON array each."""
+    """Objects of files that are one JSON array each: by ranges, or, compressed, a task a file."""
+    from ranklode.sources import ranges
+
+    if isinstance(path, str) and not path.endswith((".gz", ".bz2", ".zst", ".xz")):
+        return ranges.json_objects(spark, path, schema)
     return spark.read.schema(schema).option("multiLine", "true").json(path)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ranklode.session import ship
+from ranklode.session import qualified, ship
 
 RANGE_BYTES, CHAIN, WINDOW = 32 << 20, 3, 1 << 20
 DOCNO = "DOCNO"
@@ -175,7 +175,7 @@ class BsonSource(DataSource):
 def bson(spark: SparkSession, path: str, range_bytes: int = 0) -> DataFrame:
     ship(spark)
     spark.dataSource.register(BsonSource)
-    return spark.read.format("bson_entries").option("rangeBytes", str(range_bytes or RANGE_BYTES)).load(path)
+    return spark.read.format("bson_entries").option("rangeBytes", str(range_bytes or RANGE_BYTES)).load(qualified(spark, path))
 
 
 # --- arrays of JSON objects -------------------------------------------------------------
@@ -249,6 +249,7 @@ def objects(stream, size: int, start: int, end: int, within: bool, depth: int):
 def json_objects(spark: SparkSession, path: str, schema: str | None = None, range_bytes: int = 0) -> DataFrame:
     """The objects of files that are one JSON array each, parsed by a schema, or as texts (value)."""
     ship(spark)
+    path = qualified(spark, path)
     ranges = planned(path, range_bytes)
     rows = spark.createDataFrame([(k, *x) for k, x in enumerate(ranges)], "k long, file string, size long, start long, stop long").repartition(max(1, len(ranges)), "k")
 

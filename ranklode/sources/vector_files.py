@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklode.session import ship
+from ranklode.session import qualified, ship
 from ranklode.sources.formats import component_header
 from ranklode.sources.ranges import _place
 
@@ -50,6 +50,7 @@ def write(rows: DataFrame, path: str, components: list[tuple[str, bool, int]], p
     """Write rows (id, a column for each component: an array of floats, or of structs (dim, val)) and
     return their number. components: column, whether it is sparse, dimensions."""
     ship(rows.sparkSession)
+    path = qualified(rows.sparkSession, path)
     kinds = [(sparse, dims) for _, sparse, dims in components]
     names = [c for c, _, _ in components]
     x = rows.select(F.col("id").cast("string").alias("id"), *names)
