@@ -60,8 +60,8 @@ def stretches(t: K.Texts) -> np.ndarray:
     wide = wide[wide >= 3]
     b3, b2, b1 = d[wide - 3], d[wide - 2], d[wide - 1]
     cut[wide[(b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0)) | (b3 >= 0xE1) & (b3 <= 0xE3) & np.isin(b2, (0x80, 0x81, 0x9A))]] = False
+    cut[1:3] &= d[: len(cut[1:3])] < 0x80
     cut[t.offsets[:-1][np.diff(t.offsets) > 0]] = True
-    cut[1:3] &= d[0:2] < 0x80 if len(d) > 2 else True
     return np.flatnonzero(cut)
 
 

@@ -89,7 +89,7 @@ def books(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: i
     """Codebooks [part, entry, place within part] from rows (id, label, v)."""
     ship(rows.sparkSession)
     rows = _vectors(rows)
-    dims = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    dims = rows.agg(F.max(F.size("v"))).first()[0] or 1
     wide = -(-dims // parts)
 
     def clean(batches):

@@ -31,7 +31,8 @@ def test_ids_are_the_tokenizers(encode):
 
     plain = Tokenizer.from_file(packing.default_tokenizer())
     texts = odd_texts()
-    for some in (texts, [x for x in texts if "<|" not in x], texts[13:14], [""], []):
+    short = [["é", "b"], ["é", " b"], ["", "é", "", ".a", "中", " "], ["a", ".", " ", "\u00a0", " x"], ["é"], [" "]]
+    for some in (texts, [x for x in texts if "<|" not in x], texts[13:14], [""], [], *short):
         for again in range(2):
             ids, bounds = encode(K.texts(pa.array(some, pa.string())))
             for k, x in enumerate(some):

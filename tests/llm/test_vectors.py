@@ -153,6 +153,12 @@ def test_vector_codes_of_nothing(spark):
     assert found.shape[:2] == (16, 0) and vector_codes.with_label_errors(vector_codes.encoded(empty, found)).collect() == []
 
 
+def test_vectors_without_components(spark):
+    df = spark.createDataFrame([(k, 1, [], k == 0, "b", 1, 1, "e", 0.1) for k in range(3)], SCHEMA)
+    found = vector_codes.books(df)
+    assert some(tuple(r) for r in vector_codes.encoded(df, found).collect()) == some((k, 1, [0] * 16, 0) for k in range(3))
+
+
 def test_integers():
     column = pa.array([[0.5, -0.001], None, [], [None, 1.0], [float("inf"), 1.0], [1e300, -1e300]], pa.list_(pa.float64()))
     keep, x = integers.matrix(column.slice(0), 3)
