@@ -86,10 +86,11 @@ def e12_swap_gradients(t):
     return rounded(R.lambdas(feature_rows(t).withColumn("score", F.col("feats")[1])).select("query_id", "doc_id", "lam"), "lam")
 
 
-@query("""SELECT query_id, doc_id, round(score + 0.1::DOUBLE * retrieval, 6) AS score FROM (SELECT query_id, doc_id, score AS retrieval, len(list_intersect(list_distinct(a.w), list_distinct(b.w))) / greatest(1, len(list_distinct(a.w)))::DOUBLE AS score FROM run JOIN q a USING (query_id) JOIN d b USING (doc_id))""", RUN)
+@query("""SELECT query_id, doc_id, round(score + 0.1::DOUBLE * retrieval, 8) AS score FROM (SELECT query_id, doc_id, score AS retrieval, len(list_intersect(list_distinct(a.w), list_distinct(b.w))) / greatest(1, len(list_distinct(a.w)))::DOUBLE AS score FROM run JOIN q a USING (query_id) JOIN d b USING (doc_id))""", RUN)
 def x11_external_scorer(t):
     x = run(t).join(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id").join(t.documents.select("doc_id", F.col("text").alias("d")), "doc_id")
-    return rounded(x.select("query_id", "doc_id", S.fused(S.scored("overlap", "q", "d"), "score", 0.1).alias("score")), "score")
+    # a tenth of six decimals: no place of eight is a tie
+    return x.select("query_id", "doc_id", F.round(S.fused(S.scored("overlap", "q", "d"), "score", 0.1), 8).alias("score"))
 
 
 GROUPS = EMB + "vg AS (SELECT id // 5 AS g, list(v ORDER BY id) AS vs FROM e GROUP BY ALL),"

@@ -293,7 +293,7 @@ def q8_negatives(t):
     return S.training_pairs(run(t), qrels(t), t.documents, 3, 2, 0)
 
 
-@query("SELECT query_id, doc_id, (rank - 1)::INT AS pos, -(rank - 1)::DOUBLE AS score FROM run WHERE query_id IN (SELECT query_id FROM qrels WHERE grade > 0)", RUN + QRELS)
+@query("SELECT query_id, doc_id, (rank - 1)::INT AS pos, (1 - rank)::DOUBLE AS score FROM run WHERE query_id IN (SELECT query_id FROM qrels WHERE grade > 0)", RUN + QRELS)
 def q10_test_export(t):
     return S.test_export(run(t), qrels(t))
 
