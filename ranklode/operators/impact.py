@@ -8,7 +8,7 @@ impact, largest first: a query reads the buckets and row groups of its words onl
 the impacts alone.
 
 What a range can add to a query is at most the sum of its words' block impacts by their weights.
-``Ranking`` scores the ranges with the highest bounds first (``AHEAD`` a query), takes the k-th
+``Ranking`` scores the ranges with the highest bounds first (k a query, each of which has a match, or ``AHEAD``), takes the k-th
 score so far, and then the ranges whose bounds reach it. All blocks of a range and query are scored
 together, so scores are whole and results the same as without bounds. In an index of fewer than
 ``LEAST_RANGES`` ranges bounds cost more than they save: all blocks of the queries' words are scored
@@ -131,7 +131,7 @@ class Ranking:
         self.bounds = cut(bound, "bounds")
         of = lambda ranges: scored(blocks.join(ranges.select("query_id", "range"), ["query_id", "range"]))
         first = Window.partitionBy("query_id").orderBy(F.desc("most"), "range")
-        ahead = bounded(self.bounds.withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= AHEAD).drop("_at"))
+        ahead = bounded(self.bounds.withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= max(AHEAD, k)).drop("_at"))
         some = cut(C.top(of(ahead), k), "some")
         floor = some.filter(F.col("rank") == k).select("query_id", F.col("score").alias("_floor"))
         # Scores are compared by six decimals; sums differ in their last bits.
