@@ -42,3 +42,14 @@ def test_a_cluster_needs_a_folder(spark, master):
     fake.master = "local[4]"
     assert session.shared_dir(SimpleNamespace(sparkContext=fake, conf=SimpleNamespace(get=lambda k, d=None: None)), "x").startswith("file:/")
     session._made.pop()
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"])
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_a_cluster_takes_a_mounted_folder(spark, tmp_path, master, scheme):
+    """The setting says that the folder is shared, with a scheme or without."""
+    sc = spark.sparkContext
+    fake = SimpleNamespace(master=master, _jvm=sc._jvm, _jsc=sc._jsc)
+    conf = SimpleNamespace(get=lambda k, d=None: f"{scheme}{tmp_path}")
+    assert session.shared_dir(SimpleNamespace(sparkContext=fake, conf=conf), "x").startswith(f"file://{tmp_path}/x-")
+    session._made.pop()
