@@ -115,7 +115,7 @@ def v6_late_interaction(t):
 
 @query("SELECT g, [round(list_avg([x[k] for x in vs]), 6) for k in range(1, 65)] AS mean, [round(list_max([x[k] for x in vs]), 6) for k in range(1, 65)] AS top FROM vg", GROUPS)
 def t25_pooled_vectors(t):
-    r6 = lambda c: F.transform(c, lambda x: F.round(x, 6))
+    r6 = lambda c: F.transform(c, lambda x: V.rounded(x))
     return groups(t).select("g", r6(S.mean_vectors("vs")).alias("mean"), r6(S.max_vectors("vs")).alias("top"))
 
 

@@ -173,3 +173,9 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("once").count() == 2
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    given = [-1e-8, 1e-8, -0.0, 0.0, -0.0000005, 1.2345675, -2.5, None]
+    got = value(spark, F.transform(F.array(*(F.lit(x).cast("double") for x in given)), lambda x: V.rounded(x)))
+    assert list(map(repr, got)) == ["-0.0", "0.0", "-0.0", "0.0", "-1e-06", "1.234568", "-2.5", "None"]
