@@ -83,12 +83,13 @@ def max_vectors(vectors) -> Column:
 
 def attention(vectors, probe) -> Column:
     """Sum of vectors weighted by the softmax of their products with a probe vector."""
+    let = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  a value that is worked out once a row
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+    zero = F.transform(V.dense(col(vectors)[0]), lambda _: F.lit(0.0))
+    weighted = lambda e: F.aggregate(F.zip_with(col(vectors), e, lambda v, w: F.transform(V.dense(v), lambda x: x * w)), zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
     raw = F.transform(col(vectors), lambda v: V.dot(v, col(probe)))
-    top = F.array_max(raw)
-    e = F.transform(raw, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    pairs = F.zip_with(col(vectors), e, lambda v, w: F.transform(V.dense(v), lambda x: x * w / total))
-    return F.aggregate(pairs, F.transform(V.dense(col(vectors)[0]), lambda _: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    weights = let(raw, lambda r: let(F.array_max(r), lambda top: F.transform(r, lambda x: F.exp(x - top))))
+    return let(weights, lambda e: let(total(e), lambda n: F.transform(weighted(e), lambda x: x / n)))
 
 
 def late_interaction(query_vectors, doc_vectors) -> Column:

@@ -179,3 +179,12 @@ def test_rounding_keeps_the_sign_of_zero(spark):
     given = [-1e-8, 1e-8, -0.0, 0.0, -0.0000005, 1.2345675, -2.5, None]
     got = value(spark, F.transform(F.array(*(F.lit(x).cast("double") for x in given)), lambda x: V.rounded(x)))
     assert list(map(repr, got)) == ["-0.0", "0.0", "-0.0", "0.0", "-1e-06", "1.234568", "-2.5", "None"]
+
+
+def test_attention_works_out_its_products_once(spark):
+    """Products and their sum are worked out once a row, not for each component."""
+    x = N.attention("vs", F.col("vs")[0])
+    rows = spark.sql("select array(array(1D, 2D), array(0.5D, -1D), array(0D, 3D)) vs").select(x.alias("v"))
+    w = [math.exp(p - 6.0) for p in (5.0, -1.5, 6.0)]
+    assert rows.first().v == pytest.approx([(w[0] + 0.5 * w[1]) / sum(w), (2 * w[0] - w[1] + 3 * w[2]) / sum(w)], abs=1e-12)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("exp(") == 1
