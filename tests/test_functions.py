@@ -188,3 +188,17 @@ def test_attention_works_out_its_products_once(spark):
     w = [math.exp(p - 6.0) for p in (5.0, -1.5, 6.0)]
     assert rows.first().v == pytest.approx([(w[0] + 0.5 * w[1]) / sum(w), (2 * w[0] - w[1] + 3 * w[2]) / sum(w)], abs=1e-12)
     assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("exp(") == 1
+
+
+def test_short_pairs_shuffle_vectors_only(spark):
+    """As the plain products, with vectors that share several dimensions, repeated and null values."""
+    rows = [(k, (k * k + j * (k % 5 + 1)) % 9, float(k % 4 + j)) for k in range(30) for j in range(k % 6)] + [(3, 4, 2.0), (7, 1, None), (40, 8, None), (41, -1, 2.0)]
+    x = spark.createDataFrame(rows, "id long, dim int, val double")
+    few = x.filter("id % 3 = 0")
+    found = V.short_pairs(few, x)
+    norms = {r.id: r.norm for r in V.sparse_norms(x).collect()}
+    got = {(r.a_id, r.b_id): r.dot for r in found.collect()}
+    assert got == {(r.a_id, r.b_id): r.dot for r in V.sparse_dot(few, x).collect()} and found.count() == len(got)
+    assert all(r.a_norm == norms[r.a_id] and r.b_norm == norms[r.b_id] for r in found.collect())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
