@@ -7,6 +7,7 @@ from urllib.parse import urlsplit
 import pytest
 
 from ranklode import session
+from ranklode.plans import QUERIES
 
 
 def there(path):
@@ -53,3 +54,13 @@ def test_a_cluster_takes_a_mounted_folder(spark, tmp_path, master, scheme):
     conf = SimpleNamespace(get=lambda k, d=None: f"{scheme}{tmp_path}")
     assert session.shared_dir(SimpleNamespace(sparkContext=fake, conf=conf), "x").startswith(f"file://{tmp_path}/x-")
     session._made.pop()
+
+
+@pytest.mark.parametrize("name", ["t18_resolved_links", "t16_html_text", "t11_porter_stems"])
+def test_pages_come_in_small_batches(spark, name):
+    """Batches of Spark's 10,000 rows hold as many whole pages or texts, and what is made of them."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= session.BATCH_ROWS
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
