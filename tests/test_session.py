@@ -64,3 +64,17 @@ def test_pages_come_in_small_batches(spark, name):
     QUERIES[name](spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= session.BATCH_ROWS
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("name", ["k4_postings", "s29_rebuilt_text"])
+def test_texts_are_dealt_whole(spark, name):
+    """What is grouped by document is shuffled as texts, not word by word."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_parts_grow_with_the_input(spark, monkeypatch):
+    t = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    few = session.parts(t)
+    monkeypatch.setattr(session, "PART_BYTES", 1000)
+    assert session.parts(t) > few and session.dealt(t, "l_orderkey").rdd.getNumPartitions() == session.parts(t.filter("l_orderkey > 0"))
