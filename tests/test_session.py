@@ -78,3 +78,9 @@ def test_parts_grow_with_the_input(spark, monkeypatch):
     few = session.parts(t)
     monkeypatch.setattr(session, "PART_BYTES", 1000)
     assert session.parts(t) > few and session.dealt(t, "l_orderkey").rdd.getNumPartitions() == session.parts(t.filter("l_orderkey > 0"))
+
+
+def test_words_are_counted_once(spark):
+    """The counts are written; their total doesn't split the texts again."""
+    plan = QUERIES["m7_collection_probabilities"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "counts-" in plan
