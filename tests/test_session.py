@@ -1,12 +1,14 @@
 """The shared folder: its name, and what is left in it."""
 
 import os
+import re
 from types import SimpleNamespace
 from urllib.parse import urlsplit
 
 import pytest
 
 from ranklode import session
+from ranklode.operators import sampling
 from ranklode.plans import QUERIES
 
 
@@ -84,3 +86,19 @@ def test_words_are_counted_once(spark):
     """The counts are written; their total doesn't split the texts again."""
     plan = QUERIES["m7_collection_probabilities"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "documents.parquet" not in plan and "counts-" in plan
+
+
+@pytest.mark.parametrize("name", ["f22_average_embedding", "q16_run_faults", "e8_per_query", "a6_mean_metrics", "u1_hybrid_run", "q12_chunk_sampler"])
+def test_lines_are_dealt_by_size(spark, monkeypatch, name):
+    """Twice as many parts for twice the input, whatever the number of shuffle partitions."""
+    monkeypatch.setattr(session, "PART_BYTES", 1000)
+    size = os.path.getsize("/root/testdata/sf0.001/lineitem.parquet")
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    found = [int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert found and min(found) >= size // 1000
+
+
+def test_faults_of_odd_runs(spark):
+    run = spark.createDataFrame([(1, 1, 1, 5.0), (1, None, 2, 4.0), (1, None, 3, 3.0), (2, 1, 1, 1.0), (2, 2, 2, 2.0), (None, 9, 1, 1.0)], "query_id int, doc_id int, rank int, score double")
+    got = {tuple(r) for r in sampling.run_faults(run, spark.createDataFrame([(1,), (2,), (2,)], "doc_id int"), 2).collect()}
+    assert got == {(1, "repeated document"), (1, "unknown document"), (2, "rising score"), (None, "unknown document"), (None, "too few results")}
