@@ -102,3 +102,24 @@ def test_faults_of_odd_runs(spark):
     run = spark.createDataFrame([(1, 1, 1, 5.0), (1, None, 2, 4.0), (1, None, 3, 3.0), (2, 1, 1, 1.0), (2, 2, 2, 2.0), (None, 9, 1, 1.0)], "query_id int, doc_id int, rank int, score double")
     got = {tuple(r) for r in sampling.run_faults(run, spark.createDataFrame([(1,), (2,), (2,)], "doc_id int"), 2).collect()}
     assert got == {(1, "repeated document"), (1, "unknown document"), (2, "rising score"), (None, "unknown document"), (None, "too few results")}
+
+
+SHARED = ("a11_quantiles a14_feature_statistics a5_parent_sum c1_bm25_topk c1_cleaned_queries c1_word_champions c3_cells c3_knn c3_knn_of_all c4_stored_run c6_found "
+          "c7_knn_cosine e13_report f10_cosine_inner_product f20_jaccard f21_bm25_of_texts f2_query_normaliser f3_soft_bm25 f9_bm25_inner_product j11_judged_or_sampled "
+          "j13_contained_answers j14_token_overlap j4_features_of_parents op11_hard_negatives op12_vector_codes op13_best_fit_packing op2_ngram_jaccard").split()
+
+
+@pytest.mark.parametrize("name", SHARED)
+def test_queries_take_a_mounted_folder(spark, tmp_path, monkeypatch, name):
+    """Whole queries, as on a cluster whose setting names a folder without scheme."""
+    import __spark_entry__
+
+    get = type(spark.conf).get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: str(tmp_path) if key == "spark.checkpoint.dir" else get(self, key, *a))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    since = session.made()
+    try:
+        assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").columns
+        assert all(x.startswith(f"file://{tmp_path}/") for x in session._made[since:])
+    finally:
+        session.clean(spark, since)
