@@ -78,7 +78,8 @@ def mean_vectors(vectors) -> Column:
 
 
 def max_vectors(vectors) -> Column:
-    return _over_dims(vectors, F.array_max)
+    """Greatest components; of zeros of both signs the last one counts, as in SQL's ``list_max``."""
+    return _over_dims(vectors, lambda a: F.array_max(F.reverse(a)))
 
 
 def attention(vectors, probe) -> Column:

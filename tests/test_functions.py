@@ -181,6 +181,15 @@ def test_rounding_keeps_the_sign_of_zero(spark):
     assert list(map(repr, got)) == ["-0.0", "0.0", "-0.0", "0.0", "-1e-06", "1.234568", "-2.5", "None"]
 
 
+def test_greatest_of_zeros_is_the_last(spark):
+    import duckdb
+
+    for column in ([-0.0, 0.0], [0.0, -0.0], [-1.0, -0.0, 0.0, -0.0], [0.0, -0.0, 0.0], [-0.0, -1.0, 0.0], [0.0, -1.0, -0.0], [2.0, -0.0, 1.0]):
+        d = spark.createDataFrame([([[x] for x in column],)], "vs array<array<double>>")
+        want = duckdb.execute("select list_max(?::double[])", [column]).fetchone()[0]
+        assert repr(d.select(N.max_vectors("vs").alias("x")).first().x) == repr([want])
+
+
 def test_attention_works_out_its_products_once(spark):
     """Products and their sum are worked out once a row, not for each component."""
     x = N.attention("vs", F.col("vs")[0])
