@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from ranklode.operators import passes as P
 from ranklode.operators import sampling as S
 from ranklode.operators import scoring as N
 from ranklode.operators import tranmodel as M
+from ranklode.plans import QUERIES, SQL
 
 
 def value(spark, column):
@@ -54,6 +56,18 @@ def test_vectors(spark):
     assert value(spark, N.late_interaction(F.array(a), F.array(a, b))) == 25.0
 
 
+def test_unit_vectors_whatever_the_norm(spark, tmp_path):
+    """Zeros and vectors of tiny components give what the SQL of v2_l2_normalized gives."""
+    rows = [(1, [0.0, -0.0]), (2, [1e-12, -2e-12]), (3, [1e-30, -1e-30]), (4, [3.0, 4.0]), (5, []), (6, None), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [-1e-9, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = QUERIES["v2_l2_normalized"](spark, str(tmp_path)).orderBy("id").collect()
+    assert [(r.id, repr(r.v)) for r in got] == [(i, repr(v)) for i, v in sorted(con.sql(SQL["v2_l2_normalized"]).fetchall())]
+    both = F.array(F.lit(1e-200), F.lit(-1e-200))
+    assert value(spark, V.unit(both)) == [float("inf"), float("-inf")]
+
+
 def test_interleaved_dot_is_the_weighted_sum(spark):
     r = np.random.default_rng(1)
     make = lambda: spark.createDataFrame([(i, d, float(r.random())) for i in range(4) for d in range(6) if r.random() < 0.6], "id int, dim int, val double")
