@@ -55,6 +55,29 @@ def test_kept_index(spark, docs, queries, monkeypatch):
     assert len(order) > 5 and max(order) >= order[0]
 
 
+def test_index_is_built_in_one_pass(spark, docs, queries, monkeypatch):
+    """Blocks are made once, without a pass that samples them first; slices, batches of one row and rows that share a doc_id, null too, change nothing."""
+    monkeypatch.setattr(impact, "RANGE_DOCS", 8)
+    sampled = []
+    by_range = type(docs).repartitionByRange
+    monkeypatch.setattr(type(docs), "repartitionByRange", lambda self, *a: sampled.append(a) or by_range(self, *a))
+    monkeypatch.setattr(impact, "parts", lambda *tables: 300, raising=False)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        again = docs.unionByName(docs.limit(20)).unionByName(spark.createDataFrame([(None, "the of the"), (None, "of the the"), (10_000, "")], "doc_id long, text string"))
+        whole, path = index.build(again), shared_dir(spark, "impact")
+        idx = impact.build(whole, path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert sampled == []
+    plain = lambda x: sorted((str(r.doc_id), r.word, r.tf, r.doc_len) for r in x.collect())
+    assert plain(idx.postings) == plain(whole.postings)
+    assert len({r.f.rsplit("/", 1)[0] for r in idx.blocks.select(F.input_file_name().alias("f")).distinct().collect()}) == impact.BUCKETS
+    assert idx.blocks.groupBy("word", "range").count().filter("count > 1").count() == 0
+    assert idx.blocks.filter("n <> size(postings) or impact <= 0").count() == 0
+
+
 def test_opened_index_reads_no_text(spark, docs, queries, tmp_path, monkeypatch):
     table = f"file://{tmp_path}/documents.parquet"
     docs.write.parquet(table)
