@@ -25,3 +25,8 @@ def by_sql(sf, name):
 def test_sparse_dot_of_all_vectors(spark, sparse):
     got = {tuple(r) for r in QUERIES["f12_sparse_dot"](spark, sparse).collect()}
     assert got == by_sql(sparse, "f12_sparse_dot") == {(1, 1, 5.0), (1, 2, 6.0), (2, 1, 6.0), (2, 2, 9.0), (1, 3, 5.0), (3, 1, 5.0), (3, 3, 25.0)}
+
+
+def test_sparse_cosine_of_all_vectors(spark, sparse):
+    got = {tuple(r) for r in QUERIES["f12_sparse_cosine"](spark, sparse).collect()}
+    assert got == by_sql(sparse, "f12_sparse_cosine") and {r[:2] for r in got} == {(1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1), (3, 3)}
