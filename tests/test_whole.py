@@ -30,3 +30,10 @@ def test_sparse_dot_of_all_vectors(spark, sparse):
 def test_sparse_cosine_of_all_vectors(spark, sparse):
     got = {tuple(r) for r in QUERIES["f12_sparse_cosine"](spark, sparse).collect()}
     assert got == by_sql(sparse, "f12_sparse_cosine") and {r[:2] for r in got} == {(1, 1), (1, 2), (2, 1), (2, 2), (1, 3), (3, 1), (3, 3)}
+
+
+def test_soft_counts_words_that_no_query_has(spark, tmp_path):
+    """alphb is as near to alpha as alpha itself, by the vectors that the SQL gives words."""
+    spark.createDataFrame([(1, "alpha alphb"), (2, "gamma delta")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, "alpha")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in QUERIES["f3_soft_bm25"](spark, str(tmp_path)).collect()] == [(5, 1, round(math.log(2) * 2 * 2.2 / 3.2, 6))]
