@@ -1,10 +1,14 @@
 """Queries do their whole job: what used to be left out by the query and by its SQL."""
 
 import math
+import random
+from collections import Counter
 
 import duckdb
 import pytest
 
+from ranklode import session
+from ranklode.operators import tranmodel
 from ranklode.plans import QUERIES, SQL
 
 
@@ -37,3 +41,31 @@ def test_soft_counts_words_that_no_query_has(spark, tmp_path):
     spark.createDataFrame([(1, "alpha alphb"), (2, "gamma delta")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(5, "alpha")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [tuple(r) for r in QUERIES["f3_soft_bm25"](spark, str(tmp_path)).collect()] == [(5, 1, round(math.log(2) * 2 * 2.2 / 3.2, 6))]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 50])
+def test_training_writes_no_word_pairs(spark, monkeypatch, limit):
+    """The table is that of plain loops, and no table written on the way has more rows than the texts have words."""
+    monkeypatch.setattr(tranmodel, "PART_WORDS", limit)
+    written = []
+    keep = lambda df, what: written.append(df.count()) or session.cut(df, what)
+    monkeypatch.setattr(tranmodel, "cut", keep)
+    r = random.Random(4)
+    say = lambda n: [f"w{int(r.paretovariate(0.5))}" for _ in range(n)]
+    rows = [(k, say(60), say(80)) for k in range(20)]
+    table = {}
+    for k in range(3):
+        counts, total = Counter(), Counter()
+        for _, src, dst in rows:
+            for d in dst:
+                p = {s: table[s, d] if k else 1.0 for s in src}
+                whole = sum(p[s] for s in src)
+                for s in src:
+                    counts[s, d] += p[s] / whole
+                    total[s] += p[s] / whole
+        table = {x: c / total[x[0]] for x, c in counts.items()}
+    got = {(x.src, x.dst): x.p for x in tranmodel.train(spark.createDataFrame(rows, "pair long, src array<string>, dst array<string>"), 3).collect()}
+    assert set(got) == set(table) and all(abs(p - got[x]) < 1e-9 for x, p in table.items())
+    assert max(written, default=0) <= 20 * 80
+    some = {x for x, p in table.items() if p >= 0.05}
+    assert {(x.src, x.dst) for x in tranmodel.train(spark.createDataFrame(rows, "pair long, src array<string>, dst array<string>"), 3, 0.05).collect()} == some
