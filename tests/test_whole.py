@@ -6,9 +6,10 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from ranklode import session
-from ranklode.operators import tranmodel
+from ranklode.operators import candidates, tranmodel
 from ranklode.plans import QUERIES, SQL
 
 
@@ -69,3 +70,24 @@ def test_training_writes_no_word_pairs(spark, monkeypatch, limit):
     assert max(written, default=0) <= 20 * 80
     some = {x for x, p in table.items() if p >= 0.05}
     assert {(x.src, x.dst) for x in tranmodel.train(spark.createDataFrame(rows, "pair long, src array<string>, dst array<string>"), 3, 0.05).collect()} == some
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_settings_do_not_multiply_matches(spark):
+    """Scores under all settings stand in one row: no row for each match and setting."""
+    plan = physical(QUERIES["q21_bm25_settings"](spark, "/root/testdata/sf0.001"))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_exact_match_of_few_keys(spark):
+    """Only a key's best documents meet its queries, whatever repeats and however many keys a query has."""
+    docs = spark.createDataFrame([(k // 2, k % 3 if k % 7 else None) for k in range(200)], "doc_id long, nation int")
+    asked = spark.createDataFrame([(1, 0), (1, 2), (2, 1), (2, 1), (3, None), (4, 9)], "query_id long, key int")
+    found = candidates.exact_match(docs, asked, "nation", 5)
+    every = docs.withColumnRenamed("nation", "key").join(asked, "key").select("query_id", "doc_id", F.lit(1.0).alias("score"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, candidates.top(every, 5).collect()))
+    plan = physical(found)
+    assert "doc_id" in plan[plan.rindex("Join") :].split("Window", 1)[1]  # ranked below the join too
