@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ranklode import session
+from ranklode.functions import vectors
 from ranklode.operators import candidates, tranmodel
 from ranklode.plans import QUERIES, SQL
 
@@ -91,3 +92,16 @@ def test_exact_match_of_few_keys(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, candidates.top(every, 5).collect()))
     plan = physical(found)
     assert "doc_id" in plan[plan.rindex("Join") :].split("Window", 1)[1]  # ranked below the join too
+
+
+@pytest.mark.parametrize("sizes", [(1 << 19, 1 << 21), (40, 30)])
+def test_sparse_products_are_made_in_blocks(spark, monkeypatch, sizes):
+    """As the plain join's, with null values and ids; pairs aren't shuffled."""
+    monkeypatch.setattr(vectors, "BLOCK_ENTRIES", sizes[0])
+    monkeypatch.setattr(vectors, "BLOCK_PRODUCTS", sizes[1])
+    r = random.Random(2)
+    side = lambda n, d: spark.createDataFrame([(k or None, x, float(r.randint(0, 5)) if r.random() < 0.9 else None) for k in range(n) for x in r.sample(range(12), r.randint(1, d))], "id long, dim int, val double")
+    a, b = side(30, 4), side(40, 6)
+    got = vectors.sparse_products(a, b)
+    assert sorted(map(str, got.collect())) == sorted(map(str, vectors.sparse_dot(a, b).collect()))
+    assert physical(QUERIES["x9_sparse_embeddings"](spark, "/root/testdata/sf0.001")).count("HashAggregate") == 0
